@@ -1,6 +1,6 @@
 """Box-shaped periodic search over a frequency-uniform grid.
 
-Both plans share one definition. Fluxes become integers (1e-9 units) after normalisation, so every
+Both plans share one definition. Flux minus one becomes an integer (1e-9 units), so every
 box sum is exact and the winning box does not depend on partitioning or retries. For each trial
 period the rows are folded into bins one minimum duration wide; boxes of each duration start at an
 occupied bin and may wrap once around the cycle; the box with the largest likelihood gain wins,
@@ -60,7 +60,7 @@ class SearchConfig:
 
 
 def with_integer_flux(clean: DataFrame, value: str = "y") -> DataFrame:
-    return clean.select(*CURVE, "time", "orbitid", F.rint(F.col(value) * UNIT).cast("bigint").alias("yq")).where("yq IS NOT NULL")
+    return clean.select(*CURVE, "time", "orbitid", F.rint((F.col(value) - 1) * UNIT).cast("bigint").alias("yq")).where("yq IS NOT NULL")
 
 
 def curve_stats(q: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -95,7 +95,7 @@ def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFr
     w, boxes = cfg.widths()
     n = max(cfg.n_periods, 100)
     ok = stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d")
-    d = q.join(ok, CURVE).withColumn("period_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    d = q.join(ok, CURVE).withColumn("period_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     d = d.withColumn("period_d", grid_period(F.col("period_idx"), F.col("p_max_d"), cfg))
     d = d.withColumn("bin", F.floor(F.pmod(F.col("time") - F.col("t_min"), F.col("period_d")) / F.lit(w)))
     key = [*CURVE, "period_idx"]
@@ -258,19 +258,18 @@ def walk(period: np.ndarray, sde: np.ndarray, n_peaks: int, mask_fraction: float
 
 
 def pick_peaks(spec: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Ranked peaks per curve; a group is one grid of at most ``n_periods`` rows."""
-    schema = SPECTRUM + ", sde double, peak_rank int"
-    cols = [c.split()[0] for c in SPECTRUM.split(", ")] + ["sde"]
+    """Ranked peaks per curve; one array row holds one grid of at most ``n_periods`` trial periods."""
+    cols = [c.split()[0] for c in SPECTRUM.split(", ")][2:] + ["sde"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period_idx", kind="stable")
-        idx = walk(pdf["period_d"].to_numpy(), pdf["sde"].to_numpy(), cfg.n_peaks, cfg.mask_fraction,
-                   cfg.period_bin_edges, cfg.max_peaks_per_bin)
-        out = pdf.iloc[idx].copy()
-        out["peak_rank"] = np.arange(1, len(idx) + 1, dtype=np.int32)
-        return out
+    @F.pandas_udf("array<int>")
+    def picks(period: pd.Series, sde: pd.Series) -> pd.Series:
+        return pd.Series([walk(np.asarray(p), np.asarray(s), cfg.n_peaks, cfg.mask_fraction, cfg.period_bin_edges, cfg.max_peaks_per_bin)
+                          for p, s in zip(period, sde)])
 
-    return spec.select(*cols).groupBy(*CURVE).applyInPandas(run, schema)
+    g = spec.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
+    g = g.withColumn("at", picks(F.col("all.period_d"), F.col("all.sde")))
+    g = g.select(*CURVE, F.posexplode(F.transform("at", lambda i: F.col("all")[i])).alias("pos", "p"))
+    return g.select(*CURVE, *[f"p.{c}" for c in cols], (F.col("pos") + 1).cast("int").alias("peak_rank"))
 
 
 def pick_peaks_native(spec: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -318,9 +317,6 @@ def unfinished(pairs: DataFrame, done: DataFrame, shard: int | None = None, n_sh
 
 # --- consolidation ---------------------------------------------------------
 
-CLUSTERED = "tic bigint, sector int, cluster int, member_rank int, uid long"
-
-
 def _cells(period: Column, tol: float) -> tuple[Column, int]:
     """Cell of log2(P) modulo one octave; linkable periods are in equal or adjacent cells."""
     n = int(1.0 / np.log2(1.0 + 2 * tol))
@@ -341,22 +337,20 @@ def period_components(peaks: DataFrame, keys: Sequence[str], tol: float = K.CLUS
     occ = occ.withColumn("_new", F.coalesce((F.col("_cell") - F.lag("_cell").over(w)) > 1, F.lit(True)).cast("int"))
     occ = occ.withColumn("component", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     every = W.partitionBy(*keys)
-    joins_ends = (F.min("_cell").over(every) == 0) & (F.max("_cell").over(every) == n - 1 + 0)
+    # the first and last cells touch across the octave boundary
+    joins_ends = (F.min("_cell").over(every) == 0) & (F.max("_cell").over(every) == n - 1)
     last = F.max("component").over(every)
-    # the last partial cell and cell 0 touch across the octave boundary
-    joins_ends = joins_ends | ((F.min("_cell").over(every) == 0) & (F.max("_cell").over(every) >= n - 1))
     occ = occ.withColumn("component", F.when(joins_ends & (F.col("component") == last), F.lit(1)).otherwise(F.col("component")))
     return d.join(occ.select(*keys, "_cell", "component"), [*keys, "_cell"]).drop("_cell")
 
 
-def greedy_groups(period: np.ndarray, t0: np.ndarray, sde: np.ndarray, tie: np.ndarray, tol: float, epoch_min: float) -> np.ndarray:
-    """Cluster number per row: the strongest free peak seeds, weaker ones join when period and epoch agree."""
-    order = np.lexsort((tie, -sde))
+def greedy_groups(period: np.ndarray, t0: np.ndarray, tol: float, epoch_min: float) -> list[int]:
+    """Cluster number per row of a list sorted by strength: the first free row seeds, later ones join
+    when period (at 1, 1/2 or 2 times) and epoch agree with the seed."""
     label = np.full(period.size, -1, dtype=np.int64)
     k = 0
-    for i in order:
-        if label[i] >= 0:
-            continue
+    while (label < 0).any():
+        i = int((label < 0).argmax())
         seed = period[i]
         rel = np.min([np.abs(period - seed * f) / (seed * f) for f in (1.0, 0.5, 2.0)], axis=0)
         off = np.abs(np.mod(t0 - t0[i] + seed / 2, seed) - seed / 2) * K.MIN_PER_DAY
@@ -364,7 +358,7 @@ def greedy_groups(period: np.ndarray, t0: np.ndarray, sde: np.ndarray, tie: np.n
         join[i] = True
         label[join] = k
         k += 1
-    return label
+    return label.tolist()
 
 
 def consolidate(peaks: DataFrame, apertures: Sequence[str], sde_min: float = K.CLUSTER_SDE_MIN,
@@ -375,19 +369,21 @@ def consolidate(peaks: DataFrame, apertures: Sequence[str], sde_min: float = K.C
     """
     ok = peaks.where((F.col("status") == "ok") & robust.finite(F.col("period_d")) & (F.col("sde") >= sde_min) & (F.col("tic") >= 0))
     d = period_components(ok, ["tic", "sector"], tol)
-    extra = [f for f in d.schema.fields if f.name != "component"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extra) + ", component bigint, cluster bigint"
-    names = [f.name for f in extra] + ["component"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["aperture", "peak_rank", "period_d", "t0_bjd"], kind="stable").reset_index(drop=True)
-        pdf["cluster"] = greedy_groups(pdf["period_d"].to_numpy(), pdf["t0_bjd"].to_numpy(), pdf["sde"].to_numpy(),
-                                       np.arange(len(pdf)), tol, epoch_min)
-        return pdf
+    rep = ["cam", "ccd", "tmag", "period_d", "t0_bjd", "duration_min", "depth", "depth_snr", "sde", "aperture", "peak_rank", "baseline_d", "bls_run_id"]
 
-    c = d.select(*names).groupBy("tic", "sector", "component").applyInPandas(run, schema)
+    @F.pandas_udf("array<int>")
+    def groups(period: pd.Series, t0: pd.Series) -> pd.Series:
+        return pd.Series([greedy_groups(np.asarray(p), np.asarray(t), tol, epoch_min) for p, t in zip(period, t0)])
+
+    # strongest first; ties by aperture, rank and ephemeris
+    member = F.struct((-F.col("sde")).alias("neg_sde"), "aperture", "peak_rank", "period_d", "t0_bjd",
+                      *[c for c in rep if c not in ("aperture", "peak_rank", "period_d", "t0_bjd")], "n_cad_kept")
+    packed = d.groupBy("tic", "sector", "component").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    alone = packed.where(F.size("m") == 1).withColumn("g", F.array(F.lit(0)))
+    several = packed.where(F.size("m") > 1).withColumn("g", groups(F.col("m.period_d"), F.col("m.t0_bjd")))
+    c = alone.unionByName(several).select("tic", "sector", "component", F.explode(F.arrays_zip("g", "m")).alias("z"))
+    c = c.select("tic", "sector", "component", F.col("z.g").alias("cluster"), "z.m.*").drop("neg_sde")
     best = F.struct("sde", (-F.col("peak_rank")).alias("nr"), "aperture", "period_d", "t0_bjd")
-    rep = ["cam", "ccd", "tmag", "period_d", "t0_bjd", "duration_min", "depth", "depth_snr", "sde", "aperture", "peak_rank", "baseline_d", "bls_run_id"]
     per_ap = []
     for a in apertures:
         here = F.when(F.col("aperture") == a, F.struct("sde", "peak_rank"))

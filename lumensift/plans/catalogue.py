@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from lumensift.plans.registry import ORACLES, QUERIES
-from lumensift.plans import cadence_queries  # noqa: F401
+from lumensift.plans import cadence_queries, search_queries  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["noisiest_targets"](spark, sf_dir)
+    """Clean, search, consolidate, vet."""
+    return QUERIES["flagship_search"](spark, sf_dir)
