@@ -139,12 +139,14 @@ def smoothed_grid(grid: DataFrame, nx: int, ny: int, sigma: float = 1.0, min_eff
 def recall_at_k(labelled: DataFrame, ks: Sequence[int], order: Sequence[Column | str] = ("peak_rank",), id_column: str = "injection_id") -> DataFrame:
     """Share of injections with a true peak among the first K by rank (or by any score order).
 
-    The best position of a true peak decides every K, so one ranking per injection suffices. Lists per
-    injection are bounded by the peaks a search returns.
+    The position of the first true peak decides every K: find it with a struct minimum, then count the
+    rows up to it. Both steps combine map-side, so one id with very many peaks is no problem.
     """
-    w = W.partitionBy(id_column).orderBy(*order)
-    d = labelled.select(id_column, "is_signal", F.row_number().over(w).alias("_pos"))
-    best = d.groupBy(id_column).agg(F.min(F.when(F.col("is_signal"), F.col("_pos"))).alias("best"))
+    key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
+    d = labelled.select(id_column, "is_signal", key.alias("_o"))
+    first = d.groupBy(id_column).agg(F.min(F.when(F.col("is_signal"), F.col("_o"))).alias("_b"))
+    best = d.join(first, id_column).groupBy(id_column).agg(
+        F.when(F.first("_b").isNotNull(), F.count_if(F.col("_o") <= F.col("_b"))).alias("best"))
     s = best.agg(F.count(F.lit(1)).alias("denom"), F.count("best").alias("rankable"), *[F.count_if(F.col("best") <= k).alias(f"n_{k}") for k in ks])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n_{k}").alias("n")) for k in ks])).alias("r")
     return s.select("denom", "rankable", rows).select(F.col("r.k").alias("k"), F.col("r.n").alias("n"), "denom", "rankable",
