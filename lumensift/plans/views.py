@@ -24,7 +24,7 @@ raw_cadences AS (
 
 PEAKS = """
 peaks AS (
-  SELECT l_orderkey AS tic, 1 AS sector, 1 + l_orderkey % 4 AS cam, 1 + CAST(floor(l_orderkey / 4) AS BIGINT) % 4 AS ccd,
+  SELECT l_orderkey AS tic, 1 AS sector, CAST(1 + l_orderkey % 4 AS INTEGER) AS cam, CAST(1 + CAST(floor(l_orderkey / 4) AS BIGINT) % 4 AS INTEGER) AS ccd,
          16 + (l_orderkey % 50) / 10 AS tmag, CASE WHEN l_linestatus = 'F' THEN 'SML' ELSE 'PRI' END AS aperture,
          l_linenumber AS peak_rank,
          CASE l_partkey % 5
@@ -68,7 +68,7 @@ OBSERVATIONS = """
 observations AS (
   SELECT l_suppkey AS catalog_row, l_suppkey AS source_id,
          CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1994 * 12 AS INTEGER) AS sector,
-         1 + l_linenumber % 4 AS camera, 1 + l_partkey % 4 AS ccd,
+         CAST(1 + l_linenumber % 4 AS INTEGER) AS camera, CAST(1 + l_partkey % 4 AS INTEGER) AS ccd,
          l_partkey % 2100 + 0.5::DOUBLE AS colpix, l_quantity * 41 % 2050 + 0.25::DOUBLE AS rowpix
   FROM lineitem)
 """
@@ -106,12 +106,12 @@ SCORES = """
 ex AS (SELECT *, exp(CAST(embedding[1] AS DOUBLE)) AS e0, exp(CAST(embedding[2] AS DOUBLE)) AS e1,
               exp(CAST(embedding[3] AS DOUBLE)) AS e2, exp(CAST(embedding[4] AS DOUBLE)) AS e3 FROM embeddings),
 scores AS (
-  SELECT vec_id AS review_id, vec_id % 211 AS tic, 1 + vec_id % 5 AS rep_peak_rank, (vec_id * 31 % 97) / 4 AS sde_max,
+  SELECT vec_id AS review_id, vec_id % 211 AS tic, CAST(1 + vec_id % 5 AS INTEGER) AS rep_peak_rank, (vec_id * 31 % 97) / 4 AS sde_max,
          16 + (vec_id % 40) / 10 AS tmag, 0.12::DOUBLE + (vec_id * 11 % 1300) / 100 AS period_d,
-         CAST(3 + vec_id % 28 AS DOUBLE) AS duration_min, 1 + vec_id % 3 AS sector,
+         CAST(3 + vec_id % 28 AS DOUBLE) AS duration_min, CAST(1 + vec_id % 3 AS INTEGER) AS sector,
          e0 / (e0 + e1 + e2 + e3) AS p_planet, e1 / (e0 + e1 + e2 + e3) AS p_eb,
          e2 / (e0 + e1 + e2 + e3) AS p_variable, e3 / (e0 + e1 + e2 + e3) AS p_other,
-         label % 4 AS truth, (label + vec_id) % 5 AS fold
+         CAST(label % 4 AS INTEGER) AS truth, CAST((label + vec_id) % 5 AS INTEGER) AS fold
   FROM ex)
 """
 
