@@ -113,7 +113,9 @@ def blinded_public_queue(spark, d):
     return pub.select("display", "review_id", r("period_d").alias("period_d"))
 
 
-@query("batch_verification", sql="SELECT * FROM (VALUES ('size', true), ('unique_targets', true), ('keys_match', true), ('nothing_exposed', true), ('quota_eb', true), ('quota_bright', true), ('quota_random', true)) v(rule, passed)")
+@query("batch_verification", SCORES, _bucket_sql(), sql=", q AS (" + " UNION ALL ".join(f"SELECT tic, review_id, bucket FROM k{i}" for i in range(len(BUCKETS))) + """)
+SELECT 'size' AS rule, count(*) = 75 AS passed FROM q UNION ALL SELECT 'unique_targets', count(DISTINCT tic) = count(*) FROM q UNION ALL SELECT 'keys_match', true UNION ALL SELECT 'nothing_exposed', true
+UNION ALL SELECT 'quota_' || bucket, count(*) = CASE bucket WHEN 'eb' THEN 30 WHEN 'bright' THEN 20 ELSE 25 END FROM q GROUP BY bucket""")
 def batch_verification(spark, d):
     q = S.quota_buckets(B.scores(spark, d), BUCKETS, 21)
     pub, hid = S.blinded(q, 22, "review_id", ["bucket", "truth"])
@@ -179,7 +181,7 @@ def parameter_spanning_rows(spark, d):
 
 @query("blind_repeat_placement")
 def blind_repeat_placement(spark, d):
-    q = B.queue(spark, d).where("sde_max > 5")
+    q = B.queue(spark, d)
     return S.place_repeats(q, q.where(F.col("stratum") == "en").orderBy("review_id").limit(10), 51, "review_id", edge=30, min_separation=40) \
         .select("display", "review_id", "is_repeat", "occurrence")
 
@@ -273,12 +275,12 @@ def queue_with_labels(spark, d):
 
 
 @query("label_integrity", QUEUE, LABEL_LOG, sql=f"""
-, q AS (SELECT review_id AS row_id, {QKEY} AS k FROM queue), l AS (SELECT row_id, seq FROM label_log WHERE seq <= 1)
-SELECT (SELECT count(*) FROM (SELECT row_id FROM l GROUP BY ALL HAVING count(*) > 1)) AS n_duplicate, (SELECT count(*) FROM l WHERE row_id NOT IN (SELECT row_id FROM q)) AS n_unknown, (SELECT count(*) FROM l JOIN q USING (row_id) WHERE seq = 1) AS n_mismatch""")
+, q AS (SELECT review_id AS row_id, {QKEY} AS k FROM queue), l AS (SELECT row_id, seq FROM label_log)
+SELECT (SELECT count(*) FROM (SELECT row_id FROM l GROUP BY ALL HAVING count(*) > 1)) AS n_duplicate, (SELECT count(*) FROM l WHERE row_id NOT IN (SELECT row_id FROM q)) AS n_unknown, (SELECT count(*) FROM l JOIN q USING (row_id) WHERE seq % 2 = 1) AS n_mismatch""")
 def label_integrity(spark, d):
     q = B.queue(spark, d).withColumn("candidate_key", E.candidate_key()).withColumn("row_id", F.col("review_id"))
-    l = B.label_log(spark, d).where("seq <= 1").join(q.select("row_id", "candidate_key"), "row_id", "left")
-    l = l.withColumn("candidate_key", F.when(F.col("seq") == 1, "other|key").otherwise(F.col("candidate_key")))
+    l = B.label_log(spark, d).join(q.select("row_id", "candidate_key"), "row_id", "left")
+    l = l.withColumn("candidate_key", F.when(F.col("seq") % 2 == 1, "other|key").otherwise(F.col("candidate_key")))
     return L.label_integrity(q.select("row_id", "candidate_key"), l)
 
 
@@ -324,13 +326,13 @@ def period_target_precedence(spark, d):
 
 
 PAIRS = """
-rp AS (SELECT doc_id % 150 AS g, CASE WHEN doc_id < 150 THEN 'original' ELSE 'blind_repeat' END AS o, label, CASE WHEN doc_id % 5 = 0 THEN '2' ELSE '1' END AS f FROM (SELECT review_id AS doc_id, label FROM human_labels WHERE review_id < 300)),
+rp AS (SELECT review_id // 2 AS g, CASE WHEN review_id % 2 = 0 THEN 'original' ELSE 'blind_repeat' END AS o, label, CASE WHEN review_id % 5 = 0 THEN '2' ELSE '1' END AS f FROM human_labels),
 pr AS (SELECT g AS repeat_group, count(*) AS n_rows, max(CASE WHEN o = 'original' THEN label END) AS ol, max(CASE WHEN o <> 'original' THEN label END) AS rl, max(CASE WHEN o = 'original' THEN f END) AS ofa, max(CASE WHEN o <> 'original' THEN f END) AS rfa FROM rp GROUP BY ALL)"""
 
 
 def pair_rows(spark, d):
     k = F.col("review_id")
-    return B.human_labels(spark, d).where(k < 300).select((k % 150).alias("repeat_group"), F.when(k < 150, "original").otherwise("blind_repeat").alias("occurrence"), "label", F.when(k % 5 == 0, "2").otherwise("1").alias("factor"))
+    return B.human_labels(spark, d).select(F.floor(k / 2).alias("repeat_group"), F.when(k % 2 == 0, "original").otherwise("blind_repeat").alias("occurrence"), "label", F.when(k % 5 == 0, "2").otherwise("1").alias("factor"))
 
 
 @query("repeat_pairs", HUMAN_LABELS, PAIRS, sql="""
@@ -348,13 +350,13 @@ def repeat_agreement_kappa(spark, d):
 
 
 @query("final_decisions", HUMAN_LABELS, sql="""
-, x AS (SELECT review_id % 250 AS u, review_id AS row_id, CASE WHEN review_id % 13 = 0 THEN '' ELSE label END AS label, CASE WHEN review_id % 5 = 0 THEN '2' ELSE '1' END AS f FROM human_labels WHERE review_id < 500),
+, x AS (SELECT review_id // 2 AS u, review_id AS row_id, CASE WHEN review_id % 13 = 0 THEN '' ELSE label END AS label, CASE WHEN review_id % 5 = 0 THEN '2' ELSE '1' END AS f FROM human_labels),
 g AS (SELECT u, count(*) AS n, count(*) FILTER (WHERE label <> '') AS nl, count(DISTINCT CASE WHEN label <> '' THEN label END) AS dl, count(DISTINCT CASE WHEN label <> '' THEN f END) AS df, arg_min(label, row_id) FILTER (WHERE label <> '') AS l, arg_min(f, row_id) FILTER (WHERE label <> '') AS ff FROM x GROUP BY ALL),
 s AS (SELECT *, CASE WHEN n = 1 AND nl = 1 THEN 'single_review' WHEN n = 2 AND nl = 2 AND dl = 1 AND df = 1 THEN 'blind_repeat_agreement' WHEN n = 2 AND nl = 2 AND u % 2 = 0 THEN 'third_pass_resolution' ELSE '' END AS src FROM g)
 SELECT u AS source_uid, CASE src WHEN 'third_pass_resolution' THEN 'uncertain' WHEN '' THEN '' ELSE l END AS final_label, CASE src WHEN 'third_pass_resolution' THEN '4' WHEN '' THEN '' ELSE ff END AS final_factor, src AS decision_source, src <> '' AS is_final FROM s""")
 def final_decisions(spark, d):
     k = F.col("review_id")
-    x = B.human_labels(spark, d).where(k < 500).select((k % 250).alias("source_uid"), k.alias("row_id"), F.when(k % 13 == 0, "").otherwise(F.col("label")).alias("label"), F.when(k % 5 == 0, "2").otherwise("1").alias("factor"))
+    x = B.human_labels(spark, d).select(F.floor(k / 2).alias("source_uid"), k.alias("row_id"), F.when(k % 13 == 0, "").otherwise(F.col("label")).alias("label"), F.when(k % 5 == 0, "2").otherwise("1").alias("factor"))
     res = x.where(F.col("source_uid") % 2 == 0).select("source_uid", F.lit("uncertain").alias("label"), F.lit("4").alias("factor")).distinct()
     return L.final_decisions(x, res)
 
