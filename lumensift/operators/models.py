@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lumensift.functions import consts as K
 from lumensift.operators import metrics as M, robust
+from lumensift.operators.ordering import cut_lineage
 
 # fixed deny and allow rules for features
 DENY_EXACT = ("label", "target", "split", "review_id", "injection_id", "match_kind", "is_signal")
@@ -161,7 +162,8 @@ PEAK_NUMERIC = ("rank_inv", "log_period_d", "log_duration_min", "log_abs_depth",
 def train_peak_ranker(labelled: DataFrame, group: str = "injection_id") -> Classifier:
     """Signal against noise peaks from engineered features; rows carry group-disjoint splits beforehand."""
     f = peak_features(labelled, group).withColumn("signal", F.when(F.col("is_signal"), "signal").otherwise("noise"))
-    return train(f, "signal", PEAK_NUMERIC)
+    # several passes follow (levels, scales, iterations), so the features are written once
+    return train(cut_lineage(f.select("signal", *PEAK_NUMERIC)), "signal", PEAK_NUMERIC)
 
 
 def rank_with(model: Classifier, peaks: DataFrame, group: str = "injection_id") -> DataFrame:

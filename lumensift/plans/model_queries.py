@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumensift.functions.hashing import split_of
+from lumensift.operators.ordering import cut_lineage
 from lumensift.operators import metrics as M, models as D, recovery as R, vet as V
 from lumensift.plans.recovery_queries import labelled
 from lumensift.plans.registry import query, r
@@ -168,7 +169,7 @@ def sample_loss_weights(spark, d):
 
 @query("equalised_source_weights", QUEUE, sql="""
 , t AS (SELECT stratum, sum(1.0::DOUBLE) AS t FROM queue WHERE stratum IN ('en', 'de') GROUP BY ALL)
-SELECT review_id, round(CASE WHEN stratum IN ('en', 'de') THEN (SELECT avg(t) FROM t) / t.t ELSE 1 END, 8) AS weight FROM queue q LEFT JOIN t ON t.stratum = q.stratum""")
+SELECT review_id, round(CASE WHEN q.stratum IN ('en', 'de') THEN (SELECT avg(t) FROM t) / t.t ELSE 1 END, 8) AS weight FROM queue q LEFT JOIN t ON t.stratum = q.stratum""")
 def equalised_source_weights(spark, d):
     q = B.queue(spark, d).withColumn("weight", F.lit(1.0))
     return M.equalise(q, "weight", F.when(F.col("stratum").isin("en", "de"), F.col("stratum"))).select("review_id", r("weight", 8).alias("weight"))
@@ -205,7 +206,7 @@ def peak_ranker_recall(spark, d):
     """Train on the hash-train injections, rank the held-out ones, compare recall with the raw rank."""
     l = labelled(spark, d).withColumn("split", split_of(F.col("injection_id")))
     m = D.train_peak_ranker(l.where("split = 'train'"))
-    held = D.rank_with(m, l.where("split <> 'train'"))
+    held = cut_lineage(D.rank_with(m, l.where("split <> 'train'")))
     raw = R.recall_at_k(held, (1, 3, 5), ["peak_rank", "uid_a", "uid_b"]).withColumn("order", F.lit("rank"))
     new = R.recall_at_k(held, (1, 3, 5), [-F.col("p_signal"), F.col("peak_rank"), F.col("uid_a"), F.col("uid_b")]).withColumn("order", F.lit("ranker"))
     return raw.unionByName(new)
@@ -215,6 +216,6 @@ def peak_ranker_recall(spark, d):
 def recovery_boundary_model(spark, d):
     """Two-feature boundary of recovery; log-loss and AUC of its probabilities."""
     o = R.injection_outcomes(labelled(spark, d)).withColumn("observable", F.col("model_depth") * F.sqrt(F.col("n_good_in_transit").cast("double")))
-    s, _ = D.logistic_boundary(o, "topk", F.log(F.col("observable")), F.col("truth_tmag"))
+    s, _ = D.logistic_boundary(cut_lineage(o), "topk", F.log(F.col("observable")), F.col("truth_tmag"))
     auc = M.ranking_metrics(M.score_levels(s, "p", F.col("topk"))).select("n", "n_positive", "roc_auc")
     return auc.join(D.log_loss(s, "p", "topk"), how="cross")
