@@ -86,11 +86,16 @@ def detrend_method_summary(spark, d):
     """Scatter and event retention of every method on the same box-injected curves."""
     c, hot = curves(spark, d)
     j = J.inject_box(c, F.lit(PERIOD), F.lit(T0), F.lit(200.0), F.lit(0.02), hot=hot)
+    # both variants run through each method together, told apart by a suffix of the aperture
+    both = j.withColumn("aperture", F.concat("aperture", F.lit("#0"))).drop("injected").unionByName(
+        j.withColumn("aperture", F.concat("aperture", F.lit("#1"))).withColumn("flux", F.col("injected")).drop("injected"))
     out = None
     for m in METHODS:
-        a = D.apply_method(j, m, hot=hot).select(*CURVE, "cadenceno", "in_transit", "quality", F.col("det_flux").alias("original"), F.lit(0.02).alias("model_depth"), "method")
-        b = D.apply_method(j.withColumn("flux", F.col("injected")), m, hot=hot).select(*CURVE, "cadenceno", F.col("det_flux").alias("injected"))
-        s = J.signal_survival(a.join(b, [*CURVE, "cadenceno"]).where("quality = 0"), ["method", *CURVE], hot)
+        a = D.apply_method(both, m, hot=hot).where("quality = 0")
+        inj = F.substring_index("aperture", "#", -1) == "1"
+        p = a.groupBy("method", "tic", F.substring_index("aperture", "#", 1).alias("aperture"), "cadenceno").agg(
+            F.max(F.when(~inj, F.col("det_flux"))).alias("original"), F.max(F.when(inj, F.col("det_flux"))).alias("injected"), F.bool_or("in_transit").alias("in_transit"))
+        s = J.signal_survival(p.withColumn("model_depth", F.lit(0.02)), ["method", *CURVE], hot)
         one = J.retention_summary(s, ["method", "aperture"])
         out = one if out is None else out.unionByName(one)
     return out
