@@ -134,11 +134,17 @@ def robust_scales(df: DataFrame, keys: Sequence[str], value: Column, hot: bool =
     """Median, MAD sigma with std fallback, and p68 of |x| with median-|x| fallback."""
     keys = list(keys)
     base = df.select(*keys, finite_or_null(value).alias("_v"))
-    mm = median_mad(base, keys, F.col("_v"), hot, "med", "mad")
-    absq = grouped_quantiles(base, keys, F.abs("_v"), {"p68": 0.68, "abs_med": 0.5}, hot)
-    std = base.groupBy(*keys).agg(F.stddev_pop("_v").alias("std"))
+    if hot:
+        g = median_mad(base, keys, F.col("_v"), True, "med", "mad")
+        g = g.join(grouped_quantiles(base, keys, F.abs("_v"), {"p68": 0.68, "abs_med": 0.5}, True), keys)
+        g = g.join(base.groupBy(*keys).agg(F.stddev_pop("_v").alias("std")), keys)
+    else:
+        # window and aggregate share one exchange
+        g = with_median(base, keys, F.col("_v"), "_m").groupBy(*keys).agg(
+            F.first("_m").alias("med"), F.percentile(F.abs(F.col("_v") - F.col("_m")), 0.5).alias("mad"), F.percentile(F.abs("_v"), 0.68).alias("p68"),
+            F.percentile(F.abs("_v"), 0.5).alias("abs_med"), F.stddev_pop("_v").alias("std"))
     s = F.col("mad") * MAD_SIGMA
-    return mm.join(absq, keys).join(std, keys).select(
+    return g.select(
         *keys, "med",
         F.when(s > 0, s).otherwise(F.col("std")).alias("sigma"),
         F.when(F.col("p68") > 0, F.col("p68")).otherwise(F.col("abs_med")).alias("abs_scale"),

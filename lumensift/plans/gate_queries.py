@@ -72,15 +72,15 @@ def cadence_quality_gate(spark, d):
 
 
 @query("aperture_ratio_gate", CADENCES, NORM, PM, sql=f"""
-, g AS (SELECT count(mad_ratio) / count(*) AS v, count(*) FILTER (WHERE mad_ratio < 1.0::DOUBLE / 3.0::DOUBLE OR mad_ratio > 3) / count(mad_ratio) AS mo, count(*) FILTER (WHERE mad_ratio < 0.1 OR mad_ratio > 10) / count(mad_ratio) AS ex, count(correlation) / count(*) AS cv, median(correlation) AS cm, count(*) FILTER (WHERE correlation < -0.2) / count(correlation) AS ng FROM pair),
-s AS (SELECT *, {SM('v', 0.98, 0.95)} AS s1, {ST('mo', 0.05, 0.10)} AS s2, {ST('ex', 0.005, 0.01)} AS s3, {SM('cv', 0.98, 0.95)} AS s4, {SM('cm', 0.10, 0.0)} AS s5, {ST('ng', 0.05, 0.10)} AS s6 FROM g)
+, gq AS (SELECT count(mad_ratio) / count(*) AS v, count(*) FILTER (WHERE mad_ratio < 1.0::DOUBLE / 3.0::DOUBLE OR mad_ratio > 3) / count(mad_ratio) AS mo, count(*) FILTER (WHERE mad_ratio < 0.1 OR mad_ratio > 10) / count(mad_ratio) AS ex, count(correlation) / count(*) AS cv, median(correlation) AS cm, count(*) FILTER (WHERE correlation < -0.2) / count(correlation) AS ng FROM pair),
+s AS (SELECT *, {SM('v', 0.98, 0.95)} AS s1, {ST('mo', 0.05, 0.10)} AS s2, {ST('ex', 0.005, 0.01)} AS s3, {SM('cv', 0.98, 0.95)} AS s4, {SM('cm', 0.10, 0.0)} AS s5, {ST('ng', 0.05, 0.10)} AS s6 FROM gq)
 SELECT 'aperture_pair' AS gate, {WORST('s1', 's2', 's3', 's4', 's5', 's6')} AS status, round(mo, 8) AS moderate_fraction, round(cm, 7) AS correlation_median FROM s""")
 def aperture_ratio_gate(spark, d):
     c, hot = curves(spark, d)
     return G.aperture_gate(G.pair_metrics(c, "SML", "PRI", hot)).select("gate", "status", r("moderate_fraction", 8).alias("moderate_fraction"), r("correlation_median", 7).alias("correlation_median"))
 
 
-@query("scatter_magnitude_gate", CADENCES, AM)
+@query("scatter_magnitude_gate")
 def scatter_magnitude_gate(spark, d):
     c, hot = curves(spark, d)
     t = c.select("tic").distinct().withColumn("tmag", 16 + (F.col("tic") % 40) / 10)
@@ -97,7 +97,7 @@ def target_quality_flags(spark, d):
     return G.target_flags(c.select("tic").distinct(), anomalies(spark, d), G.aperture_metrics(c, hot), G.pair_metrics(c, "SML", "PRI", hot))
 
 
-@query("composed_gate", CADENCES)
+@query("composed_gate")
 def composed_gate(spark, d):
     c, hot = curves(spark, d)
     m, p = G.aperture_metrics(c, hot), G.pair_metrics(c, "SML", "PRI", hot)
