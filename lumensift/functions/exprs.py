@@ -449,3 +449,26 @@ def class_index(target, classes: Sequence[str], include=None) -> Column:
     pos = F.array_position(F.array(*[F.lit(c) for c in classes]), _c(target)) - 1
     keep = F.lit(True) if include is None else _c(include)
     return F.when(keep, F.coalesce(pos, F.lit(-1).cast("bigint"))).otherwise(F.lit(-1).cast("bigint"))
+
+
+# --- reference curves ------------------------------------------------------
+
+def log_interp(x, anchors: Sequence[tuple[float, float]]) -> Column:
+    """Log-log interpolation through anchor points, held flat outside."""
+    v = F.log(_c(x))
+    pts = [(math.log(a), math.log(b)) for a, b in anchors]
+    chain = F.when(v <= pts[0][0], F.lit(pts[0][1]))
+    for (x0, y0), (x1, y1) in zip(pts, pts[1:]):
+        chain = chain.when(v <= x1, F.lit(y0) + (v - x0) * ((y1 - y0) / (x1 - x0)))
+    return F.exp(chain.otherwise(F.lit(pts[-1][1])))
+
+
+def fluid_roche_period_d(density_g_cm3, c: float = 2.44) -> Column:
+    """sqrt(3 pi C^3 / G rho) in days."""
+    return F.sqrt(F.lit(3 * math.pi * c**3 / K.G_SI) / (_c(density_g_cm3) * 1000.0)) / K.SEC_PER_DAY
+
+
+def boundary_radius(intercept: float, slope_radius: float, slope_mag: float, tmag, probability: float) -> Column:
+    """Radius at which a logistic in log10(radius) and magnitude reaches a probability."""
+    logit = math.log(probability / (1 - probability))
+    return F.pow(F.lit(10.0), (F.lit(logit - intercept) - slope_mag * _c(tmag)) / slope_radius)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lumensift.functions import consts as K
+from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import cadence, robust, skew
 from lumensift.session import hot_rows
 
@@ -396,3 +396,56 @@ def consolidate(peaks: DataFrame, apertures: Sequence[str], sde_min: float = K.C
                     F.col("r.sde").alias("sde_max"), F.col("r.aperture").alias("rep_aperture"), F.col("r.peak_rank").alias("rep_peak_rank"),
                     F.size("aps").alias("n_apertures_agree"), F.array_join("aps", ",").alias("apertures_agree"),
                     *[x for a in apertures for x in (f"sde_{a}", f"rank_{a}")], "n_cad_kept_max", "n_members", "r.baseline_d", "r.bls_run_id")
+
+
+def refine(q: DataFrame, stats: DataFrame, centres: DataFrame, half_width: float, n_periods: int, cfg: SearchConfig, min_snr: float = 0.0) -> DataFrame:
+    """Best box on a narrow linear grid around each curve's given period, kept when its S/N reaches ``min_snr``.
+
+    ``centres`` has one period per curve; the fold kernel is the bulk search's.
+    """
+    w, boxes = cfg.widths()
+    packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"))
+    rows = packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all"), CURVE).join(centres.select(*CURVE, F.col("period_d").alias("p0")), CURVE)
+    rows = rows.select(*CURVE, "t_min", "n_all", "s_all", "p0", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                t, y = np.asarray(row.ts, dtype=np.float64) - row.t_min, np.asarray(row.ys, dtype=np.int64)
+                p = row.p0 * np.linspace(1 - half_width, 1 + half_width, n_periods)
+                sub, best = max(1, 400_000 // max(1, t.size)), None
+                for a in range(0, n_periods, sub):
+                    power, n_in, o = _fold_chunk(t, y, p[a:a + sub], w, boxes, int(row.n_all), int(row.s_all))
+                    i = int(power.argmax())
+                    if power[i] > 0 and (best is None or power[i] > best[4]):
+                        best = (row.tic, row.aperture, a + i, float(p[a + i]), float(power[i]), float(o["depth"][i]), float(o["snr"][i]), float(o["dur"][i]), row.t_min + float(o["t0"][i]), int(n_in[i]))
+                if best is not None and best[6] >= min_snr:
+                    out.append(best)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SPECTRUM.split(", ")])
+
+    return rows.mapInPandas(run, SPECTRUM)
+
+
+def parameter_sweep(cadences: DataFrame, configs: dict[str, SearchConfig], hot: bool = False) -> DataFrame:
+    """Peaks of several search settings in one table with a ``sweep`` column."""
+    out = None
+    for name, cfg in configs.items():
+        one = search(cadences, cfg, hot).withColumn("sweep", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def truth_diagnostics(clean: DataFrame, truth: DataFrame, keys: Sequence[str], hot: bool = False, value: str = "y") -> DataFrame:
+    """Rows inside the true window and their depth against the level outside max(5 d, d + 20 min)."""
+    keys = list(keys)
+    d = clean.join(truth.select("tic", "injection_id", "truth_period_d", "truth_t0", "truth_duration_min"), "tic")
+    m = F.abs(E.phase_minutes("time", "truth_period_d", "truth_t0"))
+    dur = F.col("truth_duration_min")
+    d = d.withColumns({"_i": F.when(m <= dur / 2, F.col(value)), "_o": F.when(m > F.greatest(5 * dur, dur + 20), F.col(value))})
+    g = d.groupBy(*keys).agg(F.count("_i").alias("n_in"), F.count("_o").alias("n_out"))
+    g = g.join(robust.grouped_quantiles(d, keys, F.col("_i"), {"_mi": 0.5}, hot), keys, "left")
+    g = g.join(robust.median_mad(d, keys, F.col("_o"), hot, "_mo", "_do"), keys, "left")
+    depth = 1 - F.col("_mi") / F.nullif("_mo", F.lit(0.0))
+    sigma = F.lit(K.MAD_SIGMA) * F.col("_do") / F.nullif("_mo", F.lit(0.0))
+    return g.select(*keys, "n_in", "n_out", depth.alias("depth"), F.when(sigma > 0, depth / F.nullif(sigma, F.lit(0.0)) * F.sqrt("n_in")).alias("snr"))

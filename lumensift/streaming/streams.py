@@ -13,11 +13,11 @@ LATEST = "row_id bigint, label string, updated_utc timestamp, seq bigint"
 STATE = "label string, updated_us bigint, seq bigint"
 
 
-def latest_label_stream(log: DataFrame, ttl_ms: int = 7 * 24 * 3600 * 1000, watermark: str = "1 hour") -> DataFrame:
+def latest_label_stream(log: DataFrame, ttl_ms: int | None = 7 * 24 * 3600 * 1000) -> DataFrame:
     """Newest label per row id, emitted whenever it changes (update mode).
 
     State holds one record per row and expires after ``ttl_ms`` without news; a later change of an expired row
-    starts over. Records without a time count as oldest.
+    starts over. Records without a time count as oldest. ``ttl_ms=None`` keeps state for good (bounded replays).
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,13 +31,14 @@ def latest_label_stream(log: DataFrame, ttl_ms: int = 7 * 24 * 3600 * 1000, wate
                 if best is None or (u, int(s)) > (best[1], best[2]):
                     best = (label, int(u), int(s))
         state.update(best)
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         if best != start:
-            when = None if best[1] < 0 else pd.Timestamp(best[1] * 1000)
-            yield pd.DataFrame({"row_id": [key[0]], "label": [best[0]], "updated_utc": [when], "seq": [best[2]]})
+            when = pd.Series([pd.NaT if best[1] < 0 else pd.Timestamp(best[1] * 1000)], dtype="datetime64[ns]")
+            yield pd.DataFrame({"row_id": [key[0]], "label": [best[0]], "updated_utc": when, "seq": [best[2]]})
 
     return log.select("row_id", "label", F.col("updated_utc").cast("timestamp").alias("updated_utc"), "seq").groupBy("row_id").applyInPandasWithState(
-        step, LATEST, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        step, LATEST, STATE, "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def gap_session_stream(cadences: DataFrame, gap: str = "12 hours", watermark: str = "1 day") -> DataFrame:
