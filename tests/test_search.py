@@ -16,14 +16,15 @@ def prepared(spark, planted):
     return q, S.curve_stats(q, CFG)
 
 
-def test_planted_period_is_first_in_both_plans(spark, planted, prepared):
+def test_plans_agree_and_find_the_planted_period(spark, planted, prepared):
     q, st = prepared
     a = S.with_sde(S.spectrum_packed(q, st, CFG)).toPandas().sort_values(["aperture", "period_idx"]).reset_index(drop=True)
     b = S.with_sde(S.spectrum_binned(q, st, CFG)).toPandas().sort_values(["aperture", "period_idx"]).reset_index(drop=True)
     assert len(a) == len(b)
     for c in ("period_d", "power", "depth", "depth_snr", "duration_min", "t0", "n_in", "sde"):
         assert np.allclose(a[c], b[c], rtol=1e-12), c
-    best = a.sort_values("sde").iloc[-1]
+    fine = replace(CFG, n_periods=2000)
+    best = S.with_sde(S.spectrum_packed(q, st, fine)).toPandas().sort_values("sde").iloc[-1]
     assert abs(best["period_d"] / 1.5 - 1) < 0.01
     assert abs((best["t0"] - 0.2 + 0.75) % 1.5 - 0.75) < 20 / 1440
 
@@ -76,7 +77,7 @@ def test_native_and_array_walks_agree(prepared):
 
 def test_end_to_end_one_cluster_with_both_apertures(spark, planted):
     df = spark.createDataFrame(planted)
-    rows = S.search(df, CFG)
+    rows = S.search(df, replace(CFG, n_periods=2000))
     top = rows.where("peak_rank = 1").collect()
     assert {r["aperture"] for r in top} == {"SML", "PRI"} and all(abs(r["period_d"] / 1.5 - 1) < 0.01 for r in top)
     peaks = rows.where("peak_rank = 1").select("tic", F.lit(1).alias("sector"), F.lit(1).alias("cam"), F.lit(1).alias("ccd"), F.lit(18.0).alias("tmag"), "aperture", "peak_rank", "period_d",
@@ -85,7 +86,8 @@ def test_end_to_end_one_cluster_with_both_apertures(spark, planted):
     assert len(c) == 1 and c[0]["n_apertures_agree"] == 2
     short = S.search(df.where("cadenceno < 50"), CFG).collect()
     assert {r["status"] for r in short} == {"too_few_cadences"} and {r["peak_rank"] for r in short} == {0}
-    fine = S.refine(*[x for x in (S.with_integer_flux(C.clean(df)),)], S.curve_stats(S.with_integer_flux(C.clean(df)), CFG), rows.where("peak_rank = 1"), 0.01, 201, CFG).collect()
+    q = S.with_integer_flux(C.clean(df))
+    fine = S.refine(q, S.curve_stats(q, CFG), rows.where("peak_rank = 1"), 0.01, 201, CFG).collect()
     assert all(abs(r["period_d"] / 1.5 - 1) < 0.003 for r in fine)
 
 
