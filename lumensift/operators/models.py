@@ -131,14 +131,16 @@ class Classifier:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/weights")
         spark = SparkSession.active()
-        rows = [(list(self.classes), self.spec.centres, self.spec.scales, {k: list(v) for k, v in self.spec.levels.items()})]
-        spark.createDataFrame(rows, "classes array<string>, centres map<string,double>, scales map<string,double>, levels map<string,array<string>>").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{path}/spec")
+        # arrays keep the column order of the weights
+        num = [(c, self.spec.centres[c], self.spec.scales[c]) for c in self.spec.centres]
+        cat = [(c, list(v)) for c, v in self.spec.levels.items()]
+        spark.createDataFrame([(list(self.classes), num, cat)], "classes array<string>, numeric array<struct<name: string, centre: double, scale: double>>, levels array<struct<name: string, kept: array<string>>>") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
 
     @staticmethod
     def load(spark, path: str) -> "Classifier":
         r = spark.read.parquet(f"{path}/spec").first()
-        spec = FeatureSpec(dict(r["centres"]), dict(r["scales"]), {k: tuple(v) for k, v in r["levels"].items()})
+        spec = FeatureSpec({n["name"]: n["centre"] for n in r["numeric"]}, {n["name"]: n["scale"] for n in r["numeric"]}, {c["name"]: tuple(c["kept"]) for c in r["levels"]})
         return Classifier(tuple(r["classes"]), spec, LogisticRegressionModel.load(f"{path}/weights"))
 
 

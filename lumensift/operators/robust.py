@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions.consts import MAD_SIGMA
+from lumensift.operators.ordering import cut_lineage
 
 
 def finite(c: Column) -> Column:
@@ -47,6 +48,7 @@ def _narrow(rows: DataFrame, keys: list[str], ranks: DataFrame, bins: int, round
             .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
             .select(*keys, "rank", (F.col("upto") - F.col("n")).alias("below"), "lo", "hi")
         )
+        state = cut_lineage(state)
     tail = (
         rows.join(state, keys)
         .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
@@ -66,8 +68,8 @@ def grouped_quantiles(
     value: Column,
     probs: dict[str, float],
     hot: bool = False,
-    bins: int = 1024,
-    rounds: int = 3,
+    bins: int = 4096,
+    rounds: int = 2,
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles ``{name: p}``; missing values skipped."""
     keys = list(keys)
@@ -79,14 +81,15 @@ def grouped_quantiles(
     if whole:
         keys = ["_all"]
         df = df.withColumn("_all", F.lit(1))
-    rows = df.select(*keys, value.alias("v")).where(finite(F.col("v")))
+    # every round reads the rows again, so they are written once
+    rows = cut_lineage(df.select(*keys, value.alias("v")).where(finite(F.col("v"))))
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     pos = lambda p: F.lit(float(p)) * (F.col("m") - 1)
     ks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(pos(p)), F.ceil(pos(p))) for p in probs.values()])))
     ranks = stats.select(*keys, F.explode(ks).alias("rank"), F.lit(0).cast("bigint").alias("below"), "lo", "hi")
-    found = _narrow(rows, keys, ranks, bins, rounds)
+    found = _narrow(rows, keys, cut_lineage(ranks), bins, rounds)
     lookup = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    base = df.select(*keys).distinct().join(stats, keys, "left").join(lookup, keys, "left")
+    base = df.select(*keys).distinct().join(stats, keys, "left").join(cut_lineage(lookup), keys, "left")
     out = []
     for n, p in probs.items():
         low, high = F.col("at")[F.floor(pos(p))], F.col("at")[F.ceil(pos(p))]

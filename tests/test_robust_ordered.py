@@ -32,8 +32,8 @@ def test_hot_scales_equal_direct(values):
     a = sorted(map(tuple, robust.robust_scales(df, ["k"], F.col("v")).collect()))
     b = sorted(map(tuple, robust.robust_scales(df, ["k"], F.col("v"), hot=True).collect()))
     assert np.allclose(np.array(a, float), np.array(b, float))
-    a = sorted(map(tuple, robust.clipped_rms(df, ["k"], F.col("v"), 3.0).collect()))
-    b = sorted(map(tuple, robust.clipped_rms(df, ["k"], F.col("v"), 3.0, hot=True).collect()))
+    a = sorted(map(tuple, robust.clipped_rms(df, ["k"], F.col("v"), 3.0, 1).collect()))
+    b = sorted(map(tuple, robust.clipped_rms(df, ["k"], F.col("v"), 3.0, 1, hot=True).collect()))
     assert np.allclose(np.array(a, float), np.array(b, float))
 
 

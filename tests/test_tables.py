@@ -196,7 +196,7 @@ def test_sql_functions_and_table_function(spark, planted):
     assert abs(spark.sql("SELECT phase_days(1.6D, 1.5D, 0.2D) AS p").first()["p"] - (-0.1)) < 1e-12
     t = planted[planted["aperture"] == "SML"]
     spark.createDataFrame(pd.DataFrame({"tic": 7, "aperture": "SML", "time": t["time"], "y": t["flux"] / t["flux"].median()})).createOrReplaceTempView("one_curve")
-    top = spark.sql("SELECT * FROM box_periodogram(TABLE(SELECT * FROM one_curve) PARTITION BY tic, aperture) ORDER BY power DESC LIMIT 1").first()
+    top = spark.sql("SELECT * FROM box_periodogram(TABLE(SELECT * FROM one_curve) PARTITION BY (tic, aperture)) ORDER BY power DESC LIMIT 1").first()
     ratio = top["period_d"] / 1.5
     assert min(abs(ratio - f) for f in (0.5, 1, 2)) < 0.01
 
