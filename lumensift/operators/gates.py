@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import cadence, robust
 from lumensift.operators.cadence import CURVE
+from lumensift.operators.skew import with_row
 
 # fixed gate limits: (pass, review)
 SCATTER_FINITE = (0.98, 0.95)
@@ -90,7 +91,7 @@ def cadence_gate(anomalies: DataFrame, metrics: DataFrame, apertures: int = 2) -
     use = F.col("quality0_fraction") * F.col("finite_q0_fraction")
     m = metrics.agg(F.percentile("finite_q0_fraction", 0.5).alias("finite_median"), F.percentile("finite_q0_fraction", 0.05).alias("finite_p05"), F.percentile(use, 0.5).alias("usable_median"),
                     F.percentile(use, 0.05).alias("usable_p05"), F.count(F.lit(1)).alias("n_curves"))
-    j = a.join(m, how="cross")  # one row each
+    j = a.transform(with_row, m)
     checks = {"loss_median": E.status_max("loss_median", *LOSS_MEDIAN), "loss_p95": E.status_max("loss_p95", *LOSS_P95), "finite_median": E.status_min("finite_median", *FINITE_MEDIAN),
               "finite_p05": E.status_min("finite_p05", *FINITE_P05), "usable_median": E.status_min("usable_median", *USABLE_MEDIAN), "usable_p05": E.status_min("usable_p05", *USABLE_P05),
               "integrity": F.when((F.col("n_anomalies") == 0) & (F.col("n_curves") == F.col("n_targets") * apertures), "pass").otherwise("fail")}
@@ -158,7 +159,7 @@ def coverage_audit(peaks: DataFrame, targets: DataFrame, apertures: Sequence[str
     j = want.join(got, ["tic", "aperture"], "full_outer")
     s = j.agg(F.count("_e").alias("n_expected"), F.count_if(F.col("_g").isNull()).alias("n_missing"), F.count_if(F.col("_e").isNull()).alias("n_unexpected"), F.count_if(F.col("n_ok") == 0).alias("n_failed"))
     c = peaks.agg(F.countDistinct("bls_run_id").alias("n_run_ids"))
-    return s.join(c, how="cross").withColumn("passed", (F.col("n_missing") == 0) & (F.col("n_unexpected") == 0) & (F.col("n_run_ids") == 1))  # one row each
+    return s.transform(with_row, c).withColumn("passed", (F.col("n_missing") == 0) & (F.col("n_unexpected") == 0) & (F.col("n_run_ids") == 1))
 
 
 def integrity_gate(metrics: DataFrame, pairs: DataFrame, min_targets: int) -> DataFrame:
@@ -168,13 +169,13 @@ def integrity_gate(metrics: DataFrame, pairs: DataFrame, min_targets: int) -> Da
     b = lambda c: F.when(F.coalesce(c, F.lit(False)), "pass").otherwise("fail")
     checks = {"photometry": b((F.col("n") >= min_targets) & (F.col("fm") >= 0.95) & (F.col("f5") >= 0.50) & (F.col("qm") >= 0.50)),
               "apertures": b((F.col("cv") >= 0.90) & (F.col("cm") >= 0.30) & F.col("rm").between(0.10, 10.0))}
-    return _gate("integrity", m.join(p, how="cross"), checks, ["n", "fm", "cm", "rm"])  # one row each
+    return _gate("integrity", m.transform(with_row, p), checks, ["n", "fm", "cm", "rm"])
 
 
 def magnitude_bins(metrics: DataFrame, value: str, bins: int = 5, by: str = "tmag") -> DataFrame:
     """Medians in quantile bins of magnitude; equal edges collapse. Edges are one small row, broadcast."""
     edges = metrics.agg(F.array_distinct(F.percentile(by, [i / bins for i in range(bins + 1)])).alias("e"))
-    j = metrics.join(F.broadcast(edges), how="cross")
+    j = metrics.transform(with_row, edges)
     b = F.greatest(F.lit(0), F.size(F.filter("e", lambda x: x < F.col(by))) - 1)
     return j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi"), F.percentile(value, 0.5).alias("median_value"))
 

@@ -10,6 +10,7 @@ from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import skew
 from lumensift.operators.ordering import with_global_row_number
 from lumensift.operators.vet import first_by
+from lumensift.operators.skew import with_row
 
 
 def latest_labels(log: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def label_integrity(queue: DataFrame, labels: DataFrame) -> DataFrame:
     unknown = labels.join(queue, "row_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown"))
     mism = labels.join(queue.select("row_id", F.col("candidate_key").alias("_k")), "row_id").where(~F.col("candidate_key").eqNullSafe(F.col("_k"))) \
         .agg(F.count(F.lit(1)).alias("n_mismatch"))
-    return dup.join(unknown, how="cross").join(mism, how="cross")  # one row each
+    return dup.transform(with_row, unknown).transform(with_row, mism)
 
 
 def join_by_key(labels: DataFrame, queue: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def label_roles(df: DataFrame, rare_below: int) -> DataFrame:
     target = E.label_target("label")
     d = df.withColumn("target", target)
     sizes = d.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(F.broadcast(sizes), "target")  # one row per label
+    d = d.join(sizes, "target")
     rare = (F.col("_n") < rare_below) & (F.col("target") != "")
     return d.withColumns({"is_audit": F.col("label") == "uncertain", "is_excluded": F.col("target") == "", "is_rare": rare,
                           "main_include": (F.col("target") != "") & ~rare & (F.col("label") != "uncertain")}).drop("_n")
@@ -115,7 +116,7 @@ def agreement(pairs: DataFrame, left: str = "original_label", right: str = "repe
     m = both.groupBy("label").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
     chance = m.agg(F.sum(F.col("l") * F.col("r")).alias("_c"))
     o = d.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg((F.col(left) == F.col(right)).cast("double")).alias("observed"))
-    j = o.join(chance, how="cross").withColumn("expected", F.col("_c") / (F.col("n_pairs") * F.col("n_pairs")))  # one row each
+    j = o.transform(with_row, chance).withColumn("expected", F.col("_c") / (F.col("n_pairs") * F.col("n_pairs")))
     kappa = F.when(F.abs(1 - F.col("expected")) < 1e-12, F.when(F.abs(1 - F.col("observed")) < 1e-12, 1.0)).otherwise((F.col("observed") - F.col("expected")) / F.nullif(1 - F.col("expected"), F.lit(0.0)))
     return j.select("n_pairs", "observed", "expected", kappa.alias("kappa"))
 

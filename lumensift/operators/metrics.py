@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.operators.ordering import cut_lineage
 from lumensift.session import hot_rows
+from lumensift.operators.skew import with_row
 
 
 def score_predictions(df: DataFrame, probs: dict[str, str]) -> DataFrame:
@@ -94,7 +95,7 @@ def ranking_metrics(levels: DataFrame, cut: float = 0.5) -> DataFrame:
 def budget_curve(levels: DataFrame) -> DataFrame:
     """Share reviewed against share of positives found, level by level."""
     tot = levels.agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
-    d = levels.join(F.broadcast(tot), how="cross")  # one row
+    d = levels.transform(with_row, tot)
     return d.select("score", (F.col("cum_n") / F.col("_n")).alias("reviewed_fraction"), (F.col("cum_pos") / F.nullif("_p", F.lit(0))).alias("recall"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"))
 
 
@@ -156,10 +157,10 @@ def class_weights(df: DataFrame, klass: str, cap: float) -> DataFrame:
     """min(cap, sqrt(largest class / class)) scaled to mean 1 over active rows; class sizes are a tiny table."""
     n = df.where(F.col(klass).isNotNull()).groupBy(klass).agg(F.count(F.lit(1)).alias("_n"))
     top = n.agg(F.max("_n").alias("_top"))
-    w = n.join(F.broadcast(top), how="cross").withColumn("_w", F.least(F.lit(cap), F.sqrt(F.col("_top") / F.col("_n"))))
+    w = n.transform(with_row, top).withColumn("_w", F.least(F.lit(cap), F.sqrt(F.col("_top") / F.col("_n"))))
     mean = w.agg((F.sum(F.col("_w") * F.col("_n")) / F.sum("_n")).alias("_mean"))
-    w = w.join(F.broadcast(mean), how="cross").select(klass, (F.col("_w") / F.col("_mean")).alias("weight"))  # one row each
-    return df.join(F.broadcast(w), klass, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    w = w.transform(with_row, mean).select(klass, (F.col("_w") / F.col("_mean")).alias("weight"))
+    return df.join(w, klass, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def equalise(df: DataFrame, weight: str, group: Column) -> DataFrame:
@@ -167,8 +168,8 @@ def equalise(df: DataFrame, weight: str, group: Column) -> DataFrame:
     d = df.withColumn("_g", group)
     t = d.where("_g IS NOT NULL").groupBy("_g").agg(F.sum(weight).alias("_t")).where("_t > 0")
     goal = t.agg(F.avg("_t").alias("_goal"), F.count(F.lit(1)).alias("_k"))
-    f = t.join(F.broadcast(goal), how="cross").select("_g", F.when(F.col("_k") >= 2, F.col("_goal") / F.col("_t")).otherwise(1.0).alias("_f"))
-    return d.join(F.broadcast(f), "_g", "left").withColumn(weight, F.col(weight) * F.coalesce("_f", F.lit(1.0))).drop("_g", "_f")
+    f = t.transform(with_row, goal).select("_g", F.when(F.col("_k") >= 2, F.col("_goal") / F.col("_t")).otherwise(1.0).alias("_f"))
+    return d.join(f, "_g", "left").withColumn(weight, F.col(weight) * F.coalesce("_f", F.lit(1.0))).drop("_g", "_f")
 
 
 def sample_weights(df: DataFrame, klass: str = "target", source: str = "is_injected", cap: float = 4.0, injected_share: float = 0.25, equal_class: str = "planet_like") -> DataFrame:
@@ -177,9 +178,9 @@ def sample_weights(df: DataFrame, klass: str = "target", source: str = "is_injec
     t = d.groupBy(klass).agg(F.sum(F.when(~F.col(source), F.col("weight"))).alias("_real"), F.sum(F.when(F.col(source), F.col("weight"))).alias("_inj"))
     limit = F.when(F.col(klass) == equal_class, F.col("_real")).otherwise(injected_share * F.col("_real"))
     f = t.select(klass, F.when((F.col("_real") > 0) & (F.col("_inj") > limit), limit / F.nullif("_inj", F.lit(0.0))).otherwise(1.0).alias("_f"))
-    d = d.join(F.broadcast(f), klass, "left").withColumn("weight", F.when(F.col(source), F.col("weight") * F.coalesce("_f", F.lit(1.0))).otherwise(F.col("weight"))).drop("_f")
+    d = d.join(f, klass, "left").withColumn("weight", F.when(F.col(source), F.col("weight") * F.coalesce("_f", F.lit(1.0))).otherwise(F.col("weight"))).drop("_f")
     mean = d.where("weight > 0").agg(F.avg("weight").alias("_m"))
-    return d.join(F.broadcast(mean), how="cross").withColumn("weight", F.col("weight") / F.col("_m")).drop("_m")
+    return d.transform(with_row, mean).withColumn("weight", F.col("weight") / F.col("_m")).drop("_m")
 
 
 def pseudo_labels(df: DataFrame, min_confidence: float = 0.98, min_margin: float = 0.5, per_class: int = 5000, key: str = "review_id") -> DataFrame:
@@ -191,7 +192,7 @@ def pseudo_labels(df: DataFrame, min_confidence: float = 0.98, min_margin: float
 def review_priority(df: DataFrame, n: int, key: str = "review_id") -> DataFrame:
     """.65 entropy + .25 scaled strength + .10 confidence, first n."""
     lim = df.agg(F.min(F.coalesce("sde_max", F.lit(0.0))).alias("_lo"), F.max(F.coalesce("sde_max", F.lit(0.0))).alias("_hi"))
-    d = df.join(F.broadcast(lim), how="cross")  # one row
+    d = df.transform(with_row, lim)
     s = F.when(F.col("_hi") > F.col("_lo"), (F.coalesce("sde_max", F.lit(0.0)) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).otherwise(0.0)
     pr = 0.65 * F.coalesce("entropy", F.lit(0.0)) + 0.25 * s + 0.10 * F.coalesce("confidence", F.lit(0.0))
     return d.withColumn("review_priority", pr).drop("_lo", "_hi").orderBy(F.desc("review_priority"), key).limit(n)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
+from lumensift.operators.skew import with_row
 
 TRUTH_COLS = ("truth_period_d", "truth_tmag", "grid_period_bin", "grid_radius_bin", "n_good_in_transit", "model_depth")
 
@@ -62,7 +63,7 @@ def failure_modes(outcomes: DataFrame, q: float = 0.5, min_reference: int = 5) -
     rec = d.where("topk")
     ref = rec.groupBy("tmag_bin").agg(F.percentile("proxy", q).alias("bin_ref"), F.count(F.lit(1)).alias("n_ref"))
     whole = rec.agg(F.percentile("proxy", q).alias("all_ref"))
-    d = d.join(ref, "tmag_bin", "left").join(F.broadcast(whole), how="cross")  # one row
+    d = d.join(ref, "tmag_bin", "left").transform(with_row, whole)
     limit = F.when(F.col("n_ref") >= min_reference, F.col("bin_ref")).otherwise(F.col("all_ref"))
     mode = (F.when(F.col("top1"), "recovered_top1").when(F.col("topk"), "recovered_topk")
             .when(F.col("best_signal_rank").isNotNull(), "ranked_too_deep")
@@ -256,7 +257,7 @@ def sweep_deltas(matches: DataFrame, baseline: str) -> DataFrame:
     hit = matches.where("matched").select("sweep", "injection_id").distinct().join(base, "injection_id", "left")
     n_base = base.agg(F.count(F.lit(1)).alias("n_baseline"))
     g = hit.groupBy("sweep").agg(F.count(F.lit(1)).alias("n_matched"), F.count_if(F.col("_b").isNull()).alias("n_new"), F.count("_b").alias("n_kept"))
-    return g.join(F.broadcast(n_base), how="cross").select("sweep", "n_matched", "n_new", (F.col("n_baseline") - F.col("n_kept")).alias("n_lost"),
+    return g.transform(with_row, n_base).select("sweep", "n_matched", "n_new", (F.col("n_baseline") - F.col("n_kept")).alias("n_lost"),
                                                           (F.col("n_new") - F.col("n_baseline") + F.col("n_kept")).alias("net"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions.consts import MAD_SIGMA
 from lumensift.operators.ordering import cut_lineage
+from lumensift.operators.skew import with_row
 
 
 def finite(c: Column) -> Column:
@@ -190,12 +191,12 @@ def clipped_line_fit(df: DataFrame, keys: Sequence[str], x: Column, y: Column,
     for i in range(rounds):
         fit = kept.groupBy(*keys).agg(
             F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"))
-        joined = rows.join(fit, keys) if keys else rows.crossJoin(F.broadcast(fit))
+        joined = rows.join(fit, keys) if keys else rows.transform(with_row, fit)
         res = joined.withColumn("_r", F.col("_y") - F.col("slope") * F.col("_x") - F.col("intercept"))
         if i == rounds - 1:
             break
         scale = median_mad(res, keys, F.col("_r"), hot, "_rm", "_rd")
-        res = res.join(scale, keys) if keys else res.crossJoin(F.broadcast(scale))
+        res = res.join(scale, keys) if keys else res.transform(with_row, scale)
         kept = res.where((F.col("_rd") <= 0) | (F.abs(F.col("_r") - F.col("_rm")) <= sigma * MAD_SIGMA * F.col("_rd")))
         kept = kept.select(*keys, "_x", "_y")
     return fit

@@ -15,6 +15,7 @@ from lumensift.functions import exprs as E
 from lumensift.functions.hashing import digest
 from lumensift.operators.ordering import cut_lineage, rank_bins, with_global_row_number
 from lumensift.operators.vet import desc_last, first_by
+from lumensift.operators.skew import with_row
 
 
 def per_stratum(df: DataFrame, strata: Sequence[str], n: int | Column, order: Sequence[Column], out: str = "stratum_rank") -> DataFrame:
@@ -151,7 +152,7 @@ def verify_batch(queue: DataFrame, hidden: DataFrame, quotas: dict[str, int], ke
     q = queue.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tic").alias("tics"))
     h = hidden.agg(F.count(F.lit(1)).alias("m"), *[F.count_if(F.col("bucket") == b).alias(f"b_{b}") for b in quotas])
     unmatched = queue.select(key).exceptAll(hidden.select(key)).agg(F.count(F.lit(1)).alias("x"))
-    d = q.join(h, how="cross").join(unmatched, how="cross")  # one row each
+    d = q.transform(with_row, h).transform(with_row, unmatched)
     exposed = [c for c in queue.columns if c in secret]
     rules = [("size", F.col("n") == F.col("m")), ("unique_targets", F.col("n") == F.col("tics")), ("keys_match", F.col("x") == 0),
              ("nothing_exposed", F.lit(not exposed)), *[(f"quota_{b}", F.col(f"b_{b}") == n) for b, n in quotas.items()]]

@@ -47,3 +47,8 @@ def require(df: DataFrame, condition, message: str) -> DataFrame:
     if bad:
         raise ValueError(f"{message}: {bad}")
     return df
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row of ``df`` beside the single row of a global aggregate (a broadcast of one row, never a product)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -11,6 +11,7 @@ from lumensift.plans.recovery_queries import labelled
 from lumensift.plans.registry import query, r
 from lumensift.plans.views import HUMAN_LABELS, INJECTIONS, PEAKS, QUEUE, SCORES
 from lumensift.sources import binding as B
+from lumensift.operators.skew import with_row
 
 PROBS = {"planet": "p_planet", "eb": "p_eb", "variable": "p_variable", "other": "p_other"}
 NAMES = list(PROBS)
@@ -218,4 +219,4 @@ def recovery_boundary_model(spark, d):
     o = R.injection_outcomes(labelled(spark, d)).withColumn("observable", F.col("model_depth") * F.sqrt(F.col("n_good_in_transit").cast("double")))
     s, _ = D.logistic_boundary(cut_lineage(o), "topk", F.log(F.col("observable")), F.col("truth_tmag"))
     auc = M.ranking_metrics(M.score_levels(s, "p", F.col("topk"))).select("n", "n_positive", "roc_auc")
-    return auc.join(D.log_loss(s, "p", "topk"), how="cross")
+    return auc.transform(with_row, D.log_loss(s, "p", "topk"))
