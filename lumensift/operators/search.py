@@ -141,6 +141,8 @@ def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, box
     first = np.ones_like(bins, dtype=bool)
     first[:, 1:] = bins[:, 1:] != bins[:, :-1]
     rows, cols = np.nonzero(first)
+    # rows ascend and every period has an occupied bin, so each period is one run
+    seg = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     start_bin = bins[rows, cols]
     base = csum[rows, cols]
     best_power = np.full(p, -1.0)
@@ -154,13 +156,12 @@ def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, box
         n_out = np.where(valid, n_all - n_in, 1)
         depth = ((s_all - s_in) / n_out - s_in / n_in) / UNIT
         power = np.where(valid & (depth > 0), 0.5 * n_in * depth * depth, -1.0)
-        top = np.full(p, -1.0)
-        np.maximum.at(top, rows, power)
-        better = top > best_power
-        hit = better[rows] & (power == top[rows]) & (power > 0)
+        top = np.maximum.reduceat(power, seg)
+        better = (top > best_power) & (top > 0)
+        at = np.flatnonzero(better[rows] & (power == top[rows]))
         # first matching start per period: bins ascend inside a row
-        hr, hi = np.unique(rows[hit], return_index=True)
-        src = np.nonzero(hit)[0][hi]
+        src = at[np.concatenate([[True], rows[at][1:] != rows[at][:-1]])] if at.size else at
+        hr = rows[src]
         best_power[hr] = top[hr]
         best_n[hr] = n_in[src]
         out["depth"][hr] = depth[src]
@@ -179,8 +180,10 @@ def spectrum_packed(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFr
     chunks = packed.join(stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d"), CURVE)
     chunks = chunks.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"),
                            F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))).alias("lo"))
-    if n > step:
-        chunks = chunks.repartition(*CURVE, "lo")
+    # folding is heavy for its bytes: an explicit partition count keeps adaptive coalescing from merging tasks
+    spark = q.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = chunks.repartition(tasks, *CURVE, "lo")
     # elements of one work array: bounds the memory of a fold
     budget = 400_000
 
