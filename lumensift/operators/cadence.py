@@ -94,10 +94,7 @@ def point_to_point_noise(df: DataFrame, value: str = "flux", bin_minutes: float
     per_bin = max(1, round(bin_minutes * 60.0 / cadence_s))
     d = ordered.with_previous(df, keys, ORDER, {"_pv": F.col(value)}, hot)
     d = d.withColumn("_d", F.abs(F.col(value) - F.col("_pv")))
-    med = robust.grouped_quantiles(d, keys, F.col("_d"), {"_md": 0.5}, hot)
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
-    out = (n.join(med, keys, "left") if hot else
-           d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.percentile("_d", 0.5).alias("_md")))
+    out = _medians(d, keys, {"_md": F.col("_d")}, hot, F.count(F.lit(1)).alias("n_points"))
     noise = F.lit(scale) * F.col("_md") / F.sqrt(F.lit(2.0)) / F.sqrt(F.lit(float(per_bin)))
     return out.select(*keys, "n_points", F.when(F.col("n_points") >= min_points, noise).alias("precision"))
 
