@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumensift.llm import sqltext
 from lumensift.llm.common import tables
 from lumensift.llm.decontaminate import contamination
+from lumensift.llm.html_extract import extract
+from lumensift.llm.langid import held_out, identify, learn_from
+from lumensift.llm.licenses import scan
+from lumensift.llm.pack import pack_documents
 from lumensift.llm.shards import shard_documents
+from lumensift.llm.topk import top_k
 from lumensift.llm.url_filter import Rule, filter_urls, host_of, path_of
 from lumensift.session import ship_package
 
@@ -30,6 +35,12 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_exact_topk(spark, sf_dir):
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @_query
 def op3_rendezvous_shards(spark, sf_dir):
     (docs,) = tables(spark, sf_dir, "documents")
@@ -42,6 +53,24 @@ def op5_decontamination(spark, sf_dir):
     return contamination(docs, benchmark)
 
 
+@_query
+def op6_license_scan(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return scan(docs)
+
+
+@_query
+def op7_best_fit_packing(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return pack_documents(docs, tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file that packing counts tokens with."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @_query
 def op8_url_reputation(spark, sf_dir):
     pages, labels = tables(spark, sf_dir, "pages", "labels")
@@ -54,3 +83,16 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     shown = pages.select(host_of(F.col("url")).alias("host"), F.when(number != "", number).cast("bigint").alias("doc_id"))
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     return shown.where(F.col("doc_id").isNotNull()).join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("host", "bad")
+
+
+@_query
+def op9_language_mixture(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    d = identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), learn_from(docs))
+    return d.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op10_article_text(spark, sf_dir):
+    (pages,) = tables(spark, sf_dir, "pages")
+    return extract(pages)

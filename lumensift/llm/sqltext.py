@@ -37,3 +37,11 @@ SELECT p.page_id, p.url, p.host, p.path, hit.rule,
   coalesce(hit.verdict, CASE WHEN a/(a+b) - 1.6448536269514722 * sqrt(a*b / ((a+b)*(a+b)*(a+b+1))) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN e ON p.host = e.host LEFT JOIN hit ON p.page_id = hit.page_id AND p.url = hit.url
 """
+
+SQL["op1_exact_topk"] = """
+WITH x AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings),
+bad AS (SELECT DISTINCT vec_id FROM x WHERE e IS NULL OR NOT isfinite(e::DOUBLE)),
+v AS (SELECT vec_id, i, floor(64 * e::DOUBLE)::BIGINT AS w FROM x WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 20
+"""
