@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that one numpy pass inside a task handles at a time (a single longer text is its own pass).
@@ -43,7 +44,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
     """Slices of the batches whose texts add up to about ``limit`` bytes, with the texts as UTF-8."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0

@@ -12,6 +12,7 @@ from lumensift.llm.decontaminate import contamination
 from lumensift.llm.html_extract import extract
 from lumensift.llm.langid import held_out, identify, learn_from
 from lumensift.llm.licenses import scan
+from lumensift.llm.near_dup import classes
 from lumensift.llm.pack import pack_documents
 from lumensift.llm.shards import shard_documents
 from lumensift.llm.topk import top_k
@@ -41,6 +42,12 @@ def op1_exact_topk(spark, sf_dir):
     return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@_query
+def op2_probminhash_classes(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return classes(docs)
+
+
 @_query
 def op3_rendezvous_shards(spark, sf_dir):
     (docs,) = tables(spark, sf_dir, "documents")
