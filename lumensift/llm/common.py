@@ -92,9 +92,9 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 def split_words(texts: list[bytes | None], keep: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts at once: the joined bytes, each word's start and end there, and the number of words of each text.
 
-    ``keep`` maps each byte to itself (or another letter) or to zero where it separates words.
+    ``keep`` maps each byte to itself (or another letter) or to zero where it separates words; it maps the space to zero.
     """
-    joined = b"\0".join([t or b"" for t in texts] + [b""])
+    joined = b" ".join([t or b"" for t in texts] + [b""])
     table = np.frombuffer(keep, np.uint8)
     data = table[np.frombuffer(joined, np.uint8)]
     inside = np.zeros(data.size + 2, np.int8)
@@ -137,4 +137,4 @@ def bytes_table(word: str) -> bytes:
     """Byte map for ``split_words``: ``alnum`` keeps digits, letters (lower-cased) and all non-ASCII; ``solid`` keeps all but white space."""
     if word == "alnum":
         return bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0 for b in range(256))
-    return bytes(0 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+    return bytes(0 if b == 0x20 or 0x09 <= b <= 0x0D else b or 0xFF for b in range(256))  # a zero byte is part of a word; 0xFF isn't in UTF-8

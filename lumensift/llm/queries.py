@@ -15,6 +15,7 @@ from lumensift.llm.licenses import scan
 from lumensift.llm.near_dup import classes
 from lumensift.llm.pack import pack_documents
 from lumensift.llm.shards import shard_documents
+from lumensift.llm.substring_dedup import dedup_report
 from lumensift.llm.topk import top_k
 from lumensift.llm.url_filter import Rule, filter_urls, host_of, path_of
 from lumensift.session import ship_package
@@ -54,6 +55,12 @@ def op3_rendezvous_shards(spark, sf_dir):
     return shard_documents(docs, 16)
 
 
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return dedup_report(docs)
+
+
 @_query
 def op5_decontamination(spark, sf_dir):
     docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
