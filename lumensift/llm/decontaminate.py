@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,8 +119,9 @@ def _union(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", set_words: int = SET_WORDS) -> DataFrame:
-    """``docs`` with _n_words, _spans (hit word ranges as alternating starts and ends) and _items (ids of occurring items, sorted).
+def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", keep: Sequence[str] | None = None, set_words: int = SET_WORDS) -> DataFrame:
+    """doc (a struct of ``docs``' columns, or those in ``keep``), _n_words, _spans (hit word ranges as alternating starts and ends) and _items
+    (ids of occurring items, sorted).
 
     Words are maximal runs of digits, ASCII letters (lower-cased) and non-ASCII characters. The set is broadcast; its size is checked: items
     are dealt by id into sets of about ``set_words`` words, one set is in memory at a time, and each set is one narrow pass over the
@@ -131,7 +132,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "t
     b = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()[0] // 2  # a word has a byte and a separator at least
     n_sets = max(1, -(-size // set_words))
-    d = docs.withColumn("_text", F.col(text))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     for k in range(n_sets):
         own = b if n_sets == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(n_sets)) == k)
@@ -152,9 +153,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: in
     Only id and text are read. Ties and repeated rows are judged each on its own; an empty table gives an empty one; without any benchmark
     words nothing is hit.
     """
-    d = mark_hits(docs.select("doc_id", "text"), benchmark, n).withColumn("n_hit", n_hit(F.col("_spans")))
+    d = mark_hits(docs, benchmark, n, keep=["doc_id"]).withColumn("n_hit", n_hit(F.col("_spans")))
     return d.select(
-        "doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        "doc.doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("_n_words"))).alias("contaminated"))
 
 
@@ -183,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: in
     if remove == "documents":
         d = d.where(~((hit > 0) & (F.lit(one_in) * hit >= F.col("_n_words"))))
     elif remove == "spans":
-        d = d.withColumn("text", without_spans("text", "_spans"))
+        d = d.withColumn("doc", F.struct(*[(without_spans("doc.text", "_spans") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]))
     else:
         raise ValueError("remove is 'documents' or 'spans'")
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.select("doc.*")

@@ -108,35 +108,34 @@ class FMIndex:
     def window_matches(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """For every sequence and window start: the first rank of the window's suffixes, or -1 if it doesn't occur.
 
-        Matching statistics from right to left, cut at ``window``: a match is widened to one word less and extended by one word to the left.
+        Matching statistics from right to left, cut at ``window``: a full match is widened to one word less and extended by one word to the
+        left. Where that fails, no window that ends there holds the word, so the search starts anew from one word further left.
         All sequences advance together.
         """
-        w = self.window
-        sizes = np.array([s.size for s in sequences])
-        out = [np.full(max(0, n - w + 1), -1, np.int64) for n in sizes]
-        flat = np.concatenate(sequences).astype(np.int64) + self.shift if len(sequences) else np.zeros(0, np.int64)
+        w, sigma = self.window, self.first.size - 1
+        sizes = np.array([s.size for s in sequences], np.int64)
         offset = np.cumsum(sizes) - sizes
-        live = np.flatnonzero(sizes >= w)
-        n, at = sizes[live], offset[live]
-        lo, hi, length = np.zeros(live.size, np.int64), np.full(live.size, self.size, np.int64), np.zeros(live.size, np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *sequences]).astype(np.int64) + self.shift
         results = np.full(flat.size, -1, np.int64)
-        sigma = self.first.size - 1
-        for step in range(int(n.max(initial=0))):
-            left = n > step
-            if not left.all():
-                n, at, lo, hi, length = n[left], at[left], lo[left], hi[left], length[left]
-            pos = at + n - 1 - step
+        live = sizes >= w
+        begin, right = offset[live], (offset + sizes)[live]
+        lo, hi, length = np.zeros(begin.size, np.int64), np.full(begin.size, self.size, np.int64), np.zeros(begin.size, np.int64)
+        while begin.size:
+            pos = right - length - 1
             symbol = flat[pos]
-            full = length == w  # widened before it is extended
-            if full.any():
-                lo[full], hi[full] = self.widen(lo[full])
-                length[full] = w - 1
             known = symbol < sigma
             a, b = self.back(np.where(known, symbol, 0), lo, hi)
             ok = known & (b > a)
-            lo, hi, length = np.where(ok, a, 0), np.where(ok, b, self.size), np.where(ok, length + 1, 0)
-            hit = length == w
-            results[pos[hit]] = lo[hit]
-        for i in live:
-            out[i] = results[offset[i]: offset[i] + out[i].size]
-        return out
+            length = np.where(ok, length + 1, 0)
+            right = np.where(ok, right, np.where(known, right - 1, pos))
+            lo, hi = np.where(ok, a, 0), np.where(ok, b, self.size)
+            full = length == w
+            if full.any():
+                results[pos[full]] = lo[full]
+                lo[full], hi[full] = self.widen(lo[full])
+                length[full] = w - 1
+                right[full] -= 1
+            left = right - begin >= w
+            if not left.all():
+                begin, right, lo, hi, length = begin[left], right[left], lo[left], hi[left], length[left]
+        return [results[o: o + max(0, n - w + 1)] for o, n in zip(offset, sizes)]

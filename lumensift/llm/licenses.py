@@ -106,7 +106,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[
     """doc_id, sentence_ids, licenses, n_known for every document; a map without a shuffle, in built-in functions only.
 
     Sentences are sought in the text as it stands and, for licences wrapped over lines, with line breaks taken as spaces; a rule holds if
-    either sequence has its sentences in order. ``sentence_ids`` is the first sequence (the second, if that is empty), ``licenses`` the
+    either sequence has its sentences in order. ``sentence_ids`` is the longer sequence (the first, if they are as long), ``licenses`` the
     rules that hold, in their order, without those that a fuller rule hides; both comma-joined, empty if none. Null and empty texts have
     none; repeated rows are scanned each. The knowledge is a literal in the plan: its size is that of the two tables above.
     """
@@ -121,5 +121,5 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[
     d = d.withColumn("_found", F.when((F.size("_a") + F.size("_b")) > 0, found).otherwise(F.array().cast("array<string>")))
     hides = {name: hidden for name, _, hidden in rules if hidden}
     gone = F.flatten(F.array(*[F.when(F.array_contains("_found", name), F.array(*[F.lit(h) for h in hidden])).otherwise(F.array().cast("array<string>")) for name, hidden in hides.items()]))
-    own = F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_b"))
+    own = F.when(F.size("_a") >= F.size("_b"), F.col("_a")).otherwise(F.col("_b"))
     return d.select("doc_id", F.array_join(own, ",").alias("sentence_ids"), F.array_join(F.array_except("_found", gone), ",").alias("licenses"), F.size(own).cast("bigint").alias("n_known"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 import random
@@ -21,34 +22,41 @@ ISLAND_PIECES, GENERATIONS, COLONY, MIGRATE_EVERY = 2000, 6, 3, 2
 #: Rounds in which the documents of poorly filled sequences move on to other islands; sequences filled at least so far stay.
 EPOCHS, SETTLED = 3, 0.998
 #: Distinct words whose ids a worker remembers.
-WORD_CACHE = 200_000
+WORD_CACHE = 600_000
 
 _LETTER = "a-zªµºß-öø-ÿ"
 _DIGIT = "0-9²³¹¼-¾"
 _SPACE = r"\s"
+#: The letters that byte-level BPE writes for bytes: printable Latin-1 for itself, the others in order from U+0100.
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 #: The tokenizer's own split, spelled out for Latin-1 text; other texts go to the tokenizer whole.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
 _LATIN = re.compile("[\t\n\r -~¡-¬®-ÿ]*")
 
 
-class WordTokenizer:
-    """Token ids of texts by a public tokenizer file; ids of plain words are remembered, since words are encoded one by one anyway."""
+class WordTokenizer(dict):
+    """Token ids of texts by a public tokenizer file. The tokenizer encodes one word after the other, so the ids of what stands between white
+    space are remembered, as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without special tokens added."""
-        words: list[list[str] | None] = [_WORDS.findall(t.lower()) if "<|" not in t and _LATIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        new = list({w for own in words if own for w in own if w not in self.known})
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        whole = iter(self.model.encode_batch_fast([t for t, own in zip(texts, words) if own is None], add_special_tokens=False))
-        get = self.known.__getitem__
-        return [np.array(next(whole).ids, "<u4").tobytes() if own is None else b"".join(map(get, own)) for own in words]
+    def __missing__(self, word: str) -> bytes:
+        parts = _WORDS.findall(word)
+        if len(parts) > 1:  # words with their punctuation are too many to remember
+            return b"".join([self[p] for p in parts])
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text, without special tokens added."""
+        if "<|" in text or not _LATIN.fullmatch(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > WORD_CACHE:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -56,15 +64,13 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
         tok, end = _TOKENIZERS[tokenizer], np.array([end_id], "<u4").tobytes()
         for part, texts in chunks(batches, "text"):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(tok.encode([(t or b"").decode() for t in texts])):
-                ids += end
+            for i, t in enumerate(texts):
+                ids = tok.encode((t or b"").decode()) + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at:at + 4 * capacity]
                     row.append(i), piece.append(p), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))

@@ -249,9 +249,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans, _ = repeated_spans(docs, seen, window)
     todo = spans.withColumn("copy", F.lit(False)).unionByName(_copies(seen, window).select("doc_id", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
     todo = todo.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copy").alias("_copy"), F.first("spans", ignorenulls=True).alias("_spans"))
-    d = docs.join(todo, docs["doc_id"] == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNull() | F.col("text").isNull(), F.col("text")).when(F.col("_copy"), F.lit("")).otherwise(without_words("text", "_spans"))
-    d = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("_id")).join(todo, "_id", "left")
+    old = F.col("doc.text")
+    touched = F.col("_copy").isNotNull() & old.isNotNull()
+    text = F.when(~touched, old).when(F.col("_copy"), F.lit("")).otherwise(without_words("doc.text", "_spans"))
+    d = d.select("doc", touched.alias("touched"), text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("touched"), F.char_length("text")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return d.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
