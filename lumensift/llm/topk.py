@@ -33,20 +33,21 @@ def quantised(vectors: list[np.ndarray], scale: float) -> np.ndarray:
 
 
 def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int, kind) -> np.ndarray:
-    """Scores of some query rows against ``n`` candidates: each term's weighted postings are added into dense score rows."""
+    """Scores of some query rows against ``n`` candidates: each term's weighted postings are added into dense score rows.
+
+    A list of ``n`` postings has no positions (the term is in most candidates; the others have weight 0) and is added as it stands.
+    """
     scores = np.zeros((len(queries), n), kind)
+    part = np.empty_like(scores)
+    queries = queries.astype(kind)
     for t in range(min(queries.shape[1], len(postings))):
         at, weights = postings[t]
-        rows = np.flatnonzero(queries[:, t])
-        if not at.size or not rows.size:
-            continue
-        add = np.multiply.outer(queries[rows, t].astype(kind), weights.astype(kind))
-        if rows.size == len(queries) and at.size == n:
-            scores += add
-        elif at.size == n:
-            scores[rows] += add
-        else:
-            scores[np.ix_(rows, at)] += add
+        if at is None:
+            np.multiply.outer(queries[:, t], weights, out=part)
+            np.add(scores, part, out=scores)
+        elif at.size:
+            for row in np.flatnonzero(queries[:, t]):
+                scores[row, at] += queries[row, t] * weights
     return scores
 
 
@@ -55,10 +56,11 @@ def cell_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     n = c_ids.size
-    postings = [(at, c[at, t]) for t in range(c.shape[1]) for at in [np.flatnonzero(c[:, t])]]
     top = lambda a: float(np.abs(a.astype(float)).max(initial=0.0))
     bound = top(q) * top(c) * max(1, min(q.shape[1], c.shape[1]))
     kind = np.int32 if bound < 2**31 - 1 else np.int64 if bound * n < 2**62 else object
+    c = c.astype(kind)
+    postings = [(None, c[:, t].copy()) if at.size * 2 > n else (at, c[at, t]) for t in range(c.shape[1]) for at in [np.flatnonzero(c[:, t])]]
     back = np.arange(n - 1, -1, -1, dtype=np.int64)
     for s in range(0, q_ids.size, STRIP):
         scores = accumulate(q[s:s + STRIP], postings, n, kind)
