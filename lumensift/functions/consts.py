@@ -73,3 +73,13 @@ TRUE_TEXT = ("1", "true", "t", "yes", "y")
 # magnitude bins of the recovery reports (left-closed)
 TMAG_EDGES = (17.0, 18.0, 19.0)
 TMAG_LABELS = ("Tmag < 17", "17 <= Tmag < 18", "18 <= Tmag < 19", "Tmag >= 19")
+
+# The patterns by which reviewer notes are read. Order matters.
+REFOLD_NOTES = (
+    (r"(?i)\bp\s*/\s*2\b|refold\s+(?:at|to|on)\s+p\s*/\s*2|half[-\s]*period|half\s+of\s+(?:the\s+)?period", 0.5, "half_period_note"),
+    (r"(?i)\b2\s*\*?\s*p\b|\b2p\b|double[-\s]*period|twice\s+(?:the\s+)?period", 2.0, "double_period_note"),
+    (r"(?i)\b(possible\s+)?harmonic\b|\bwrong\s+period\b|\bwrong\s+fold\b", None, "harmonic_note"),
+)
+NOTE_WORDS = {r"\bquarter[- ]period\b": 0.25, r"\bhalf[- ]period\b": 0.5, r"\b(?:double|twice)[- ](?:the[- ])?period\b": 2.0, r"\btriple[- ](?:the[- ])?period\b": 3.0}
+NOTE_DIVISOR = r"\bp\s*/\s*(\d+(?:\.\d+)?)\b"
+NOTE_MULTIPLIER = r"(?<![\w/])(\d+(?:\.\d+)?)\s*\*?\s*p\b"

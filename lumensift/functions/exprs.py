@@ -348,20 +348,28 @@ def worst_status(*statuses) -> Column:
 # --- text, keys and labels -------------------------------------------------
 
 def number_text(value) -> Column:
-    """Canonical text of a number: integers plain, else 15 significant digits; '' when missing.
-
-    Both sides of a key join call this one function, so the text only has to agree with itself.
-    """
+    """Text of a number with 15 significant digits, as label logs write it; '' when missing."""
+    v = _c(value).cast("double")
+    parts = F.regexp_extract_all(F.format_string("%.14e", F.abs(v)), F.lit("[0-9]+"), F.lit(0))
+    digits = F.concat(F.element_at(parts, 1), F.element_at(parts, 2))
+    power = F.element_at(parts, 3).cast("int") * F.when(F.abs(v) < 1, -1).otherwise(1)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "0+$", ""), "[.]$", "")
+    plain = F.when(power >= 0, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(15)))) \
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    science = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 14))), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    text = F.when(v == 0, "0").when((power < -4) | (power >= 15), F.when(F.abs(power) > 99, F.regexp_replace(science, "e([+-]).*$", F.concat(F.lit("e$1"), F.abs(power).cast("string")))).otherwise(science)).otherwise(bare(plain))
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "").otherwise(F.concat(F.when(v < 0, "-").otherwise(""), text))
+
+
+def id_text(value) -> Column:
+    """As ``number_text``, with numbers within 1e-9 of a whole one written as that."""
     v = _c(value).cast("double")
-    missing = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    whole = F.abs(v - F.rint(v)) <= 1e-9
-    return (F.when(missing, "").when(whole & (F.abs(v) < 1e15), F.rint(v).cast("bigint").cast("string"))
-            .otherwise(F.regexp_replace(F.format_string("%.9f", v), "0+$", "")))
+    whole = (F.abs(v - F.rint(v)) <= 1e-9) & (F.abs(v) < 1e18)
+    return F.when(whole, F.rint(v).cast("bigint").cast("string")).otherwise(number_text(value))
 
 
 def candidate_key(tic="tic", sector="sector", period="period_d", t0="t0_bjd", bucket="source_bucket") -> Column:
-    return F.concat(number_text(tic), F.lit("|"), number_text(sector), F.lit("|"), number_text(period), F.lit("|"),
-                    number_text(t0), F.lit("|"), F.trim(F.coalesce(_c(bucket), F.lit(""))))
+    return F.concat_ws("|", id_text(tic), id_text(sector), number_text(period), number_text(t0), F.trim(F.coalesce(_c(bucket), F.lit(""))))
 
 
 def text_bool(value) -> Column:
@@ -388,28 +396,23 @@ def last_token_id(text) -> Column:
 
 
 def note_refold(note) -> Column:
-    """Struct (suspect, factor, reason) read from a reviewer note."""
+    """Struct (suspect, factor, reason) read from a reviewer note; half before double before a bare suspicion."""
     n = F.coalesce(_c(note), F.lit(""))
-    # fixed note patterns
-    half = r"(?i)\b(half[- ]period|p\s*/\s*2|half\s+(the\s+)?period)\b"
-    double = r"(?i)\b(double[- ]period|2\s*\*?\s*p|double\s+(the\s+)?period|twice\s+(the\s+)?period)\b"
-    suspect = r"(?i)\b(possible\s+)?harmonic\b|\bwrong\s+period\b|\bwrong\s+fold\b"
-    kind = (F.when(n.rlike(half), "half_period_note").when(n.rlike(double), "double_period_note")
-            .when(n.rlike(suspect), "harmonic_note").otherwise(""))
-    factor = F.when(kind == "half_period_note", 0.5).when(kind == "double_period_note", 2.0)
-    return F.struct((kind != "").alias("suspect"), factor.alias("factor"), kind.alias("reason"))
+    found = F.struct(F.lit(False).alias("suspect"), F.lit(None).cast("double").alias("factor"), F.lit("").alias("reason"))
+    for pattern, factor, reason in reversed(K.REFOLD_NOTES):
+        found = F.when(n.rlike(pattern), F.struct(F.lit(True).alias("suspect"), F.lit(factor).cast("double").alias("factor"), F.lit(reason).alias("reason"))).otherwise(found)
+    return found
 
 
 def note_period_factor(note) -> Column:
-    """Explicit P/n or nP notes as a factor; words first, then divisor, then multiplier."""
+    """Explicit P/n or nP notes as a factor; the named words come before numbers."""
     n = F.lower(F.trim(F.coalesce(_c(note), F.lit(""))))
-    div = F.nullif(F.regexp_extract(n, r"\bp\s*/\s*(\d+(?:\.\d+)?)\b", 1), F.lit("")).try_cast("double")
-    mul = F.nullif(F.regexp_extract(n, r"(?<![\w/])(\d+(?:\.\d+)?)\s*\*?\s*p\b", 1), F.lit("")).try_cast("double")
-    return (F.when(n.rlike(r"\bquarter[- ]period\b"), 0.25).when(n.rlike(r"\bhalf[- ]period\b"), 0.5)
-            .when(n.rlike(r"\b(double|twice)[- ](the[- ])?period\b"), 2.0)
-            .when(n.rlike(r"\btriple[- ](the[- ])?period\b"), 3.0)
-            .when(div.isNotNull(), F.when(div > 0, 1.0 / F.when(div > 0, div)))
-            .when(mul.isNotNull(), F.when(mul > 0, mul)))
+    number = lambda p: F.nullif(F.regexp_extract(n, p, 1), F.lit("")).try_cast("double")
+    over, times = number(K.NOTE_DIVISOR), number(K.NOTE_MULTIPLIER)
+    numeric = F.when(over.isNotNull(), 1.0 / F.when(over > 0, over)).otherwise(F.when(times > 0, times))
+    for pattern, factor in reversed(K.NOTE_WORDS.items()):
+        numeric = F.when(n.rlike(pattern), F.lit(factor)).otherwise(numeric)
+    return numeric
 
 
 def button_factor(text) -> Column:

@@ -55,10 +55,14 @@ def pair_metrics(cadences: DataFrame, small: str, primary: str, hot: bool = Fals
 
 
 def cadence_anomalies(cadences: DataFrame, reference: DataFrame, hot: bool = False) -> DataFrame:
-    """Per target against the authority: expected, missing, unexpected, duplicate, quality and orbit disagreements."""
-    obs = cadences.groupBy("tic", "cadenceno").agg(F.count(F.lit(1)).alias("k"), F.max("quality").alias("quality"), F.max("orbitid").alias("orbitid"))
-    r = reference.select("tic", "cadenceno", F.col("quality").alias("_q"), F.col("orbitid").alias("_o")).withColumn("_r", F.lit(True))
-    j = obs.withColumn("_l", F.lit(True)).join(r, ["tic", "cadenceno"], "full_outer")
+    """Per target against the authority: expected, missing, unexpected, duplicate, quality and orbit disagreements.
+
+    A reference with apertures is held against every aperture's own cadences; the target's counts are their sums.
+    """
+    on = [c for c in ("tic", "aperture", "cadenceno") if c in reference.columns]
+    obs = cadences.groupBy(*on).agg(F.count(F.lit(1)).alias("k"), F.max("quality").alias("quality"), F.max("orbitid").alias("orbitid"))
+    r = reference.select(*on, F.col("quality").alias("_q"), F.col("orbitid").alias("_o")).withColumn("_r", F.lit(True))
+    j = obs.withColumn("_l", F.lit(True)).join(r, on, "full_outer")
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     g = j.groupBy("tic").agg(F.count("_r").alias("n_expected"), F.count_if(F.col("_l").isNull()).alias("n_missing"), F.count_if(F.col("_r").isNull()).alias("n_unexpected"),
                              F.count_if(F.col("k") > 1).alias("n_duplicate"), F.count_if(both & (F.col("quality") != F.col("_q"))).alias("n_quality_mismatch"),

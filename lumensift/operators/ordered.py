@@ -8,6 +8,7 @@ state across the cuts, so no task ever sorts a whole hot curve.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,7 +17,18 @@ CHUNK_D = 0.25
 
 
 def _chunked(df: DataFrame, time: str, chunk_d: float) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(time) / chunk_d))
+    """Chunk numbers in the order of the times: missing times first and NaN last, as in a sort."""
+    t = F.col(time).cast("double")
+    low, high = F.lit(-(1 << 62)), F.lit(1 << 62)
+    return df.withColumn("_chunk", F.when(t.isNull(), low).when(F.isnan(t), high).otherwise(F.floor(t / chunk_d)))
+
+
+def _attach(d: DataFrame, per_chunk: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One summary row per chunk beside its rows; missing keys equal each other."""
+    on = [*keys, "_chunk"]
+    s = per_chunk.withColumnsRenamed({k: f"_k_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on]
+    return d.join(s, reduce(lambda a, b: a & b, same)).drop(*[f"_k_{k}" for k in on])
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, Column],
@@ -31,7 +43,8 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols
     tails = d.groupBy(*keys, "_chunk").agg(F.max_by("_pay", F.struct(*order)).alias("_tail"))
     tails = tails.withColumn("_carry", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_chunk"))).drop("_tail")
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    d = d.withColumns({"_p": F.lag("_pay").over(w), "_rn": F.row_number().over(w)}).join(tails, [*keys, "_chunk"])
+    d = d.withColumns({"_p": F.lag("_pay").over(w), "_rn": F.row_number().over(w)})
+    d = _attach(d, tails, keys)
     d = d.withColumn("_p", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_p")))
     return d.withColumns({n: F.col(f"_p.{n}") for n in cols}).drop("_p", "_rn", "_carry", "_chunk", "_pay")
 
@@ -47,7 +60,7 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     sums = d.groupBy(*keys, "_chunk").agg(F.sum("_val").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    d = d.join(sums, [*keys, "_chunk"])
+    d = _attach(d, sums, keys)
     return d.withColumn(out, F.col("_off") + F.sum("_val").over(rows(*keys, "_chunk"))).drop("_off", "_chunk", "_val")
 
 
@@ -76,7 +89,7 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     ends = ends.select(*keys, "_chunk",
                        F.last("_l", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_cb"),
                        F.first("_f", ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("_ca"))
-    d = d.join(ends, [*keys, "_chunk"])
+    d = _attach(d, ends, keys)
     return d.withColumns({
         before: F.coalesce(F.last("_nv", ignorenulls=True).over(back(*keys, "_chunk")), F.col("_cb")),
         after: F.coalesce(F.first("_nv", ignorenulls=True).over(fwd(*keys, "_chunk")), F.col("_ca")),

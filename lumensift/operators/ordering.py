@@ -12,13 +12,20 @@ from lumensift.session import hot_rows
 from lumensift.operators.skew import with_row
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared checkpoint folder so later steps survive lost executors and do not recompute."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The checkpoint folder that all executors share; on one machine a temporary one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise to the shared checkpoint folder so later steps survive lost executors and do not recompute."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -233,31 +233,37 @@ def with_sde(spec: DataFrame) -> DataFrame:
     return d.withColumn("sde", sde).drop("_m", "_d", "_s")
 
 
-def walk(period: np.ndarray, sde: np.ndarray, n_peaks: int, mask_fraction: float,
-         edges: Sequence[float] = (), per_bin: int = 0) -> list[int]:
-    """Indices of successive maxima, each hiding its neighbourhood and that of its harmonics."""
-    live = np.isfinite(sde)
-    bins = None
-    if per_bin > 0 and len(set(edges)) >= 2:
-        cuts = np.unique(np.asarray(edges, dtype=float))
-        bins = np.searchsorted(cuts, period, side="right") - 1
-        live &= (bins >= 0) & (period < cuts[-1])
-    left = np.where(live, sde, -np.inf)
-    used: dict[int, int] = {}
-    picks: list[int] = []
-    while len(picks) < n_peaks and left.size:
-        top = int(left.argmax())
-        if left[top] == -np.inf:
+def separated_peaks(period: np.ndarray, sde: np.ndarray, n_peaks: int, mask_fraction: float,
+                    edges: Sequence[float] = (), per_bin: int = 0) -> list[int]:
+    """Indices of the strongest trial periods of which none lies in the neighbourhood of a stronger one or of its harmonics.
+
+    One pass in order of strength; a pick closes ranges of the sorted periods. With ``per_bin``, periods outside ``edges`` are
+    left out and each range between two edges gives at most so many peaks.
+    """
+    sde = np.asarray(sde, dtype=float)
+    by_period = np.argsort(period, kind="stable")
+    ladder, place = period[by_period], np.empty(period.size, dtype=int)
+    place[by_period] = np.arange(period.size)
+    closed = np.zeros(period.size, dtype=bool)
+    bounds = np.array(sorted({float(e) for e in edges}))
+    quota = per_bin > 0 and bounds.size >= 2
+    taken = np.zeros(bounds.size + 1, dtype=int)
+    out: list[int] = []
+    for i in np.argsort(-sde, kind="stable"):
+        if len(out) == n_peaks:
             break
-        picks.append(top)
+        if closed[place[i]] or not np.isfinite(sde[i]):
+            continue
+        if quota:
+            cell = int((bounds <= period[i]).sum())
+            if cell in (0, bounds.size) or taken[cell] == per_bin:
+                continue
+            taken[cell] += 1
+        out.append(int(i))
         for factor in K.PEAK_MASK_FACTORS:
-            centre = period[top] * factor
-            left[np.abs(period - centre) <= centre * mask_fraction] = -np.inf
-        if bins is not None:
-            used[bins[top]] = used.get(bins[top], 0) + 1
-            if used[bins[top]] >= per_bin:
-                left[bins == bins[top]] = -np.inf
-    return picks
+            centre, reach = period[i] * factor, period[i] * factor * mask_fraction
+            closed[np.searchsorted(ladder, centre - reach, "left"):np.searchsorted(ladder, centre + reach, "right")] = True
+    return out
 
 
 def pick_peaks(spec: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -266,7 +272,7 @@ def pick_peaks(spec: DataFrame, cfg: SearchConfig) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def picks(period: pd.Series, sde: pd.Series) -> pd.Series:
-        return pd.Series([walk(np.asarray(p), np.asarray(s), cfg.n_peaks, cfg.mask_fraction, cfg.period_bin_edges, cfg.max_peaks_per_bin)
+        return pd.Series([separated_peaks(np.asarray(p), np.asarray(s), cfg.n_peaks, cfg.mask_fraction, cfg.period_bin_edges, cfg.max_peaks_per_bin)
                           for p, s in zip(period, sde)])
 
     g = spec.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))

@@ -50,7 +50,8 @@ def vet_features(df: DataFrame, grid_max_min: float, p_alias_min: float = K.P_AL
     """
     d = df.withColumn("_pb", pileup_bin(F.col("period_d")))
     crowd = d.groupBy("_pb").agg(F.count(F.lit(1)).alias("period_cluster_count"))
-    d = d.join(crowd, "_pb").drop("_pb")
+    crowd = crowd.withColumnRenamed("_pb", "_pb2")
+    d = d.join(crowd, F.col("_pb").eqNullSafe(F.col("_pb2"))).drop("_pb", "_pb2")  # rows without a usable period form a band of their own
     envelope = E.duration_envelope_min("period_d")
     roche = E.roche_period(rho_min)
     d = d.withColumns({

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
+from lumensift.operators.skew import with_row
 
 
 def candidate_cadences(candidates: DataFrame, cadences: DataFrame) -> DataFrame:
@@ -73,12 +74,16 @@ def event_view(joined: DataFrame, n: int = 32, window_durations: float = 4.0, ma
     return dense(event_bins(joined, n, window_durations, max_events, min_points), ["review_id", "aperture", "slot"], n)
 
 
-def padded(df: DataFrame, keys: Sequence[str], order: Column, value: Column, n: int) -> DataFrame:
-    """Ordered values cut or zero-padded to length n, with a mask. Only each key's first n rows are gathered."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = df.withColumns({"_r": F.row_number().over(w), "_v": value}).where(F.col("_r") <= n)
-    g = d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"].cast("float")).alias("a"))
-    pad = F.array_repeat(F.lit(0.0).cast("float"), F.lit(n) - F.size("a"))
+def padded(df: DataFrame, keys: Sequence[str], order: Column, value: Column) -> DataFrame:
+    """All values of each key in order, zero-padded to the longest key's length, with a mask; no sample is dropped.
+
+    One array row holds one model input, so a key's length is bounded by what a model takes; longer curves are thinned before.
+    """
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.struct(value.cast("float").alias("v")).alias("_v")))).alias("s"))
+    g = g.withColumn("a", F.transform("s", lambda s: s["_v"]["v"])).drop("s")
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_longest"))
+    g = with_row(g, longest)
+    pad = F.array_repeat(F.lit(0.0).cast("float"), (F.col("_longest") - F.size("a")).cast("int"))
     mask = F.concat(F.array_repeat(F.lit(1.0).cast("float"), F.size("a")), pad)
     return g.select(*keys, F.concat("a", pad).alias("value"), mask.alias("mask"))
 

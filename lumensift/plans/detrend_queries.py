@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import exprs as E
 from lumensift.operators import cadence as C, detrend as D, inject as J, recovery as R, skew, views as V
+from lumensift.operators.ordering import cut_lineage
 from lumensift.plans.cadence_queries import FOLD_SQL, GOOD, PERIOD, T0, curves
 from lumensift.plans.registry import query, r
 from lumensift.plans.selection_queries import dg
@@ -144,10 +145,10 @@ def event_view_bins(spark, d):
 
 @query("padded_curves", CADENCES, sql="""
 , k AS (SELECT *, row_number() OVER (PARTITION BY tic, aperture ORDER BY time, cadenceno) AS rn FROM cadences WHERE quality = 0)
-SELECT tic, aperture, 48 AS n_value, CAST(least(48, count(*)) AS DOUBLE) AS n_real, round(sum(CAST(flux AS FLOAT)::DOUBLE) FILTER (WHERE rn <= 48), 5) AS flux_sum FROM k GROUP BY ALL""")
+SELECT tic, aperture, CAST((SELECT max(rn) FROM k) AS INTEGER) AS n_value, CAST(count(*) AS DOUBLE) AS n_real, round(sum(CAST(flux AS FLOAT)::DOUBLE), 5) AS flux_sum FROM k GROUP BY ALL""")
 def padded_curves(spark, d):
     c = B.cadences(spark, d).where("quality = 0")
-    p = V.padded(c, CURVE, F.struct("time", "cadenceno"), F.col("flux"), 48)
+    p = V.padded(c, CURVE, F.struct("time", "cadenceno"), F.col("flux"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
     return p.select("tic", "aperture", F.size("value").alias("n_value"), total("mask").alias("n_real"), r(total("value"), 5).alias("flux_sum"))
 
@@ -247,25 +248,26 @@ def host_disjoint_schedule(spark, d):
     h = B.injections(spark, d).groupBy("tic").agg(F.min("tmag").alias("tmag")).withColumn("host_ok", F.col("tic") % 9 != 0)
     ex = B.queue(spark, d).select("tic")
     n = h.where("host_ok").join(ex, "tic", "left_anti").count()
-    s = J.host_schedule(h, ex, max(1, n // 8), 8, 4, 560201)
-    return J.physical_parameters(s, max(1, n // 8), 1, (0.12, 13.0), (0.18, 18.0), 31)
+    cells = max(1, -(-n // 8))
+    s = J.host_schedule(h, ex, cells, 8, 4, 560201)
+    return J.physical_parameters(s, cells, 1, (0.12, 13.0), (0.18, 18.0), 31)
 
 
 @query("observed_epochs", CADENCES, INJECTIONS, GOOD, sql=f"""
-, h AS (SELECT tic, time FROM g WHERE aperture = 'SML'), s AS (SELECT tic, min(time) AS lo, max(time) AS hi FROM h GROUP BY ALL), j AS (SELECT i.injection_id, i.tic, i.truth_period_d AS p, i.truth_duration_min * 10 AS du, lo, hi FROM injections i JOIN s ON s.tic = i.tic),
+, h AS (SELECT DISTINCT tic, time FROM g), s AS (SELECT tic, min(time) AS lo, max(time) AS hi FROM h GROUP BY ALL), j AS (SELECT i.injection_id, i.tic, i.truth_period_d AS p, i.truth_duration_min * 10 AS du, lo, hi FROM injections i JOIN s ON s.tic = i.tic),
 c AS (SELECT j.*, k, lo + {U("injection_id || '|' || k", 7)} * (hi - lo) AS ep FROM j, range(6) x(k)), n AS (SELECT c.injection_id, k, ep, count(*) FILTER (WHERE abs({PH('h.time', 'p', 'ep')}) <= du / 2 / 1440) AS nh FROM c JOIN h ON h.tic = c.tic GROUP BY ALL),
 f AS (SELECT injection_id, arg_min(ep, k) AS ep, arg_min(nh, k) AS nh, min(k) AS k FROM n WHERE nh >= 2 GROUP BY ALL)
 SELECT j.injection_id, round(coalesce(f.ep, lo), 6) AS t0, coalesce(nh, 0) AS n_in_transit, CASE WHEN f.ep IS NULL THEN 'first_good' ELSE 'hashed' END AS epoch_source FROM j LEFT JOIN f ON f.injection_id = j.injection_id""")
 def observed_epochs(spark, d):
     i = B.injections(spark, d).select("injection_id", "tic", F.col("truth_period_d").alias("period_d"), (F.col("truth_duration_min") * 10).alias("duration_min"))
-    c = B.cadences(spark, d).where(F.col("aperture") == "SML")
+    c = B.cadences(spark, d)
     i = i.join(c.select("tic").distinct(), "tic", "left_semi")
     return J.choose_epochs(i, c, 7, 6, 2).select("injection_id", r("t0").alias("t0"), "n_in_transit", "epoch_source")
 
 
 @query("detrend_parity")
 def detrend_parity(spark, d):
-    """Re-detrending unmodified curves reproduces the stored product."""
+    """Re-detrending unmodified curves, read in another order, reproduces the product that was written before."""
     c, hot = curves(spark, d)
-    a = D.detrended(c, CFG, hot=hot)
-    return J.parity(a, D.detrended(c.orderBy("cadenceno"), CFG, hot=hot), hot=hot)
+    stored = cut_lineage(D.detrended(c, CFG, hot=hot).select("tic", "aperture", "cadenceno", "det_flux"))
+    return J.parity(stored, D.detrended(c.repartition("cadenceno"), CFG, hot=hot), hot=hot)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumensift.functions.hashing import stable_fold
 from lumensift.operators import gates as G, metrics as M
+from lumensift.operators.skew import with_row
 from lumensift.plans.cadence_queries import NORM, curves
 from lumensift.plans.model_queries import levels
 from lumensift.plans.registry import query, r
@@ -25,17 +27,17 @@ pp AS (SELECT tic, cadenceno, max(y) FILTER (WHERE aperture = 'SML') AS s, max(y
 pr AS (SELECT *, median(d) OVER w AS dm, median(s) OVER w AS sm, median(p) OVER w AS pm FROM pq WINDOW w AS (PARTITION BY tic)),
 pair AS (SELECT tic, count(*) AS n_common, corr(s, p) AS correlation, 1.4826 * median(abs(d - dm)) * 1e6 AS diff_mad_ppm, median(abs(p - pm)) / nullif(median(abs(s - sm)), 0) AS mad_ratio FROM pr GROUP BY ALL)"""
 AN = """
-rf AS (SELECT DISTINCT tic, cadenceno, CASE WHEN cadenceno % 400 = 3 THEN 1 - quality ELSE quality END AS q, CASE WHEN cadenceno % 500 = 9 THEN orbitid + 1 ELSE orbitid END AS o FROM cadences WHERE aperture = 'SML' AND cadenceno % 250 <> 11),
-ob AS (SELECT tic, cadenceno, count(*) AS k, max(quality) AS quality, max(orbitid) AS orbitid FROM cadences WHERE aperture = 'SML' AND cadenceno % 300 <> 17 GROUP BY ALL),
-aj AS (SELECT coalesce(ob.tic, rf.tic) AS tic, k, ob.quality, ob.orbitid, q, o, ob.tic IS NULL AS nl, rf.tic IS NULL AS nr FROM ob FULL JOIN rf ON ob.tic = rf.tic AND ob.cadenceno = rf.cadenceno),
+rf AS (SELECT DISTINCT tic, aperture, cadenceno, CASE WHEN cadenceno % 400 = 3 THEN 1 - quality ELSE quality END AS q, CASE WHEN cadenceno % 500 = 9 THEN orbitid + 1 ELSE orbitid END AS o FROM cadences WHERE cadenceno % 250 <> 11),
+ob AS (SELECT tic, aperture, cadenceno, count(*) AS k, max(quality) AS quality, max(orbitid) AS orbitid FROM cadences WHERE cadenceno % 300 <> 17 GROUP BY ALL),
+aj AS (SELECT coalesce(ob.tic, rf.tic) AS tic, k, ob.quality, ob.orbitid, q, o, ob.tic IS NULL AS nl, rf.tic IS NULL AS nr FROM ob FULL JOIN rf ON ob.tic = rf.tic AND ob.aperture = rf.aperture AND ob.cadenceno = rf.cadenceno),
 an AS (SELECT tic, count(*) FILTER (WHERE NOT nr) AS n_expected, count(*) FILTER (WHERE nl) AS n_missing, count(*) FILTER (WHERE nr) AS n_unexpected, count(*) FILTER (WHERE k > 1) AS n_duplicate, count(*) FILTER (WHERE NOT nl AND NOT nr AND quality <> q) AS n_quality_mismatch,
   count(*) FILTER (WHERE NOT nl AND NOT nr AND orbitid <> o) AS n_orbit_mismatch, count(*) FILTER (WHERE nl) / nullif(count(*) FILTER (WHERE NOT nr), 0) AS missing_fraction FROM aj GROUP BY tic)"""
 
 
 def anomalies(spark, d):
-    c = B.cadences(spark, d).where(F.col("aperture") == "SML")
+    c = B.cadences(spark, d)
     k = F.col("cadenceno")
-    ref = c.where(k % 250 != 11).select("tic", k, F.when(k % 400 == 3, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), F.when(k % 500 == 9, F.col("orbitid") + 1).otherwise(F.col("orbitid")).alias("orbitid"))
+    ref = c.where(k % 250 != 11).select("tic", "aperture", k, F.when(k % 400 == 3, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), F.when(k % 500 == 9, F.col("orbitid") + 1).otherwise(F.col("orbitid")).alias("orbitid")).distinct()
     return G.cadence_anomalies(c.where(k % 300 != 17), ref)
 
 
@@ -170,11 +172,22 @@ def ensemble_release_gate(spark, d):
 
 @query("model_selection_score")
 def model_selection_score(spark, d):
-    """Score of two candidate rankers (strength and S/N) from their curves."""
+    """Score of two candidate rankers (strength and S/N): recall of injections at each fold's workload threshold, macro-F1,
+    average precision and calibration error of the scores read as probabilities."""
     out = None
     for name in ("sde", "depth_snr"):
-        lev = M.score_levels(labelled(spark, d), name, F.col("is_signal"))
-        one = M.ranking_metrics(lev, 10.0).withColumn("profile", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    s = M.selection_score(F.col("recall_at_cut"), F.col("precision_at_cut"), F.col("average_precision"), 1 - F.col("roc_auc"))
-    return out.withColumn("selection_score", s)
+        l = labelled(spark, d).withColumn("fold", stable_fold(F.col("tic"), 7, 3)).withColumn("p", F.col(name) / (F.col(name) + 10.0))
+        cuts = None
+        for k in range(3):
+            one = M.workload_threshold(l.where(F.col("fold") == k), name, 0.25).select(F.lit(k).cast("bigint").alias("fold"), "threshold")
+            cuts = one if cuts is None else cuts.unionByName(one)
+        hits = M.recall_at_thresholds(l, name, cuts).agg((F.sum("n_recovered") / F.sum("n_injections")).alias("recall_at_workload"))
+        ap = M.ranking_metrics(M.score_levels(l, name, F.col("is_signal")), 10.0).select("average_precision")
+        said = F.col("p") >= 0.5
+        f1 = lambda yes, truth: 2 * F.count_if(yes & truth) / F.nullif(F.count_if(yes) + F.count_if(truth), F.lit(0))
+        macro = l.agg(((F.coalesce(f1(said, F.col("is_signal")), F.lit(0.0)) + F.coalesce(f1(~said, ~F.col("is_signal")), F.lit(0.0))) / 2).alias("macro_f1"))
+        sure = l.withColumn("confidence", F.greatest(F.col("p"), 1 - F.col("p")))
+        ece = M.expected_calibration_error(M.calibration_bins(sure, "confidence", said == F.col("is_signal"))).select("ece")
+        row = hits.transform(with_row, macro).transform(with_row, ap).transform(with_row, ece).withColumn("profile", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("selection_score", M.selection_score(F.col("recall_at_workload"), F.col("macro_f1"), F.col("average_precision"), F.col("ece")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import exprs as E, sql as Q
 from lumensift.operators import ordered, robust, search as S
-from lumensift.operators.ordering import with_global_row_number
+from lumensift.operators.ordering import shared_folder, with_global_row_number
 from lumensift.plans.cadence_queries import CLIP, curves
 from lumensift.plans.registry import query, r
 from lumensift.plans.search_queries import CFG, PH, prepared
@@ -194,11 +194,12 @@ def sql_functions_on_cadences(spark, d):
 
 
 def _drain(stream, mode: str):
-    """Run a bounded file stream to its end and return the sink table."""
-    name = "s_" + uuid.uuid4().hex
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a bounded file stream to its end; its batches are files, a folder per epoch, in the shared checkpoint folder."""
+    target = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).foreachBatch(T.merge_latest(f"{target}/out")).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = stream.sparkSession.read.parquet(f"{target}/out")
+    return T.as_of(out) if mode == "update" else T.last_epoch(out)
 
 
 def _stream(spark, d, name: str):
@@ -233,11 +234,10 @@ def stream_noise_bins(spark, d):
 
 
 @query("stream_arrivals", sql="""
-WITH e AS (SELECT user_id % 5 AS sector, user_id % 3 AS orbit, count(DISTINCT user_id) + 2 AS n FROM events GROUP BY ALL) SELECT user_id % 5 AS sector, user_id % 3 AS orbit, any_value(e.n) AS n_expected FROM events JOIN e ON e.sector = user_id % 5 AND e.orbit = user_id % 3 GROUP BY ALL""")
+WITH e AS (SELECT user_id % 5 AS sector, user_id % 3 AS orbit, count(DISTINCT user_id) + 2 AS n FROM events GROUP BY ALL) SELECT user_id % 5 AS sector, user_id % 3 AS orbit, any_value(e.n) AS n_expected, count(DISTINCT user_id) AS n_arrived FROM events JOIN e ON e.sector = user_id % 5 AND e.orbit = user_id % 3 GROUP BY ALL""")
 def stream_arrivals(spark, d):
     u = F.col("tic")
     a = _events(spark, d).select(u, (u % 5).alias("sector"), (u % 3).alias("orbit"))
     ev = B.table(spark, d, "events").select(F.col("user_id").alias("tic")).distinct().select(u, (u % 5).alias("sector"), (u % 3).alias("orbit"))
     extra = ev.select("sector", "orbit").distinct().select(F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("tic"), "sector", "orbit")
-    t = _drain(T.arrival_stream(a, ev.unionByName(extra)), "complete")
-    return t.select("sector", "orbit", "n_expected")
+    return T.against_expected(_drain(T.arrival_stream(a), "complete"), ev.unionByName(extra))

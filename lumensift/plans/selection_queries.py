@@ -257,7 +257,7 @@ def latest_label_per_row(spark, d):
     return L.latest_labels(B.label_log(spark, d)).select("row_id", "seq", "label")
 
 
-NUM = lambda c: f"CASE WHEN abs({c} - round_even({c}, 0)) <= 1e-9 THEN CAST(CAST(round_even({c}, 0) AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.9f', {c}), '0+$', '') END"
+NUM = lambda c: f"printf('%.15g', {c})"
 QKEY = f"tic || '|' || sector || '|' || {NUM('period_d')} || '|' || {NUM('t0_bjd')} || '|' || source_bucket"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lumensift.operators.gates import content_hash
 from lumensift.operators.skew import assert_unique
 from lumensift.operators.splits import balanced_shards
-from lumensift.sources.tables import PEAK_COLUMNS
+from lumensift.sources.tables import PEAK_COLUMNS, PEAK_TYPES
 
 # sentinels appear only here
 SENTINELS = {T.LongType(): -1, T.IntegerType(): -1, T.StringType(): ""}
@@ -28,8 +28,9 @@ def with_sentinels(df: DataFrame) -> DataFrame:
 
 
 def peak_table(df: DataFrame) -> DataFrame:
-    """The fixed peak columns in order; absent ones NULL."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in PEAK_COLUMNS])
+    """The fixed peak columns in order and with fixed types; absent ones NULL."""
+    kind = lambda c: PEAK_TYPES.get(c, "double")
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind(c)).alias(c) for c in PEAK_COLUMNS])
 
 
 def write_peaks(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,7 +39,9 @@ def write_peaks(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_spectra(spec: DataFrame, subset: DataFrame, path: str) -> None:
     """Full spectra for chosen targets only; the choice is a semi join before the write."""
-    spec.join(subset.select("tic").distinct(), "tic", "left_semi").withColumn("sector", F.lit(1)).write.mode("errorifexists").partitionBy("sector").parquet(path)
+    if "sector" not in spec.columns:
+        raise ValueError("spectra need the sector they were searched in")
+    spec.join(subset.select("tic").distinct(), "tic", "left_semi").write.mode("errorifexists").partitionBy("sector").parquet(path)
 
 
 def write_product(df: DataFrame, path: str, columns: Sequence[str]) -> DataFrame:
@@ -46,7 +49,11 @@ def write_product(df: DataFrame, path: str, columns: Sequence[str]) -> DataFrame
     counts = df.groupBy("tic").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull() & (F.col("quality") == 0)).alias(f"n_null_{c}") for c in columns])
     if not df.groupBy("tic", "aperture", "cadenceno").count().where("count > 1").isEmpty():
         raise ValueError("product repeats cadences")
-    df.write.mode("errorifexists").option("compression", "zstd").partitionBy("sector", "orbitid").parquet(path)
+    short = counts.where(F.greatest(*[F.col(f"n_null_{c}") for c in columns], F.lit(0)) > 0) if columns else counts.limit(0)
+    if examples := [r["tic"] for r in short.select("tic").limit(5).collect()]:
+        raise ValueError(f"product lacks values on good cadences of {examples}")
+    frame = [c for c in ("sector", "orbitid", "tic", "aperture", "cadenceno", "time", "quality") if c in df.columns]
+    df.select(*frame, *[c for c in columns if c not in frame]).write.mode("errorifexists").option("compression", "zstd").partitionBy("sector", "orbitid").parquet(path)
     return counts
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lumensift.functions import exprs as E
+from lumensift.operators.ordering import with_global_row_number
 from lumensift.operators.robust import finite_or_null
 from lumensift.operators.skew import assert_unique
 
@@ -17,12 +18,16 @@ CADENCES = T.StructType([T.StructField(n, t) for n, t in (
 LABEL_LOG = T.StructType([T.StructField(n, T.StringType()) for n in (
     "row_id", "candidate_key", "tic", "sector", "label", "label_source", "labeler", "notes", "updated_utc", "period_factor", "period_status")])
 
-#: fixed column order of the peak table
+#: fixed values: column order of the peak table, and the types of its columns that are not double
 PEAK_COLUMNS = ("tic", "sector", "cam", "ccd", "tmag", "aperture", "peak_rank", "period_d", "t0_bjd", "duration_min", "depth", "depth_snr", "sde", "log_power",
                 "n_cad_total", "n_cad_quality", "n_cad_edge_trimmed", "n_cad_sigma_clipped", "n_cad_kept", "dropout_frac", "quality_dropout_frac", "n_orbits", "baseline_d", "status",
                 "path", "bls_run_id", "search_branch", "cfg_n_periods", "cfg_p_min_d", "cfg_p_max_cap_d", "cfg_max_period_fraction", "cfg_durations_min", "cfg_n_peaks", "cfg_period_mask_frac",
                 "cfg_min_cadences", "cfg_sigma_clip", "cfg_orbit_edge_trim_d", "cfg_period_bin_edges")
 
+PEAK_TYPES = {**dict.fromkeys(("sector", "cam", "ccd", "peak_rank", "n_orbits", "cfg_n_periods", "cfg_n_peaks", "cfg_min_cadences"), "int"), "tic": "bigint",
+              **dict.fromkeys(("n_cad_total", "n_cad_quality", "n_cad_edge_trimmed", "n_cad_sigma_clipped", "n_cad_kept"), "bigint"),
+              **dict.fromkeys(("aperture", "status", "path", "bls_run_id", "search_branch", "cfg_durations_min", "cfg_period_bin_edges"), "string")}
+
 
 def clean_nulls(df: DataFrame) -> DataFrame:
     """NaN and infinities in float columns become NULL."""
@@ -94,13 +99,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_label_log(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only CSV change log; bad row ids are dropped, absent columns read as NULL, file order kept as ``seq``."""
+    """Append-only CSV change log; bad row ids are dropped, absent columns read as NULL, file order kept as ``seq``.
+
+    ``seq`` orders rows by file name, byte block and line, so a log of one file keeps its order, and later files win ties.
+    """
     d = spark.read.option("header", True).csv(path)  # every column as text; casts below
     for f in LABEL_LOG.fields:
         if f.name not in d.columns:
             d = d.withColumn(f.name, F.lit(None).cast("string"))
     d = d.withColumns({"row_id": F.col("row_id").try_cast("double").cast("bigint"), "updated_utc": F.try_to_timestamp("updated_utc")})
-    return d.where("row_id IS NOT NULL").withColumn("seq", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    d = d.select("*", place.alias("_place")).where("row_id IS NOT NULL")
+    return with_global_row_number(d, [F.col("_place")], "seq").drop("_place")
 
 
 def read_cadence_list(spark: SparkSession, path: str) -> DataFrame:

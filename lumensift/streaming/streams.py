@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumensift.operators.skew import with_row
+
 LATEST = "row_id bigint, label string, updated_utc timestamp, seq bigint"
 STATE = "label string, updated_us bigint, seq bigint"
 
@@ -16,8 +18,8 @@ STATE = "label string, updated_us bigint, seq bigint"
 def latest_label_stream(log: DataFrame, ttl_ms: int | None = 7 * 24 * 3600 * 1000) -> DataFrame:
     """Newest label per row id, emitted whenever it changes (update mode).
 
-    State holds one record per row and expires after ``ttl_ms`` without news; a later change of an expired row
-    starts over. Records without a time count as oldest. ``ttl_ms=None`` keeps state for good (bounded replays).
+    State holds one record per row and expires after ``ttl_ms`` without news. An older record that comes after that is emitted again, so
+    readers merge by (time, seq), as ``as_of`` does, and never by arrival. Records without a time count as oldest. ``ttl_ms=None`` keeps state for good (bounded replays).
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,10 +55,16 @@ def noise_bin_stream(cadences: DataFrame, width: str = "30 minutes", watermark:
         .select("tic", F.col("window.start").alias("t_start"), "median_flux", "n")
 
 
-def arrival_stream(arrivals: DataFrame, expected: DataFrame) -> DataFrame:
-    """Arrived against expected products per sector and orbit (update mode); expectations are a static table."""
+def arrival_stream(arrivals: DataFrame) -> DataFrame:
+    """Distinct arrived targets per sector and orbit (complete mode): repeats are dropped by state, counts are exact."""
+    return arrivals.select("sector", "orbit", "tic").dropDuplicates().groupBy("sector", "orbit").agg(F.count(F.lit(1)).alias("n_arrived"))
+
+
+def against_expected(arrived: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every expected cell beside what has arrived there, none included."""
     e = expected.groupBy("sector", "orbit").agg(F.count(F.lit(1)).alias("n_expected"))
-    return arrivals.join(e, ["sector", "orbit"]).groupBy("sector", "orbit").agg(F.approx_count_distinct("tic", 0.01).alias("n_arrived"), F.first("n_expected").alias("n_expected"))
+    d = e.join(arrived, ["sector", "orbit"], "full_outer")
+    return d.select("sector", "orbit", F.coalesce("n_expected", F.lit(0)).alias("n_expected"), F.coalesce("n_arrived", F.lit(0)).alias("n_arrived"))
 
 
 def merge_latest(target: str):
@@ -67,6 +75,11 @@ def merge_latest(target: str):
 
 
 def as_of(target: DataFrame) -> DataFrame:
-    """Current state of the appended latest-label table."""
+    """Current state of the appended latest-label table: the newest record of each row, whichever batch brought it."""
     rest = [c for c in target.columns if c != "row_id"]
-    return target.groupBy("row_id").agg(F.max_by(F.struct(*rest), F.struct("epoch", F.coalesce("updated_utc", F.lit(datetime(1970, 1, 1))), "seq")).alias("r")).select("row_id", "r.*")
+    return target.groupBy("row_id").agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("updated_utc", F.lit(datetime(1970, 1, 1))), "seq", "epoch")).alias("r")).select("row_id", "r.*")
+
+
+def last_epoch(target: DataFrame) -> DataFrame:
+    """The newest whole result of a stream in complete mode."""
+    return with_row(target, target.agg(F.max("epoch").alias("_last"))).where("epoch = _last").drop("epoch", "_last")

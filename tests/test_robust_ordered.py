@@ -76,3 +76,13 @@ def test_global_rank_of_large_tables_equals_window(spark):
     same(ordering.with_global_row_number(d, o, "n"), ordering.with_global_row_number(d, o, "n", limit=100, n_splits=16), "n")
     b = ordering.rank_bins(d, o, 4, "q", limit=100).groupBy("q").count().collect()
     assert sorted(r["count"] for r in b) == [1250] * 4
+
+
+def test_hot_plans_keep_rows_without_time_or_key(spark):
+    rows = [(1, None, 1, 1.0), (1, float("nan"), 2, 2.0), (None, 0.3, 3, 3.0), (None, None, 4, None)] + [(1, i * 0.2, 10 + i, float(i)) for i in range(12)]
+    d = spark.createDataFrame(rows, "k int, time double, i int, v double")
+    f = lambda x: sorted(map(str, x.collect()))
+    for step in (lambda h: ordered.with_previous(d, ["k"], ["time", "i"], {"p": F.col("v")}, hot=h), lambda h: ordered.with_running_sum(d, ["k"], ["time", "i"], F.col("v"), "s", hot=h),
+                 lambda h: ordered.with_neighbours(d, ["k"], ["time", "i"], F.col("v"), "b", "a", hot=h), lambda h: ordered.with_row_index(d, ["k"], ["time", "i"], hot=h),
+                 lambda h: ordered.with_gap_segments(d, ["k"], "time", "i", 0.15, hot=h)):
+        assert f(step(False)) == f(step(True))

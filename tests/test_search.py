@@ -61,11 +61,11 @@ def test_walk_is_symmetric_in_harmonics_and_respects_quotas():
     p = np.linspace(0.5, 10, 2000)
     for strong, weak in ((2.0, 6.0), (6.0, 2.0)):
         s = np.exp(-((p - strong) / 0.01) ** 2) * 10 + np.exp(-((p - weak) / 0.01) ** 2) * 8 + np.exp(-((p - 4.6) / 0.01) ** 2) * 5
-        got = p[S.walk(p, s, 2, 0.005)]
+        got = p[S.separated_peaks(p, s, 2, 0.005)]
         assert abs(got[0] - strong) < 0.01 and abs(got[1] - 4.6) < 0.01
-    idx = S.walk(p, np.arange(p.size, dtype=float), 10, 1e-4, (0.5, 5.0, 10.1), 2)
+    idx = S.separated_peaks(p, np.arange(p.size, dtype=float), 10, 1e-4, (0.5, 5.0, 10.1), 2)
     assert np.histogram(p[idx], [0.5, 5.0, 10.1])[0].tolist() == [2, 2]
-    assert S.walk(p, np.full(p.size, np.nan), 5, 0.01) == []
+    assert S.separated_peaks(p, np.full(p.size, np.nan), 5, 0.01) == []
 
 
 def test_native_and_array_walks_agree(prepared):

@@ -140,6 +140,11 @@ def test_notes_and_buttons(spark):
     d = spark.createDataFrame([("half-period",), ("P / 3",), ("2.5 p",), ("twice the period",), ("fine",), (None,)], "n string")
     got = [r[0] for r in d.select(E.note_period_factor("n")).collect()]
     assert got[0] == 0.5 and np.isclose(got[1], 1 / 3) and got[2] == 2.5 and got[3] == 2.0 and got[4] is None and got[5] is None
+    n = spark.createDataFrame([("half of the period",), ("halfperiod",), ("refold to p/2",), ("2p",), ("twice period",), ("wrong fold",), ("",)], "n string").select(E.note_refold("n").alias("r")).select("r.*").collect()
+    assert [r["factor"] for r in n] == [0.5, 0.5, 0.5, 2.0, 2.0, None, None] and [r["suspect"] for r in n] == [True] * 6 + [False]
+    values = [1.23456789012345, 2.0, 1e-7, -0.000123456789, 123456789.123456789, 1e15, 1.5e120, 0.1, 100.0, 2457000.4, -3e-5]
+    k = spark.createDataFrame([(v,) for v in values], "v double").select(E.number_text("v").alias("t")).collect()
+    assert [r["t"] for r in k] == [format(v, ".15g") for v in values]
     b = spark.createDataFrame([("0.250",), ("?",), ("",), ("7",)], "t string").select(E.button_factor("t").alias("b")).select("b.*").collect()
     assert [r["factor_text"] for r in b] == ["0.25", "unresolved", "1", None]
 
