@@ -16,8 +16,8 @@ from lumensift.llm.fm_index import FMIndex
 _SOLID = bytes_table("solid")
 #: Words of a window; of an anchor within it. Every window has WINDOW - ANCHOR + 1 anchors and is filed under the one of least hash.
 WINDOW, ANCHOR = 50, 26
-#: Words of an index (more only where one anchor needs them); documents from which an anchor's windows are compared by digest instead.
-SHARD_WORDS, HOT_DOCS = 200_000, 2000
+#: Words of an index (more only where one anchor needs them); windows of one anchor beyond which they are compared by digest instead.
+SHARD_WORDS, HOT_WINDOWS = 200_000, 30_000
 _SECOND = Powers(0xA0761D6478BD642F)
 
 
@@ -52,16 +52,14 @@ def _survey(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             _, _, _, counts, _, _, owner, pos, grams = _filed(texts, window, anchor)
-            new = np.append(True, (pos[1:] != pos[:-1]) | (owner[1:] != owner[:-1])) if pos.size else np.zeros(0, bool)
-            owner, hashes = owner[new], grams[pos[new]].view(np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            anchors = [np.unique(hashes[cuts[i]:cuts[i + 1]]) for i in range(len(texts))]
+            hashes, cuts = grams[pos].view(np.int64), np.searchsorted(owner, np.arange(len(texts) + 1))
+            anchors, windows = zip(*[np.unique(hashes[cuts[i]:cuts[i + 1]], return_counts=True) for i in range(len(texts))])
             yield pa.RecordBatch.from_arrays([
                 part.column(part.schema.get_field_index("doc_id")), pa.array(counts.astype(np.int64)),
                 pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts], pa.binary()),
                 pa.array([hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in texts], pa.string()),
-                pa.array(anchors, pa.list_(pa.int64())),
-            ], names=["doc_id", "n_words", "digest", "whole_sha256", "anchors"])
+                pa.array(anchors, pa.list_(pa.int64())), pa.array([w.astype(np.int32) for w in windows], pa.list_(pa.int32())),
+            ], names=["doc_id", "n_words", "digest", "whole_sha256", "anchors", "windows"])
     return run
 
 
@@ -75,13 +73,13 @@ def _segments(window: int, anchor: int):
             repeated = part.column(part.schema.get_field_index("anchors"))
             hot = part.column(part.schema.get_field_index("hot"))
             first = np.cumsum(counts) - counts
-            new = np.flatnonzero(np.append(True, (pos[1:] != pos[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
+            keys = grams[pos].view(np.int64)
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
             stop = np.append(new[1:], at.size) - 1
             digest = None
             rows: list[tuple] = []
             known = [dict(zip(a.as_py(), h.as_py())) for a, h in zip(repeated, hot)]
-            keys = grams[pos[new]].view(np.int64).tolist()
-            for key, a, b, o in zip(keys, at[new].tolist(), at[stop].tolist(), owner[new].tolist()):
+            for key, a, b, o in zip(keys[new].tolist(), at[new].tolist(), at[stop].tolist(), owner[new].tolist()):
                 is_hot = known[o].get(key)
                 if is_hot is None:
                     continue
@@ -149,20 +147,20 @@ def _shards(window: int, shard_words: int):
 
 
 def survey(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, digest, whole_sha256, anchors of every document."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_survey(window, anchor), "doc_id bigint, n_words bigint, digest binary, whole_sha256 string, anchors array<bigint>")
+    """doc_id, n_words, digest, whole_sha256, anchors and the number of windows filed under each, of every document."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_survey(window, anchor), "doc_id bigint, n_words bigint, digest binary, whole_sha256 string, anchors array<bigint>, windows array<int>")
 
 
-def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): doc_id, spans (removed words as alternating starts and ends) and the texts of the documents that were looked at.
 
     Only the first document of equal texts is looked at; the others are removed whole.
     """
     spark = docs.sparkSession
     reps = seen.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    own = seen.join(reps, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
-    often = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    often = often.select("anchor", (F.col("n") > hot_docs).alias("hot")).repartition("hot", "anchor")  # kept apart from `own`, whose hot anchors may be split
+    own = seen.join(reps, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
+    often = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n")).where("lo <> hi")
+    often = often.select("anchor", (F.col("n") > hot_windows).alias("hot")).repartition("hot", "anchor")  # kept apart from `own`, whose hot anchors may be split
     marks = own.join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
     texts = cut(base.join(marks, "doc_id").dropDuplicates(["doc_id"]))
@@ -210,7 +208,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     1. Each text is read once for its anchors: of the hashes of its 26-word runs, the least in each window, about one in 13 words.
     2. Anchors that lie in different texts are kept (hash collisions only add work); only the passages around those go on.
     3. Passages are filed under their anchor. Shards of whole anchors build an FM-index of words over their passages and stream each passage
-       through it. An anchor in more than HOT_DOCS documents is split by the 128-bit digest of each window instead, summed before the shuffle.
+       through it. An anchor of more than HOT_WINDOWS windows is split by the 128-bit digest of each window instead, summed before the shuffle.
     """
     seen = cut(survey(docs, window))
     spans, texts = repeated_spans(docs, seen, window)

@@ -172,7 +172,7 @@ def repeats(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("hot", [B.HOT_DOCS, 2])
+@pytest.mark.parametrize("hot", [B.HOT_WINDOWS, 2])
 def test_substring_dedup_matches_brute_force(make_docs, monkeypatch, hot):
     monkeypatch.setattr(B, "SHARD_WORDS", 500)
     monkeypatch.setattr(B.repeated_spans, "__defaults__", (B.WINDOW, B.ANCHOR, hot))
