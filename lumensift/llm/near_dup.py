@@ -16,10 +16,10 @@ _ALNUM = bytes_table("alnum")
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and components of a band: two documents of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over 1 - 3e-6 at 0.8.
 BANDS, ROWS = 32, 5
-#: Pairs whose signatures agree in less than this share are not verified: 0.8 less 4.4 standard errors of the estimate.
-ESTIMATE = 0.66
-#: Members of a bucket that meet in one cell.
-CELL = 256
+#: In a cell, pairs are passed on to exact verification from this Jaccard similarity of their 16-bit shingle hashes on.
+CELL_FLOOR = 0.74
+#: Members of a block of a bucket; two blocks meet in a cell.
+CELL = 128
 
 
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -102,21 +102,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingles(texts)
         some = [i for i, s in enumerate(sets) if s[0].size]
         sig = signatures([sets[i] for i in some])
-        keys, short = band_keys(sig).tolist(), (sig & np.uint64(0xFFFF)).astype("<u2")
+        keys = band_keys(sig)
         row = dict(zip(some, range(len(some))))
         yield pa.RecordBatch.from_arrays([
             part.column(part.schema.get_field_index("doc_id")),
             pa.array([None if t is None else hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
             pa.array([keys[row[i]] if i in row else [] for i in range(len(texts))], pa.list_(pa.int64())),
-            pa.array([short[row[i]].tobytes() if i in row else None for i in range(len(texts))], pa.binary()),
-        ], names=["doc_id", "digest", "keys", "sig"])
+        ], names=["doc_id", "digest", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches, "text"):
         sets = shingles(texts)
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype("<u4").tobytes() for s in sets], pa.binary())],
-                                         names=["doc_id", "shingles", "counts"])
+        carried = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "keys")]
+        yield pa.RecordBatch.from_arrays([
+            *carried, pa.array([np.unique(s[0] >> np.uint64(48)).astype("<u2").tobytes() for s in sets], pa.binary()), pa.array([bool(s[1].sum() > 1.02 * s[1].size) for s in sets]),
+            pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype("<u4").tobytes() for s in sets], pa.binary()),
+        ], names=["doc_id", "keys", "short", "weighted", "shingles", "counts"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,37 +139,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(_similar, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _compare(estimate: float):
-    """Rows come ordered by cell; members of one cell (i, j) that lie in different components are compared by signature."""
-    def pairs(rows: list[dict]) -> Iterator[tuple]:
-        i, j = rows[0]["i"], rows[0]["j"]
-        ids = [r["doc_id"] for r in rows]
-        comp, own = np.array([r["comp"] for r in rows], object), np.array([r["own"] for r in rows])
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), -1)
-        for x in range(len(rows)):
-            same = (sig[x + 1:] == sig[x]).mean(1) >= estimate if x + 1 < len(rows) else np.zeros(0, bool)
-            for y in np.flatnonzero(same) + x + 1:
-                if comp[x] != comp[y] and (i == j or own[x] != own[y]):
-                    yield max(ids[x], ids[y]), min(ids[x], ids[y])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, kind = None, [], None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = sorted(set(pairs(held))) if len(held) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"])
-
-        for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            for r in batch.to_pylist():
-                key = (r["key"], r["i"], r["j"])
-                if key != cell:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a few sets of distinct numbers."""
+    values, where, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(often > 1) - 1  # what only one set has is left out
+    m = np.zeros((len(sets), int(rank[-1]) + 1 if values.size else 0), np.float32)
+    at = 0
+    for i, s in enumerate(sets):
+        own, at = where[at:at + s.size], at + s.size
+        m[i, rank[own[often[own] > 1]]] = 1
+    return m @ m.T
+
+
+def cell_pairs(rows: list[tuple], key: int, one_block: bool) -> list[tuple]:
+    """(larger id, smaller id) of the members of one cell that may be similar. A pair is compared in the first bucket it shares, and only
+    if its documents aren't connected yet; both documents of a pair whose repeated shingles weigh are left to exact verification."""
+    ids, comps, blocks, keys, sets, weighted = zip(*rows)
+    sizes = np.array([s.size for s in sets], float)
+    both = overlaps(list(sets))
+    jaccard = both / np.maximum(1.0, sizes[:, None] + sizes - both)
+    w = np.array(weighted)
+    maybe = np.triu((jaccard >= CELL_FLOOR) | (w[:, None] & w), 1)
+    out = []
+    for x, y in zip(*np.nonzero(maybe)):
+        if comps[x] != comps[y] and (one_block or blocks[x] != blocks[y]) and keys[x][np.argmax(keys[x] == keys[y])] == key:
+            out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by cell."""
+    cell, held, kind = None, [], None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = sorted(set(cell_pairs(held, cell[0], cell[1] == cell[2]))) if len({h[1] for h in held}) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"])
+
+    for batch in batches:
+        kind = batch.schema.field("doc_id").type
+        c = {n: batch.column(n) for n in batch.schema.names}
+        keys = c["keys"].flatten().to_numpy().reshape(batch.num_rows, -1)
+        for r, k in enumerate(zip(*(c[n].to_pylist() for n in ("key", "i", "j", "doc_id", "comp", "own", "short", "weighted")))):
+            if k[:3] != cell:
+                if held:
                     yield from flush()
-                    cell, held = key, []
-                held.append(r)
+                cell, held = k[:3], []
+            held.append((k[3], k[4], k[5], keys[r], np.frombuffer(k[6], "<u2"), k[7]))
+    if held:
         yield from flush()
-    return run
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,26 +198,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     repeat a doc_id are one document if their texts are equal; differing texts of one id join their classes.
 
     1. Each text is signed in its task; equal texts (by 128-bit digest) are represented by their smallest id from then on.
-    2. Each document is verified against one leader, the smallest member of the bucket it shares most often.
-    3. Buckets whose members are connected are done. In the others, members of different components are compared by signature, in cells of
-       two blocks of at most about CELL members, and what may reach the threshold is verified exactly. Nothing is capped.
+    2. Each document is verified against one leader: of the most central members of its buckets (those with the fullest buckets), the one
+       it shares most buckets with.
+    3. Buckets whose members are connected are done. In the others, members of different components are compared on hashed shingle sets, in
+       cells of two blocks of at most about CELL members, each pair in the first bucket it shares; what may reach the threshold is
+       verified exactly. Nothing is capped.
     """
     base = docs.select("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    signed = cut(base.mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<bigint>, sig binary"))
+    signed = cut(base.mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<bigint>"))
     named = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = cut(named.where(F.size("keys") > 0).join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select("doc_id", "keys", "sig"))
+    own = cut(named.where(F.size("keys") > 0).join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select("doc_id", "keys"))
     bands = own.select("doc_id", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last")
-    shared = cut(shared.repartition("leader"))  # few rows; kept apart from the bands' partitioning, so that a large bucket can be split below
-    met = cut(bands.join(shared, "key").select("key", "doc_id", "leader", "n"))
+    shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    shared = shared.select("key", "n").repartition("n", "key")  # few rows; kept apart from the bands' partitioning, so that a large bucket can be split below
+    met = cut(bands.join(shared, "key").select("key", "doc_id", "n"))
     # whole shingle sets only for documents that share a bucket
-    some = met.select("doc_id").distinct()
-    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id", "left_semi").mapInArrow(_sets, f"doc_id {kind}, shingles binary, counts binary").dropDuplicates(["doc_id"]))
+    central = cut(met.groupBy("doc_id").agg(F.sum("n").alias("reach")))
+    some = own.join(central.select("doc_id"), "doc_id")
+    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id").mapInArrow(_sets, f"doc_id {kind}, keys array<bigint>, short binary, weighted boolean, shingles binary, counts binary").dropDuplicates(["doc_id"]))
 
-    count = met.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = count.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b"))
+    leaders = met.join(central, "doc_id").groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("reach"), F.col("doc_id"))).alias("leader")).repartition("leader", "key")
+    count = met.join(leaders, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = count.groupBy(F.col("doc_id").alias("a")).agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("b"))
     links = cut(_verified(best, sets, threshold).select("a", "b"))
     comp = components(links)
 
@@ -206,9 +230,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = open_.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")).repartition("blocks", "key")
     rows = placed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "doc_id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(own.select("doc_id", "sig"), "doc_id")
+    rows = rows.select("key", "doc_id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(sets.select("doc_id", "keys", "short", "weighted"), "doc_id")
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cells.select("key", "doc_id", "comp", "own", "i", "j", "sig").mapInArrow(_compare(ESTIMATE), f"a {kind}, b {kind}").distinct()
+    more = cells.select("key", "i", "j", "doc_id", "comp", "own", "keys", "short", "weighted").mapInArrow(_compare, f"a {kind}, b {kind}")
     links = links.unionByName(cut(_verified(more, sets, threshold).select("a", "b")))
 
     # one id with differing texts connects their representatives
