@@ -45,3 +45,50 @@ v AS (SELECT vec_id, i, floor(64 * e::DOUBLE)::BIGINT AS w FROM x WHERE vec_id N
 s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 20
 """
+
+SQL["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM x),
+f AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f ON g.g = f.g WHERE lo < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT t.doc_id, count(c.p) AS n_removed, string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY t.p) AS kept FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.p = c.p GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+SQL["op5_decontamination"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bi AS (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM bi),
+di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+h AS (SELECT doc_id, item, i, di.k FROM di JOIN iw ON di.k = iw.k AND array_to_string(w[i:i + di.k - 1], ' ') = g),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
+def _licences() -> str:
+    from lumensift.llm.licenses import RULES, SENTENCES, rule_pattern
+
+    known = ", ".join(f"('{s}', '{n}')" for n, s in SENTENCES.items())
+    sequence = lambda name, text: f"""
+{name} AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM (
+  SELECT doc_id, id, i FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace({text}, '[.!?;]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10)) AS s FROM documents WHERE text IS NOT NULL)) u
+  JOIN k ON trim(regexp_replace(translate(u.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = k.s) GROUP BY doc_id)"""
+    names = list(dict.fromkeys(n for n, _, _ in RULES))
+    holds = {n: " OR ".join(f"regexp_matches(x, '{p}') OR regexp_matches(y, '{p}')" for m, seq, _ in RULES if m == n for p in [rule_pattern(seq)]) for n in names}
+    hidden = {n: [m for m, _, gone in RULES if n in gone] for n in names}
+    shown = ", ".join(f"CASE WHEN ({holds[n]})" + "".join(f" AND NOT ({holds[m]})" for m in hidden[n]) + f" THEN '{n}' END" for n in names)
+    return f"""
+WITH k(s, id) AS (VALUES {known}),{sequence('a', 'text')},{sequence('b', "translate(text, chr(13) || chr(10), '  ')")},
+j AS (SELECT d.doc_id, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb, coalesce(a.ids, '') AS ia, coalesce(b.ids, '') AS ib, ',' || coalesce(a.ids, '') || ',' AS x, ',' || coalesce(b.ids, '') || ',' AS y
+  FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN b ON d.doc_id = b.doc_id)
+SELECT doc_id, CASE WHEN na >= nb THEN ia ELSE ib END AS sentence_ids, concat_ws(',', {shown}) AS licenses, greatest(na, nb)::BIGINT AS n_known FROM j
+"""
+
+
+SQL["op6_license_scan"] = _licences()

@@ -54,10 +54,10 @@ def test_top_k_of_huge_components_and_few_rows(spark):
     assert T.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_exact_topk", "op8_url_reputation"])
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op4_substring_dedup", "op5_decontamination", "op6_license_scan", "op8_url_reputation"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in "pages labels embeddings".split():
+    for t in "pages labels embeddings documents benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = entry.queries()[name](spark, DATA)
     cur = con.execute(entry.oracle_sql()[name])
