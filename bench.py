@@ -28,6 +28,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     names = sys.argv[1:] or HEADLINE
+    catalogue.QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # compiles code and starts workers; not timed
     seconds = {}
     for name in names:
         t = time.time()
