@@ -17,7 +17,8 @@ _SOLID = bytes_table("solid")
 #: Words of a window; of an anchor within it. Every window has WINDOW - ANCHOR + 1 anchors and is filed under the one of least hash.
 WINDOW, ANCHOR = 50, 26
 #: Words of an index (more only where one anchor needs them); windows of one anchor beyond which they are compared by digest instead.
-SHARD_WORDS, HOT_WINDOWS = 200_000, 30_000
+#: A window under its anchor is about five words of passages, so one anchor adds 300,000 words at most: an index of some 100 MB.
+SHARD_WORDS, HOT_WINDOWS = 200_000, 60_000
 _SECOND = Powers(0xA0761D6478BD642F)
 
 
