@@ -12,6 +12,10 @@ from lumensift.session import hot_rows
 from lumensift.operators.skew import with_row
 
 
+#: Rows that one window task orders; more are cut into ranges first.
+ONE_WINDOW_ROWS = 100_000
+
+
 def shared_folder(spark) -> str:
     """The checkpoint folder that all executors share; on one machine a temporary one."""
     sc = spark.sparkContext
@@ -36,14 +40,14 @@ def with_global_row_number(df: DataFrame, order: Sequence[Column], out: str = "r
     Small tables use one window. Larger ones are cut at sampled order tuples into ranges; positions come from a
     window inside each range plus the number of rows in earlier ranges. Any cut points give exact positions.
     """
-    limit = hot_rows(df.sparkSession) if limit is None else limit
+    limit = min(hot_rows(df.sparkSession), ONE_WINDOW_ROWS) if limit is None else limit
     if df.limit(limit + 1).count() <= limit:
         return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("bigint"))
     key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     d = df.withColumn("_k", key)
     n = d.count()
     every = max(1, n // (n_splits * 40))
-    picked = d.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k").limit(n_splits * 200)
+    picked = d.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k").distinct()  # about 40 a range, of whole keys
     sample = sorted(tuple(r[0]) for r in picked.collect())
     cuts = sorted({sample[i * len(sample) // n_splits] for i in range(1, n_splits)}) if sample else []
     fields = d.schema["_k"].dataType.fields

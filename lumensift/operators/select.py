@@ -266,7 +266,7 @@ def place_repeats(unique: DataFrame, repeats: DataFrame, seed: int, key: str, ed
     Repeats (some tens) get positions from hash ranks inside the first and last ``edge`` slots; other rows fill the
     open slots in hash order.
     """
-    r = [x[0] for x in repeats.select(key).orderBy(digest(F.col(key), seed + 7), key).collect()]
+    r = [x[0] for x in repeats.select(key).orderBy(digest(F.col(key), seed + 7), key).limit(edge + 1).collect()]  # more than ``edge`` is refused below
     n = unique.count() + len(r)
     if n < 2 * edge + min_separation or len(r) > edge:
         raise ValueError(f"{n} rows cannot keep {len(r)} repeats {min_separation} apart")
@@ -278,10 +278,10 @@ def place_repeats(unique: DataFrame, repeats: DataFrame, seed: int, key: str, ed
     second = [high[i] if i < half else low[i] for i in range(len(r))]
     taken = sorted(first + second)
     slot = lambda pos: F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in r]), F.array(*[F.lit(p) for p in pos])), F.col(key))
-    rep = unique.join(F.broadcast(repeats.select(key)), key, "left_semi")
+    rep = unique.join(repeats.select(key), key, "left_semi")
     orig = rep.withColumns({"display": slot(first).cast("bigint"), "is_repeat": F.lit(False), "occurrence": F.lit("original")})
     dup = rep.withColumns({"display": slot(second).cast("bigint"), "is_repeat": F.lit(True), "occurrence": F.lit("blind_repeat")})
-    rest = unique.join(F.broadcast(repeats.select(key)), key, "left_anti")
+    rest = unique.join(repeats.select(key), key, "left_anti")
     rest = with_global_row_number(rest, [digest(F.col(key), seed), F.col(key)], "_p")
     # the p-th open slot skips every taken position at or before it
     shift = F.aggregate(F.array(*[F.lit(t).cast("bigint") for t in taken]), F.col("_p") - 1, lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))

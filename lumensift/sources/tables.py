@@ -108,9 +108,8 @@ def read_label_log(spark: SparkSession, path: str) -> DataFrame:
         if f.name not in d.columns:
             d = d.withColumn(f.name, F.lit(None).cast("string"))
     d = d.withColumns({"row_id": F.col("row_id").try_cast("double").cast("bigint"), "updated_utc": F.try_to_timestamp("updated_utc")})
-    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    d = d.select("*", place.alias("_place")).where("row_id IS NOT NULL")
-    return with_global_row_number(d, [F.col("_place")], "seq").drop("_place")
+    d = d.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return with_global_row_number(d.where("row_id IS NOT NULL"), [F.col("_file"), F.col("_block"), F.col("_line")], "seq").drop("_file", "_block", "_line")
 
 
 def read_cadence_list(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +153,7 @@ def discover_hosts(inv: DataFrame, keep: DataFrame | None = None, limit: int | N
         d = d.join(keep.select("tic").distinct(), "tic", "left_semi")
     if limit is not None:
         first = d.select("tic").distinct().orderBy("tic").limit(limit)
-        d = d.join(F.broadcast(first), "tic", "left_semi")
+        d = d.join(first, "tic", "left_semi")
     return d
 
 
