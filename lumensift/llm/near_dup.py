@@ -19,7 +19,7 @@ BANDS, ROWS = 32, 5
 #: In a cell, pairs are passed on to exact verification from this Jaccard similarity of their 16-bit shingle hashes on.
 CELL_FLOOR = 0.74
 #: Members of a block of a bucket; two blocks meet in a cell.
-CELL = 128
+CELL = 512
 
 
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
