@@ -91,6 +91,19 @@ def identifiers(sentences: Column, known: Mapping[str, str]) -> Column:
     return F.filter(F.transform(normalised(sentences), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
 
 
+def joined_identifiers(text: Column, known: Mapping[str, str]) -> Column:
+    """Identifiers of the known sentences that begin and end at a boundary, in text order, whatever boundaries lie between.
+
+    Boundaries are line breaks, the ends of sentences, ``:`` before white space, and list numbers like ``1)`` or ``(a)``. So a sentence is
+    found wrapped over lines, under a heading or a copyright line, behind a colon, and with a ``;`` or an abbreviation inside.
+    """
+    marked = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\r\n]|[.!?;:]+(?=[ \t\r\n]|$)|(?<=(?:^|[( \t\r\n])[a-z0-9]{1,3})\)(?=[ \t])", "B")
+    marked = F.trim(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9B]+", " "), " ?B[ B]*", "B"))
+    words = [w.replace(" ", "[ B]") for w in sorted(known.values(), key=len, reverse=True)]
+    found = F.regexp_extract_all(marked, F.lit(f"(?<![^B])(?:{'|'.join(words)})(?![^B])"), F.lit(0))
+    return identifiers(F.transform(found, lambda s: F.translate(s, "B", " ")), known)
+
+
 def rule_pattern(names: Sequence[str]) -> str:
     """A pattern over ``,a,b,c,`` for the names in this order with any others between."""
     return ",(?:[a-z0-9_]+,)*".join(f",{n}" if i == 0 else n for i, n in enumerate(names)) + ","
@@ -105,21 +118,23 @@ def trigger(known: Mapping[str, str]) -> str:
 def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple] = RULES) -> DataFrame:
     """doc_id, sentence_ids, licenses, n_known for every document; a map without a shuffle, in built-in functions only.
 
-    Sentences are sought in the text as it stands and, for licences wrapped over lines, with line breaks taken as spaces; a rule holds if
-    either sequence has its sentences in order. ``sentence_ids`` is the longer sequence (the first, if they are as long), ``licenses`` the
-    rules that hold, in their order, without those that a fuller rule hides; both comma-joined, empty if none. Null and empty texts have
+    Sentences are sought in the text as it stands, with line breaks taken as spaces, and from boundary to boundary (see
+    ``joined_identifiers``), for licences wrapped over lines; a rule holds if one of the sequences has its sentences in order.
+    ``sentence_ids`` is the longest sequence (the first of those as long), ``licenses`` the rules that hold, in their order, without those that a fuller rule hides; both comma-joined, empty if none. Null and empty texts have
     none; repeated rows are scanned each. The knowledge is a literal in the plan: its size is that of the two tables above.
     """
     unwrapped = F.translate(F.col("text"), "\r\n", "  ")
     d = docs.select("doc_id", F.when(F.col("text").rlike(trigger(known)), F.col("text")).alias("text"))
     ids = F.coalesce(identifiers(sentences_of(F.col("text")), known), F.array().cast("array<string>"))
     more = F.coalesce(identifiers(sentences_of(unwrapped), known), F.array().cast("array<string>"))
-    d = d.select("doc_id", ids.alias("_a"), more.alias("_b"))
+    whole = F.coalesce(joined_identifiers(F.col("text"), known), F.array().cast("array<string>"))
+    d = d.select("doc_id", ids.alias("_a"), more.alias("_b"), whole.alias("_c"))
     line = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
-    d = d.select("doc_id", "_a", "_b", line("_a").alias("_x"), line("_b").alias("_y"))
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("_x").rlike(p) | F.col("_y").rlike(p), F.lit(name)) for name, names, _ in rules for p in [rule_pattern(names)]])))
-    d = d.withColumn("_found", F.when((F.size("_a") + F.size("_b")) > 0, found).otherwise(F.array().cast("array<string>")))
+    d = d.select("doc_id", "_a", "_b", "_c", line("_a").alias("_x"), line("_b").alias("_y"), line("_c").alias("_z"))
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("_x").rlike(p) | F.col("_y").rlike(p) | F.col("_z").rlike(p), F.lit(name)) for name, names, _ in rules for p in [rule_pattern(names)]])))
+    d = d.withColumn("_found", F.when((F.size("_a") + F.size("_b") + F.size("_c")) > 0, found).otherwise(F.array().cast("array<string>")))
     hides = {name: hidden for name, _, hidden in rules if hidden}
     gone = F.flatten(F.array(*[F.when(F.array_contains("_found", name), F.array(*[F.lit(h) for h in hidden])).otherwise(F.array().cast("array<string>")) for name, hidden in hides.items()]))
-    own = F.when(F.size("_a") >= F.size("_b"), F.col("_a")).otherwise(F.col("_b"))
+    most = F.greatest(F.size("_a"), F.size("_b"), F.size("_c"))
+    own = F.when(F.size("_a") == most, F.col("_a")).when(F.size("_b") == most, F.col("_b")).otherwise(F.col("_c"))
     return d.select("doc_id", F.array_join(own, ",").alias("sentence_ids"), F.array_join(F.array_except("_found", gone), ",").alias("licenses"), F.size(own).cast("bigint").alias("n_known"))

@@ -262,6 +262,53 @@ def test_licences(make_docs):
     assert all(n in SENTENCES for _, names, _ in RULES for n in names)
 
 
+def test_wrapped_licences(make_docs):
+    """The standard texts as they are published, wrapped under a title, a copyright line or a colon."""
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+{}The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+{}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+    bsd = """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{0}1{1} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{0}2{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{0}3{1} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """/*  prog - does things
+ *  Copyright (C) 2020  Some One
+ *  This program is free software: you can redistribute it and/or modify
+ *  it under the terms of the GNU General Public License as published by
+ *  the Free Software Foundation, either version 3 of the License, or
+ *  (at your option) any later version.
+ *
+ *  This program is distributed in the hope that it will be useful,
+ *  but WITHOUT ANY WARRANTY; without even the implied warranty of
+ *  MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ *  GNU General Public License for more details.
+ */"""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy"
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + grant.format("\n", "\n")), (2, ("MIT License\nCopyright (c) 2020 Some One\n" + grant.format("", "")).replace("\n", "\r\n")),
+            (3, bsd.format("\n", ".")), (4, bsd.format("", ")")), (5, gpl), (6, mpl), (7, "Words. This text is not\nreleased under the MIT license\nof old"), (8, "\"Released under\nthe MIT license\"\nof 2020")]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in scan(make_docs(rows)).collect()}
+    mit, three = ("mit_grant,mit_notice,as_is_software", "MIT"), ("bsd_redistribution,bsd_source,bsd_binary,bsd_endorse", "BSD-3-Clause")
+    assert got == {1: mit, 2: mit, 3: three, 4: three, 5: ("gpl_redistribute,gpl_no_warranty,gpl_see", "GPL-3.0-or-later"), 6: ("mpl_2", "MPL-2.0"), 7: ("mit_released", "MIT-reference"), 8: ("mit_released", "MIT-reference")}
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------------------
 
 def check_packing(got, capacity):
