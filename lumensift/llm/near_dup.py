@@ -14,7 +14,8 @@ from lumensift.llm.components import components
 
 _ALNUM = bytes_table("alnum")
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands and components of a band: two documents of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over 1 - 3e-6 at 0.8.
+#: Bands and components of a band: two documents of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over 1 - 3e-6 at 0.8. That
+#: holds for each part of the similarity, since texts have bands of both kinds of signature (``search_keys``).
 BANDS, ROWS = 32, 5
 #: In a cell, pairs are passed on to exact verification from this Jaccard similarity of their 16-bit shingle hashes on.
 CELL_FLOOR = 0.74
@@ -75,6 +76,19 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.view(np.int64)
 
 
+def search_keys(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The sorted band keys of each (not empty) weighted set: of its signature by counts and of that with all weights 1.
+
+    The first find pairs of a high probability Jaccard similarity, the second those of a high Jaccard similarity of the sets. Where all
+    shingles occur equally often, the two signatures are the same and the set has BANDS keys, otherwise up to twice as many.
+    """
+    keys = list(band_keys(signatures(sets)))
+    uneven = [i for i, s in enumerate(sets) if s[1].min() < s[1].max()]
+    for i, plain in zip(uneven, band_keys(signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in uneven]))):
+        keys[i] = np.concatenate([keys[i], plain])
+    return [np.unique(k) for k in keys]
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of the exact probability Jaccard similarity of the weighted shingles and the Jaccard similarity of their sets."""
     (x, v), (y, w) = a, b
@@ -101,8 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches, "text", 1 << 19):
         sets = shingles(texts)
         some = [i for i, s in enumerate(sets) if s[0].size]
-        sig = signatures([sets[i] for i in some])
-        keys = band_keys(sig)
+        keys = search_keys([sets[i] for i in some])
         row = dict(zip(some, range(len(some))))
         yield pa.RecordBatch.from_arrays([
             part.column(part.schema.get_field_index("doc_id")),
@@ -152,9 +165,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def cell_pairs(rows: list[tuple], key: int, one_block: bool) -> list[tuple]:
-    """(larger id, smaller id) of the members of one cell that may be similar. A pair is compared in the first bucket it shares, and only
+    """(larger id, smaller id) of the members of one cell that may be similar. A pair is compared in the bucket of the least key it shares, and only
     if its documents aren't connected yet; both documents of a pair whose repeated shingles weigh are left to exact verification."""
     ids, comps, blocks, keys, sets, weighted = zip(*rows)
+    met = overlaps([k[k < key] for k in keys]) > 0
     sizes = np.array([s.size for s in sets], float)
     both = overlaps(list(sets))
     jaccard = both / np.maximum(1.0, sizes[:, None] + sizes - both)
@@ -162,7 +176,7 @@ def cell_pairs(rows: list[tuple], key: int, one_block: bool) -> list[tuple]:
     maybe = np.triu((jaccard >= CELL_FLOOR) | (w[:, None] & w), 1)
     out = []
     for x, y in zip(*np.nonzero(maybe)):
-        if comps[x] != comps[y] and (one_block or blocks[x] != blocks[y]) and keys[x][np.argmax(keys[x] == keys[y])] == key:
+        if comps[x] != comps[y] and (one_block or blocks[x] != blocks[y]) and not met[x, y]:
             out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
     return out
 
@@ -179,7 +193,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind = batch.schema.field("doc_id").type
         c = {n: batch.column(n) for n in batch.schema.names}
-        keys = c["keys"].flatten().to_numpy().reshape(batch.num_rows, -1)
+        keys = np.split(c["keys"].flatten().to_numpy(), np.cumsum(c["keys"].value_lengths().to_numpy())[:-1])
         for r, k in enumerate(zip(*(c[n].to_pylist() for n in ("key", "i", "j", "doc_id", "comp", "own", "short", "weighted")))):
             if k[:3] != cell:
                 if held:
@@ -201,7 +215,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     2. Each document is verified against one leader: of the most central members of its buckets (those with the fullest buckets), the one
        it shares most buckets with.
     3. Buckets whose members are connected are done. In the others, members of different components are compared on hashed shingle sets, in
-       cells of two blocks of at most about CELL members, each pair in the first bucket it shares; what may reach the threshold is
+       cells of two blocks of at most about CELL members, each pair in the bucket of the least key it shares; what may reach the threshold is
        verified exactly. Nothing is capped.
     """
     base = docs.select("doc_id", "text")
