@@ -17,7 +17,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and components of a band: two documents of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over 1 - 3e-6 at 0.8. That
 #: holds for each part of the similarity, since texts have bands of both kinds of signature (``search_keys``).
 BANDS, ROWS = 32, 5
-#: In a cell, pairs are passed on to exact verification from this Jaccard similarity of their 16-bit shingle hashes on.
+#: In a cell, pairs are passed on to exact verification from this bound on the similarity on, taken from their 16-bit shingle hashes.
 CELL_FLOOR = 0.74
 #: Members of a block of a bucket; two blocks meet in a cell.
 CELL = 512
@@ -129,9 +129,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingles(texts)
         carried = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "keys")]
         yield pa.RecordBatch.from_arrays([
-            *carried, pa.array([np.unique(s[0] >> np.uint64(48)).astype("<u2").tobytes() for s in sets], pa.binary()), pa.array([bool(s[1].sum() > 1.02 * s[1].size) for s in sets]),
+            *carried, pa.array([np.unique(s[0] >> np.uint64(48)).astype("<u2").tobytes() for s in sets], pa.binary()), pa.array([int(s[1].sum()) - s[1].size for s in sets], pa.int64()),
             pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype("<u4").tobytes() for s in sets], pa.binary()),
-        ], names=["doc_id", "keys", "short", "weighted", "shingles", "counts"])
+        ], names=["doc_id", "keys", "short", "excess", "shingles", "counts"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +166,16 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def cell_pairs(rows: list[tuple], key: int, one_block: bool) -> list[tuple]:
     """(larger id, smaller id) of the members of one cell that may be similar. A pair is compared in the bucket of the least key it shares, and only
-    if its documents aren't connected yet; both documents of a pair whose repeated shingles weigh are left to exact verification."""
-    ids, comps, blocks, keys, sets, weighted = zip(*rows)
+    if its documents aren't connected yet. Counts v and w give a common shingle x at most max(v_x, w_x) / (size of the union) of the
+    probability Jaccard similarity, so the common shingles and the excess, which is what the counts of both have beyond one for each shingle,
+    over the union bound it from above; without excess that is the Jaccard similarity of the sets."""
+    ids, comps, blocks, keys, sets, excess = zip(*rows)
     met = overlaps([k[k < key] for k in keys]) > 0
     sizes = np.array([s.size for s in sets], float)
     both = overlaps(list(sets))
-    jaccard = both / np.maximum(1.0, sizes[:, None] + sizes - both)
-    w = np.array(weighted)
-    maybe = np.triu((jaccard >= CELL_FLOOR) | (w[:, None] & w), 1)
+    e = np.array(excess, float)
+    bound = (both + e[:, None] + e) / np.maximum(1.0, sizes[:, None] + sizes - both)
+    maybe = np.triu((both > 0) & (bound >= CELL_FLOOR), 1)
     out = []
     for x, y in zip(*np.nonzero(maybe)):
         if comps[x] != comps[y] and (one_block or blocks[x] != blocks[y]) and not met[x, y]:
@@ -194,7 +196,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.schema.field("doc_id").type
         c = {n: batch.column(n) for n in batch.schema.names}
         keys = np.split(c["keys"].flatten().to_numpy(), np.cumsum(c["keys"].value_lengths().to_numpy())[:-1])
-        for r, k in enumerate(zip(*(c[n].to_pylist() for n in ("key", "i", "j", "doc_id", "comp", "own", "short", "weighted")))):
+        for r, k in enumerate(zip(*(c[n].to_pylist() for n in ("key", "i", "j", "doc_id", "comp", "own", "short", "excess")))):
             if k[:3] != cell:
                 if held:
                     yield from flush()
@@ -231,7 +233,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # whole shingle sets only for documents that share a bucket
     central = cut(met.groupBy("doc_id").agg(F.sum("n").alias("reach")))
     some = own.join(central.select("doc_id"), "doc_id")
-    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id").mapInArrow(_sets, f"doc_id {kind}, keys array<bigint>, short binary, weighted boolean, shingles binary, counts binary").dropDuplicates(["doc_id"]))
+    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id").mapInArrow(_sets, f"doc_id {kind}, keys array<bigint>, short binary, excess bigint, shingles binary, counts binary").dropDuplicates(["doc_id"]))
 
     leaders = met.join(central, "doc_id").groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("reach"), F.col("doc_id"))).alias("leader")).repartition("leader", "key")
     count = met.join(leaders, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
@@ -245,9 +247,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = placed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "doc_id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(sets.select("doc_id", "keys", "short", "weighted"), "doc_id")
+    rows = rows.join(sets.select("doc_id", "keys", "short", "excess"), "doc_id")
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cells.select("key", "i", "j", "doc_id", "comp", "own", "keys", "short", "weighted").mapInArrow(_compare, f"a {kind}, b {kind}")
+    more = cells.select("key", "i", "j", "doc_id", "comp", "own", "keys", "short", "excess").mapInArrow(_compare, f"a {kind}, b {kind}")
     links = links.unionByName(cut(_verified(more, sets, threshold).select("a", "b")))
 
     # one id with differing texts connects their representatives

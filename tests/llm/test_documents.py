@@ -119,6 +119,22 @@ def test_near_duplicates_with_a_repeated_line(make_docs):
     assert dict(rows_of(N.classes(make_docs(rows)))) == want
 
 
+def test_near_duplicate_cells_keep_a_pair_with_one_doubled_text():
+    """A text, and the same text twice with new words: probability Jaccard over 0.8, Jaccard of the sets 0.67."""
+    x = np.arange(1, 150, dtype=np.uint64) << np.uint64(48)
+    a, b = (x[:100], np.ones(100)), (x, np.where(np.arange(149) < 100, 2, 1))
+    assert len(np.intersect1d(a[0], b[0])) / 149 < 0.7 and N.similarity(a, b) >= 0.8
+    row = lambda i, s: (i, i, 0, np.array([3, 5, 9 + i]), np.unique(s[0] >> np.uint64(48)).astype("<u2"), int(s[1].sum()) - s[1].size)
+    assert N.cell_pairs([row(1, a), row(2, b)], 3, True) == [(2, 1)]
+    assert N.cell_pairs([row(1, a), row(2, b)], 5, True) == []  # met in bucket 3
+    rng = np.random.default_rng(3)
+    for _ in range(300):  # the bound never drops what reaches the threshold
+        n, m = rng.integers(20, 149, 2)
+        a, b = (x[:n], rng.integers(1, 4, n)), (x[rng.integers(0, 20):m], None)
+        b = (b[0], rng.integers(1, rng.integers(2, 4), b[0].size))
+        assert b[0].size == 0 or N.similarity(a, b) < 0.8 or N.cell_pairs([row(1, a), row(2, b)], 3, True)
+
+
 def test_near_duplicates_of_awkward_rows(make_docs):
     got = rows_of(N.classes(make_docs(AWKWARD)))
     assert len(got) == len(AWKWARD)
