@@ -107,6 +107,22 @@ def test_article_text(html, text):
     assert "\n\n".join(inside or outside) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><p class='notice'>x<p>one<p>two</article><p>out</p>", "one\n\ntwo"),
+    ("<article><p class='notice'>x<b>y<div>one</div></article>", "one"),
+    ("<article><ul><li class='ad'>x<ul><li>y</ul><li>one</ul><p>two</article>", "one\n\ntwo"),
+    ("<article><table><tr><td class='ad'>x<td>one<tr class='promo'><td>y<tr><td>two</table></article>", "one\n\ntwo"),
+    ("<article><dl><dt class='ad'>x<dd>one</dl><div><nav>m</div><p>two</article>", "one\n\ntwo"),
+    ("<article><p>a</p><div class='ad'>x</article><footer>f</footer>", "a"),
+    ("<article><div class='ad'><b>x<div>y</b>z</div>v</div><p>one</p></article>", "one"),
+    ("<article><div class='ad'><script>s('</div></article>')</script>x</div><p>one</p></article>", "one"),
+    ("<article><h2 class='section-header'>H</h2><p class='share-price'>P</p><div class='content has-sidebar'><p>one</p></div><div class='post comments-open'>two <span class='ad-free'>three</span> four</div></article>", "H\n\nP\n\none\n\ntwo three four"),
+    ("<article><p>a</p><div class='share-list'><a href='x'>mail</a> | <a href='y'>post</a></div><div class='ad-box'><p>story with <a href='z'>link</a> in it</p></div><p>b</article>", "a\n\nstory with link in it\n\nb"),
+])
+def test_article_text_is_kept_whole(html, text):
+    assert "\n\n".join(H.parse(html)[0]) == text
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(1)
     for _ in range(200):
