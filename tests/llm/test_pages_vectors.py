@@ -154,6 +154,23 @@ def test_pages_without_article_lose_what_neighbours_share(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("range_pages", [H.RANGE_PAGES, 70])
+def test_heavy_templates_copies_and_run_starts_are_differenced(spark, monkeypatch, range_pages):
+    ship_package(spark)
+    monkeypatch.setattr(H, "RANGE_PAGES", range_pages)
+    menu = [f"menu entry {i}" for i in range(10)]
+    page = lambda *own: "<body>" + "".join(f"<div>{s}</div>" for s in menu) + "".join(f"<p>{s}</p>" for s in own)
+    rows = [(i, f"http://h.org/{i:05d}", page(f"story {i} alone")) for i in range(600)]
+    rows += [(1000 + i, f"http://c.org/{i}", page("the story of this host")) for i in range(4)] + [(1004, "http://c.org/9", page("another story"))]
+    long = [f"line {i} of a story that was fetched again and again" for i in range(60)]
+    rows += [(2000 + i, f"http://r.org/{i}", page(*long, f"views {i}")) for i in range(4)] + [(2004, "http://r.org/9", page("another story"))]
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == [f"story {i} alone"] for i in range(600))
+    assert sum(got[1000 + i] == ["the story of this host"] for i in range(4)) == 4 and got[1004] == ["another story"]
+    assert all(got[2000 + i] == [*long, f"views {i}"] for i in range(4)) and got[2004] == ["another story"]
+
+
 def test_articles_of_the_driver_pages_are_whole(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in entry.queries()["op10_article_text"](spark, DATA).collect():
