@@ -32,11 +32,18 @@ def register(spark: SparkSession) -> list[str]:
     return [*names, "box_periodogram"]
 
 
+def trial_frequencies(p_max: float, p_min: float, baseline: float, box: float) -> np.ndarray:
+    """Ascending frequencies from 1/p_max to 1/p_min with steps of at most box / (2 * period * baseline), all in days."""
+    n = 2 + int(np.log(p_max / p_min) / np.log1p(0.5 * box / baseline))
+    return np.geomspace(1 / p_max, 1 / p_min, n)
+
+
 @udtf(returnType="tic bigint, aperture string, period_d double, power double, depth double, duration_min double, t0 double")
 class BoxPeriodogram:
     """SELECT * FROM box_periodogram(TABLE(curves) PARTITION BY (tic, aperture)) over columns tic, aperture, time, y.
 
-    One partition is one curve. Jobs over very large curves use the binned plan of the search module.
+    One partition is one curve. Its trial frequencies are so close that over the baseline neighbours drift by half the shortest box at
+    most, whatever the period; their number follows from the baseline. Jobs over very large curves use the binned plan of the search module.
     """
 
     def __init__(self):
@@ -52,7 +59,7 @@ class BoxPeriodogram:
 
     def terminate(self) -> Iterator[tuple]:
         from lumensift.operators.search import SearchConfig, _fold_chunk
-        cfg = SearchConfig(n_periods=500)
+        cfg = SearchConfig()
         w, boxes = cfg.widths()
         if len(self.t) < 2:
             return
@@ -62,7 +69,7 @@ class BoxPeriodogram:
         p_max = min(cfg.max_period_fraction * (t[-1] - t[0]), cfg.p_max_cap_d)
         if p_max <= cfg.p_min_d:
             return
-        f = np.linspace(1 / p_max, 1 / cfg.p_min_d, cfg.n_periods)
+        f = trial_frequencies(p_max, cfg.p_min_d, t[-1] - t[0], w)
         for lo in range(0, f.size, 64):
             p = 1.0 / f[lo:lo + 64]
             power, _, o = _fold_chunk(t - t[0], yq, p, w, boxes, t.size, int(yq.sum()))

@@ -206,6 +206,13 @@ def test_sql_functions_and_table_function(spark, planted):
     assert min(abs(ratio - f) for f in (0.5, 1, 2)) < 0.01
 
 
+@pytest.mark.parametrize("baseline", [3.0, 30.0, 300.0])
+def test_no_period_falls_between_trial_frequencies(baseline):
+    f = Q.trial_frequencies(min(0.45 * baseline, 15.0), 0.12, baseline, 3 / 1440)
+    assert np.isclose(f[0], 1 / min(0.45 * baseline, 15.0)) and np.isclose(f[-1], 1 / 0.12)
+    assert (np.diff(f) * baseline <= 3 / 1440 * f[1:]).all()  # cycles of drift against the box as a share of the period
+
+
 def test_repeat_agreement(spark):
     d = spark.createDataFrame([(1, "original", "a", "1"), (1, "blind_repeat", "a", "1"), (2, "original", "a", "1"), (2, "blind_repeat", "b", "1")], "repeat_group int, occurrence string, label string, factor string")
     k = L.agreement(L.repeat_pairs(d)).first()
