@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumensift.llm import sqltext
+from lumensift.llm import sqltext, sqltext_rows
 from lumensift.llm.common import tables
+from lumensift.llm.conversation import damage, report
 from lumensift.llm.decontaminate import contamination
 from lumensift.llm.html_extract import extract
+from lumensift.llm.importance import resample
 from lumensift.llm.langid import held_out, identify, learn_from
 from lumensift.llm.licenses import scan
 from lumensift.llm.near_dup import classes
 from lumensift.llm.pack import pack_documents
+from lumensift.llm.quality import judge
 from lumensift.llm.shards import shard_documents
 from lumensift.llm.substring_dedup import dedup_report
 from lumensift.llm.topk import top_k
@@ -32,8 +35,9 @@ def _query(fn):
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
-    if fn.__name__ in sqltext.SQL:
-        ORACLES[fn.__name__] = sqltext.SQL[fn.__name__]
+    for sql in (sqltext.SQL, sqltext_rows.SQL):
+        if fn.__name__ in sql:
+            ORACLES[fn.__name__] = sql[fn.__name__]
     return fn
 
 
@@ -110,3 +114,21 @@ def op9_language_mixture(spark, sf_dir):
 def op10_article_text(spark, sf_dir):
     (pages,) = tables(spark, sf_dir, "pages")
     return extract(pages)
+
+
+@_query
+def op11_importance_resampling(spark, sf_dir):
+    docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    return resample(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op12_adaptive_quality(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op13_conversation_repair(spark, sf_dir):
+    (turns,) = tables(spark, sf_dir, "conversations")
+    return report(damage(turns), turns)
