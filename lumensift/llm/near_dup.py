@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumensift.llm.common import bytes_table, chunks, cut, hash_grams, hash_words, mix64, split_words
 from lumensift.llm.components import components
@@ -17,10 +17,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and components of a band: two documents of similarity s meet with probability 1 - (1 - s**ROWS)**BANDS, over 1 - 3e-6 at 0.8. That
 #: holds for each part of the similarity, since texts have bands of both kinds of signature (``search_keys``).
 BANDS, ROWS = 32, 5
-#: In a cell, pairs are passed on to exact verification from this bound on the similarity on, taken from their 16-bit shingle hashes.
-CELL_FLOOR = 0.74
-#: Members of a block of a bucket; two blocks meet in a cell.
-CELL = 512
+#: Members of a cell, and bytes of their shingles: what one task compares at a time. A larger group is cut into blocks, of which two meet in a cell.
+CELL, CELL_BYTES = 4096, 128 << 20
 
 
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -125,13 +123,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the rows whose text has the digest that is sought (an id may have several texts)."""
     for part, texts in chunks(batches, "text"):
-        sets = shingles(texts)
-        carried = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "keys")]
+        sought = part.column(part.schema.get_field_index("node")).to_pylist()
+        mine = [i for i, t in enumerate(texts) if hashlib.blake2b(t, digest_size=16).digest() == sought[i]]
+        sets = shingles([texts[i] for i in mine])
         yield pa.RecordBatch.from_arrays([
-            *carried, pa.array([np.unique(s[0] >> np.uint64(48)).astype("<u2").tobytes() for s in sets], pa.binary()), pa.array([int(s[1].sum()) - s[1].size for s in sets], pa.int64()),
-            pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype("<u4").tobytes() for s in sets], pa.binary()),
-        ], names=["doc_id", "keys", "short", "excess", "shingles", "counts"])
+            pa.array([sought[i] for i in mine], pa.binary()), pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].astype("<u4").tobytes() for s in sets], pa.binary()),
+        ], names=["node", "shingles", "counts"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,64 +145,103 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches ``threshold``."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("counts").alias(f"counts_{s}"))
-    kind = pairs.schema["a"].dataType.simpleString()
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("counts").alias(f"counts_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b")
-    return full.mapInArrow(_similar, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of a few sets of distinct numbers."""
-    values, where, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(often > 1) - 1  # what only one set has is left out
-    m = np.zeros((len(sets), int(rank[-1]) + 1 if values.size else 0), np.float32)
-    at = 0
-    for i, s in enumerate(sets):
-        own, at = where[at:at + s.size], at + s.size
-        m[i, rank[own[often[own] > 1]]] = 1
-    return m @ m.T
-
-
-def cell_pairs(rows: list[tuple], key: int, one_block: bool) -> list[tuple]:
-    """(larger id, smaller id) of the members of one cell that may be similar. A pair is compared in the bucket of the least key it shares, and only
-    if its documents aren't connected yet. Counts v and w give a common shingle x at most max(v_x, w_x) / (size of the union) of the
-    probability Jaccard similarity, so the common shingles and the excess, which is what the counts of both have beyond one for each shingle,
-    over the union bound it from above; without excess that is the Jaccard similarity of the sets."""
-    ids, comps, blocks, keys, sets, excess = zip(*rows)
-    met = overlaps([k[k < key] for k in keys]) > 0
-    sizes = np.array([s.size for s in sets], float)
-    both = overlaps(list(sets))
-    e = np.array(excess, float)
-    bound = (both + e[:, None] + e) / np.maximum(1.0, sizes[:, None] + sizes - both)
-    maybe = np.triu((both > 0) & (bound >= CELL_FLOOR), 1)
-    out = []
-    for x, y in zip(*np.nonzero(maybe)):
-        if comps[x] != comps[y] and (one_block or blocks[x] != blocks[y]) and not met[x, y]:
-            out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
-    return out
+    return full.mapInArrow(_similar, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by cell."""
-    cell, held, kind = None, [], None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        found = sorted(set(cell_pairs(held, cell[0], cell[1] == cell[2]))) if len({h[1] for h in held}) > 1 else []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"])
+def cell_links(members: list[tuple], threshold: float, one_block: bool = True) -> list[tuple[int, int]]:
+    """Links between the members (component, block, shingles, counts) of one cell, at most one less than there are components: pairs of
+    positions whose exact similarity reaches ``threshold`` and that connect what wasn't connected.
 
-    for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        c = {n: batch.column(n) for n in batch.schema.names}
-        keys = np.split(c["keys"].flatten().to_numpy(), np.cumsum(c["keys"].value_lengths().to_numpy())[:-1])
-        for r, k in enumerate(zip(*(c[n].to_pylist() for n in ("key", "i", "j", "doc_id", "comp", "own", "short", "excess")))):
-            if k[:3] != cell:
-                if held:
-                    yield from flush()
-                cell, held = k[:3], []
-            held.append((k[3], k[4], k[5], keys[r], np.frombuffer(k[6], "<u2"), k[7]))
-    if held:
-        yield from flush()
+    Each member meets all later ones of other components at once: their rows lie one after the other in one sparse matrix, whose entries are
+    looked up in the member's. The Jaccard similarity of the sets follows for all of them. Where counts differ, the sums of min and max of both
+    distributions over common shingles bound the probability Jaccard similarity: a common shingle adds at most max(p, q) / sum of max, as
+    max(p_y / p_x, q_y / q_x) >= max(p_y, q_y) / max(p_x, q_x). Only pairs that pass it are computed one by one.
+    """
+    comps, blocks, sets, counts = zip(*members)
+    n, sizes = len(members), np.array([x.size for x in sets], np.int64)
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    weight = np.concatenate([c / c.sum() for c in counts])
+    uneven = np.array([c.min() < c.max() for c in counts])
+    block = np.array(blocks)
+    ids: dict = {}
+    root = np.array([ids.setdefault(c, len(ids)) for c in comps])
+    have, p = np.zeros(int(col.max()) + 1, np.int32), np.zeros(int(col.max()) + 1)
+    links = []
+    for i in range(n - 1):
+        other = root[i + 1:] != root[i]
+        if not one_block:
+            other &= block[i + 1:] != block[i]
+        if not other.any():
+            continue
+        a = start[i + 1]
+        own = slice(start[i], start[i] + sizes[i])
+        have[col[own]] = 1
+        both = np.add.reduceat(have[col[a:]], start[i + 1:] - a)
+        union = sizes[i] + sizes[i + 1:] - both
+        linked = other & (both / union >= threshold)
+        maybe = other & ~linked & (both > 0) & (uneven[i + 1:] | uneven[i])
+        if maybe.any():
+            p[col[own]] = weight[own]
+            mine, theirs, cuts = p[col[a:]], weight[a:], start[i + 1:] - a
+            least = np.add.reduceat(np.minimum(mine, theirs), cuts)
+            common = np.add.reduceat(mine, cuts) + np.add.reduceat(np.where(mine > 0, theirs, 0.0), cuts)
+            maybe &= (common - least) / (2.0 - least) >= threshold - 1e-9
+            p[col[own]] = 0.0
+        have[col[own]] = 0
+        for j in np.flatnonzero(linked) + i + 1:
+            if root[j] != root[i]:
+                links.append((i, int(j)))
+                root[root == root[j]] = root[i]
+        for j in np.flatnonzero(maybe) + i + 1:
+            if root[j] != root[i] and similarity((sets[i], counts[i]), (sets[j], counts[j])) >= threshold:
+                links.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _compare(threshold: float):
+    """Rows come ordered by cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, nodes = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = cell_links(held, threshold, cell[1] == cell[2]) if len({h[0] for h in held}) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *key, node, comp, own, x, w in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "node", "comp", "own", "shingles", "counts"))):
+                if key != cell:
+                    if held:
+                        yield from flush()
+                    cell, held, nodes = key, [], []
+                nodes.append(node)
+                held.append((comp, own, np.frombuffer(x, np.uint64), np.frombuffer(w, "<u4").astype(float)))
+        if held:
+            yield from flush()
+    return run
+
+
+def _cells(open_: DataFrame) -> DataFrame:
+    """cell, node: what to compare so that all members of each open bucket (key, node) meet.
+
+    Buckets that share members form a group. The bands of one set of near copies give many large buckets of nearly the same members, and one cell
+    of the whole group replaces them all; where buckets merely touch, the group is larger than they are and each stays a cell. The plan with
+    fewer pairs is taken: the square of the group's size, or the sum of the squares of its buckets' sizes. Both find the same links.
+    """
+    bucket = open_.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    edges = open_.join(bucket.select("key", "first"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    group = cut(components(edges).select("node", F.col("comp").alias("group")))
+    of_bucket = bucket.join(group.withColumnRenamed("node", "first"), "first")
+    cost = of_bucket.groupBy("group").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    size = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    plan = cut(size.join(cost, "group").select("group", (F.col("n").cast("double") * F.col("n") <= F.col("apart")).alias("whole")))
+    whole = group.join(plan.where("whole").select("group"), "group").select(F.col("group").alias("cell"), "node")
+    apart = of_bucket.join(plan.where("NOT whole").select("group"), "group").select("key")
+    return whole.unionByName(open_.join(apart, "key").select(F.col("key").cast("string").cast("binary").alias("cell"), "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,57 +251,60 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class whatever their length (no text or letters included); a null text stands alone; a row without doc_id has class null. Rows that
     repeat a doc_id are one document if their texts are equal; differing texts of one id join their classes.
 
-    1. Each text is signed in its task; equal texts (by 128-bit digest) are represented by their smallest id from then on.
-    2. Each document is verified against one leader: of the most central members of its buckets (those with the fullest buckets), the one
+    1. Each text is signed in its task; equal texts (by 128-bit digest) are one node from then on, whatever ids they have.
+    2. Each node is verified against one leader: of the most central members of its buckets (those with the fullest buckets), the one
        it shares most buckets with.
-    3. Buckets whose members are connected are done. In the others, members of different components are compared on hashed shingle sets, in
-       cells of two blocks of at most about CELL members, each pair in the bucket of the least key it shares; what may reach the threshold is
-       verified exactly. Nothing is capped.
+    3. Buckets whose members are connected are done. The members of others meet in cells (``_cells``), where a task verifies members of different
+       components exactly and keeps track of what it connects; a cell gives fewer links than it has members. Nothing is capped.
     """
     base = docs.select("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
     signed = cut(base.mapInArrow(_sign, f"doc_id {kind}, digest binary, keys array<bigint>"))
     named = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = cut(named.where(F.size("keys") > 0).join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select("doc_id", "keys"))
-    bands = own.select("doc_id", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
-    shared = shared.select("key", "n").repartition("n", "key")  # few rows; kept apart from the bands' partitioning, so that a large bucket can be split below
-    met = cut(bands.join(shared, "key").select("key", "doc_id", "n"))
-    # whole shingle sets only for documents that share a bucket
-    central = cut(met.groupBy("doc_id").agg(F.sum("n").alias("reach")))
-    some = own.join(central.select("doc_id"), "doc_id")
-    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id").mapInArrow(_sets, f"doc_id {kind}, keys array<bigint>, short binary, excess bigint, shingles binary, counts binary").dropDuplicates(["doc_id"]))
-
-    leaders = met.join(central, "doc_id").groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("reach"), F.col("doc_id"))).alias("leader")).repartition("leader", "key")
-    count = met.join(leaders, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = count.groupBy(F.col("doc_id").alias("a")).agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("b"))
+    own = cut(named.where(F.size("keys") > 0).join(reps, (named["digest"] == reps["digest"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]).select(F.col("digest").alias("node"), "doc_id", "keys"))
+    bands = own.select("node", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = shared.repartition("n", "key")  # few rows; kept apart from the bands' partitioning, so that a large bucket can be split below
+    met = cut(bands.join(shared, "key").select("key", "node", "n"))
+    # whole shingle sets only for texts that share a bucket
+    central = cut(met.groupBy("node").agg(F.sum("n").alias("reach")))
+    some = own.join(central.select("node"), "node").select("node", "doc_id")
+    sets = cut(base.where(F.col("text").isNotNull()).join(some, "doc_id").select("node", "text").mapInArrow(_sets, "node binary, shingles binary, counts binary").dropDuplicates(["node"]))
+
+    leaders = met.join(central, "node").groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("leader")).repartition("leader", "key")
+    count = met.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = count.groupBy(F.col("node").alias("a")).agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("b"))
     links = cut(_verified(best, sets, threshold).select("a", "b"))
     comp = components(links)
 
-    placed = met.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")).repartition("blocks", "key")
-    rows = placed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = met.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n").repartition("n", "key")
+    open_ = cut(placed.join(mixed, "key").select("key", "node", "comp"))
+    cells = cut(_cells(open_.select("key", "node")))
+    weight = cells.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    by_count = F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(F.lit(1))
+    blocks = weight.select("cell", F.greatest(by_count, F.when(F.col("bytes") > CELL_BYTES, F.ceil(2 * F.col("bytes") / CELL_BYTES)).otherwise(F.lit(1))).cast("int").alias("blocks")).repartition("blocks", "cell")
+    rows = cells.join(blocks, "cell").join(open_.select("node", "comp").distinct(), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "doc_id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(sets.select("doc_id", "keys", "short", "excess"), "doc_id")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cells.select("key", "i", "j", "doc_id", "comp", "own", "keys", "short", "excess").mapInArrow(_compare, f"a {kind}, b {kind}")
-    links = links.unionByName(cut(_verified(more, sets, threshold).select("a", "b")))
-
-    # one id with differing texts connects their representatives
-    comp = components(links.unionByName(_split_ids(named, reps)))
-    of_text = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class_id"))
+    rows = rows.select("cell", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
+    ordered = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    more = ordered.select("cell", "i", "j", "node", "comp", "own", "shingles", "counts").mapInArrow(_compare(threshold), "a binary, b binary")
+    links = links.unionByName(cut(more)).unionByName(_one_id(named))
+
+    # the class is named after the smallest id of its texts
+    comp = components(links).join(reps.withColumnRenamed("digest", "node"), "node")
+    least = comp.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    of_text = comp.join(least, "comp").select(F.col("node").alias("digest"), "class_id")
+    of_text = reps.join(of_text, "digest", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
     out = signed.select("doc_id", "digest").join(of_text, "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
-def _split_ids(named: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): representatives of the texts of an id that has several."""
-    several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    texts = named.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(reps, "digest")
-    return texts.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+def _one_id(named: DataFrame) -> DataFrame:
+    """(a, b): the texts of an id that has several, each linked to the first."""
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("_hi")).where("a <> _hi").select("doc_id", "a")
+    return named.select("doc_id", F.col("digest").alias("b")).join(several, "doc_id").select("a", "b").where("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

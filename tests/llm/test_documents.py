@@ -119,20 +119,87 @@ def test_near_duplicates_with_a_repeated_line(make_docs):
     assert dict(rows_of(N.classes(make_docs(rows)))) == want
 
 
-def test_near_duplicate_cells_keep_a_pair_with_one_doubled_text():
-    """A text, and the same text twice with new words: probability Jaccard over 0.8, Jaccard of the sets 0.67."""
-    x = np.arange(1, 150, dtype=np.uint64) << np.uint64(48)
-    a, b = (x[:100], np.ones(100)), (x, np.where(np.arange(149) < 100, 2, 1))
-    assert len(np.intersect1d(a[0], b[0])) / 149 < 0.7 and N.similarity(a, b) >= 0.8
-    row = lambda i, s: (i, i, 0, np.array([3, 5, 9 + i]), np.unique(s[0] >> np.uint64(48)).astype("<u2"), int(s[1].sum()) - s[1].size)
-    assert N.cell_pairs([row(1, a), row(2, b)], 3, True) == [(2, 1)]
-    assert N.cell_pairs([row(1, a), row(2, b)], 5, True) == []  # met in bucket 3
-    rng = np.random.default_rng(3)
-    for _ in range(300):  # the bound never drops what reaches the threshold
-        n, m = rng.integers(20, 149, 2)
-        a, b = (x[:n], rng.integers(1, 4, n)), (x[rng.integers(0, 20):m], None)
-        b = (b[0], rng.integers(1, rng.integers(2, 4), b[0].size))
-        assert b[0].size == 0 or N.similarity(a, b) < 0.8 or N.cell_pairs([row(1, a), row(2, b)], 3, True)
+def random_sets(rng, n, uneven):
+    """Near copies of one set, alike by 0.6 to 0.95, some with counts above one."""
+    base = np.arange(1, 140, dtype=np.uint64) << np.uint64(40)
+    out = []
+    for k in range(n):
+        own = base.copy()
+        own[rng.choice(139, rng.integers(2, 40), replace=False)] = rng.integers(1 << 20, 1 << 60, 1).astype(np.uint64) + np.uint64(1)
+        own = np.unique(np.append(own[: rng.integers(90, 139)], rng.integers(1 << 60, 1 << 61, rng.integers(0, 12)).astype(np.uint64)))
+        counts = rng.integers(1, 4, own.size).astype(float) if uneven and k % 3 == 0 else np.where(np.arange(own.size) < 20, 1.0 + 3 * (uneven and k % 3 == 1), 1.0)
+        out.append((own, counts))
+    return out
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_cells_connect_exactly_what_is_similar(uneven):
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sets = random_sets(rng, 30, uneven)
+        comps = [b"%d" % (k if k % 4 else 0) for k in range(30)]
+        blocks = [k % 2 for k in range(30)]
+        for one_block in (True, False):
+            up = {c: c for c in comps}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+            for i, j in combinations(range(30), 2):
+                if (one_block or blocks[i] != blocks[j]) and N.similarity(sets[i], sets[j]) >= 0.8:
+                    up[root(comps[i])] = root(comps[j])
+            want = {frozenset(c for c in comps if root(c) == root(d)) for d in comps}
+            links = N.cell_links([(c, b, *s) for c, b, s in zip(comps, blocks, sets)], 0.8, one_block)
+            assert all(N.similarity(sets[i], sets[j]) >= 0.8 for i, j in links) and len(links) < len(set(comps))
+            up = {c: c for c in comps}
+            for i, j in links:
+                assert root(comps[i]) != root(comps[j])
+                up[root(comps[i])] = root(comps[j])
+            assert {frozenset(c for c in comps if root(c) == root(d)) for d in comps} == want
+
+
+def test_buckets_that_merely_touch_stay_cells(spark):
+    """A chain of buckets that share one member each is compared bucket by bucket, many buckets of the same members as one group."""
+    node = lambda i: b"%08d" % i
+    chain = [(k, node(10 * k + i)) for k in range(8) for i in range(11)]
+    same = [(100 + k, node(1000 + i)) for k in range(20) for i in range(12) if (i + k) % 5]
+    cells = N._cells(spark.createDataFrame(chain + same, "key bigint, node binary")).collect()
+    groups = {}
+    for r in cells:
+        groups.setdefault(bytes(r.cell), set()).add(bytes(r.node))
+    assert sorted(map(len, groups.values())) == [11] * 8 + [12]
+    for rows in (chain, same):
+        for key in {k for k, _ in rows}:
+            assert any({n for k, n in rows if k == key} <= g for g in groups.values())
+
+
+def test_near_copies_below_the_threshold_with_repeated_lines(make_docs):
+    """Hundreds of near copies, mostly less alike than the threshold, each with a line many times: classes are still exact."""
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w) + (" " + " ".join(w[:12])) * (3 if i % 2 else 0)))
+    sets = N.shingles([t.encode() for _, t in rows])
+    up = list(range(300))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, j in combinations(range(300), 2):
+        if root(i) != root(j) and N.similarity(sets[i], sets[j]) >= 0.8:
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    assert dict(rows_of(N.classes(make_docs(rows)))) == {i: root(i) for i in range(300)}
+
+
+def test_texts_of_one_id_are_judged_each(make_docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    got = rows_of(N.classes(make_docs([(1, a), (1, b), (2, a + " x y"), (3, b + " x y"), (4, "c " * 40), (4, "c " * 40)])))
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
 
 
 def test_near_duplicates_of_awkward_rows(make_docs):
