@@ -105,10 +105,16 @@ def joined_identifiers(text: Column, known: Mapping[str, str]) -> Column:
 
 
 def rule_pattern(names: Sequence[str]) -> str:
-    """A pattern over ``,a,b,c,`` for the names in this order with any others between."""
+    """A pattern over ``,a,b,c,`` for the names in this order with any others between: the rule as SQL engines with linear patterns take it."""
     return ",(?:[a-z0-9_]+,)*".join(f",{n}" if i == 0 else n for i, n in enumerate(names)) + ","
 
 
+def in_order(ids: Column, names: Sequence[str]) -> Column:
+    """Whether ``names`` occur one after the other in ``ids``, others between or not: one pass that counts how many are found so far."""
+    want = F.array(*[F.lit(n) for n in names])
+    return F.aggregate(ids, F.lit(0), lambda k, x: F.when(F.get(want, k) == x, k + 1).otherwise(k)) == len(names)
+
+
 def trigger(known: Mapping[str, str]) -> str:
     """A pattern that every text with a known sentence matches: the rarest-looking (longest) word of each."""
     words = sorted({max(s.split(), key=lambda w: (len(w), w)) for s in known.values()})
@@ -129,9 +135,8 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[
     more = F.coalesce(identifiers(sentences_of(unwrapped), known), F.array().cast("array<string>"))
     whole = F.coalesce(joined_identifiers(F.col("text"), known), F.array().cast("array<string>"))
     d = d.select("doc_id", ids.alias("_a"), more.alias("_b"), whole.alias("_c"))
-    line = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
-    d = d.select("doc_id", "_a", "_b", "_c", line("_a").alias("_x"), line("_b").alias("_y"), line("_c").alias("_z"))
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("_x").rlike(p) | F.col("_y").rlike(p) | F.col("_z").rlike(p), F.lit(name)) for name, names, _ in rules for p in [rule_pattern(names)]])))
+    holds = lambda names: F.exists(F.array("_a", "_b", "_c"), lambda ids: in_order(ids, names))
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(holds(names), F.lit(name)) for name, names, _ in rules])))
     d = d.withColumn("_found", F.when((F.size("_a") + F.size("_b") + F.size("_c")) > 0, found).otherwise(F.array().cast("array<string>")))
     hides = {name: hidden for name, _, hidden in rules if hidden}
     gone = F.flatten(F.array(*[F.when(F.array_contains("_found", name), F.array(*[F.lit(h) for h in hidden])).otherwise(F.array().cast("array<string>")) for name, hidden in hides.items()]))

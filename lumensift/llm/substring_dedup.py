@@ -57,7 +57,7 @@ def _survey(window: int, anchor: int):
             anchors, windows = zip(*[np.unique(hashes[cuts[i]:cuts[i + 1]], return_counts=True) for i in range(len(texts))])
             yield pa.RecordBatch.from_arrays([
                 part.column(part.schema.get_field_index("doc_id")), pa.array(counts.astype(np.int64)),
-                pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts], pa.binary()),
+                pa.array([hashlib.sha256(t or b"").digest()[:16] for t in texts], pa.binary()),
                 pa.array([hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in texts], pa.string()),
                 pa.array(anchors, pa.list_(pa.int64())), pa.array([w.astype(np.int32) for w in windows], pa.list_(pa.int32())),
             ], names=["doc_id", "n_words", "digest", "whole_sha256", "anchors", "windows"])
@@ -92,9 +92,9 @@ def _segments(window: int, anchor: int):
                     rows.append((key, 0, o, a - int(first[o]), data[starts[a]:ends[b + window - 1]].tobytes()))
             if rows:
                 c = list(zip(*rows))
-                ids = part.column(part.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), ids.take(pa.array(c[2], pa.int64())), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())],
-                                                 names=["anchor", "second", "doc_id", "start", "words"])
+                at_row, col = pa.array(c[2], pa.int64()), lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), col("doc_id").take(at_row), col("digest").take(at_row), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())],
+                                                 names=["anchor", "second", "doc_id", "digest", "start", "words"])
     return run
 
 
@@ -106,77 +106,93 @@ def _second(words: np.ndarray, k: int) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * down[: words.size - k + 1])
 
 
-def shard_matches(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """Index the passages (doc_id, start, words) of one shard and stream each through it: (doc_id, start, end) of words covered by windows
-    that occur in a passage of a smaller doc_id."""
+def shard_matches(rows: list[tuple[int, bytes, int, bytes]], window: int) -> list[tuple[int, bytes, int, int]]:
+    """Index the passages (doc_id, text's digest, start, words) of one shard and stream each through it: (doc_id, digest, start, end) of words
+    covered by windows that occur in a passage of a smaller doc_id."""
     ids: dict[bytes, int] = {}
-    seqs = [np.array([ids.setdefault(w, len(ids)) for w in r[2].replace(b"\0", b" ").split()], np.int64) for r in rows]
+    seqs = [np.array([ids.setdefault(w, len(ids)) for w in r[3].replace(b"\0", b" ").split()], np.int64) for r in rows]
     index = FMIndex(seqs, window)
     docs = np.array([r[0] for r in rows], np.int64)
     least = np.minimum.reduceat(docs[index.owner], index.full)  # the smallest document of each run of equal windows
     out = []
-    for (doc, start, _), ranks in zip(rows, index.window_matches(seqs)):
+    for (doc, text, start, _), ranks in zip(rows, index.window_matches(seqs)):
         found = np.flatnonzero((ranks >= 0) & (least[np.searchsorted(index.full, ranks, side="right") - 1] < doc))
         if found.size:
             breaks = np.flatnonzero(np.diff(found) > 1)
             for a, b in zip(np.append(0, breaks + 1), np.append(breaks, found.size - 1)):
-                out.append((doc, start + int(found[a]), start + int(found[b]) + window))
+                out.append((doc, text, start + int(found[a]), start + int(found[b]) + window))
     return out
 
 
 def _shards(window: int, shard_words: int):
     """Rows come ordered by anchor; a shard takes whole anchors until it has enough words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, bytes, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             found = shard_matches(held, window) if len(held) > 1 else []
             if found:
                 c = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["doc_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 1 else pa.int64()) for k, x in enumerate(c)], names=["doc_id", "digest", "start", "stop"])
 
         for batch in batches:
-            for key, doc, start, words in zip(*(batch.column(n).to_pylist() for n in ("anchor", "doc_id", "start", "words"))):
+            for key, doc, text, start, words in zip(*(batch.column(n).to_pylist() for n in ("anchor", "doc_id", "digest", "start", "words"))):
                 if size >= shard_words and key != last:
                     yield from flush()
                     held, size = [], 0
-                held.append((doc, start, words))
+                held.append((doc, text, start, words))
                 size, last = size + len(words) // 7 + 1, key
         yield from flush()
     return run
 
 
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, text: the digest that the survey gives the text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("digest"), "text")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def merged_spans(starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """Overlapping and touching ranges become one; alternating starts and ends."""
+    out = []
+    for a, b in zip(starts, stops):
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        first = np.append(True, a[1:] > b[:-1])
+        out.append(np.stack([a[first], b[np.append(first[1:], True)]], 1).ravel())
+    return pd.Series(out)
+
+
 def survey(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, digest, whole_sha256, anchors and the number of windows filed under each, of every document."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_survey(window, anchor), "doc_id bigint, n_words bigint, digest binary, whole_sha256 string, anchors array<bigint>, windows array<int>")
 
 
 def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts): doc_id, spans (removed words as alternating starts and ends) and the texts of the documents that were looked at.
+    """(spans, texts): doc_id, digest, spans (removed words as alternating starts and ends) and the texts that were looked at.
 
-    Only the first document of equal texts is looked at; the others are removed whole.
+    Only the first document of equal texts is looked at; the others are removed whole. A document is an id with one text: an id with several
+    texts is that many documents.
     """
     spark = docs.sparkSession
     reps = seen.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    own = seen.join(reps, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
+    own = seen.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "digest", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", "digest", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
     often = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n")).where("lo <> hi")
     often = often.select("anchor", (F.col("n") > hot_windows).alias("hot")).repartition("hot", "anchor")  # kept apart from `own`, whose hot anchors may be split
-    marks = own.join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    texts = cut(base.join(marks, "doc_id").dropDuplicates(["doc_id"]))
-    parts = cut(texts.mapInArrow(_segments(window, anchor), "anchor bigint, second bigint, doc_id bigint, start bigint, words binary"))
+    marks = own.join(often, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
+    base = _with_digest(docs.where(F.col("text").isNotNull()))
+    texts = cut(base.join(marks, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
+    parts = cut(texts.mapInArrow(_segments(window, anchor), "anchor bigint, second bigint, doc_id bigint, digest binary, start bigint, words binary"))
 
     cold = parts.where(F.col("words").isNotNull()).repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    found = cold.select("anchor", "doc_id", "start", "words").mapInArrow(_shards(window, SHARD_WORDS), "doc_id bigint, start bigint, stop bigint")
-    hot = parts.where(F.col("words").isNull()).select("anchor", "second", "doc_id", "start")
+    found = cold.select("anchor", "doc_id", "digest", "start", "words").mapInArrow(_shards(window, SHARD_WORDS), "doc_id bigint, digest binary, start bigint, stop bigint")
+    hot = parts.where(F.col("words").isNull()).select("anchor", "second", "doc_id", "digest", "start")
     first = hot.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo")).repartition("lo")
-    again = hot.join(first, ["anchor", "second"]).where("lo < doc_id").select("doc_id", "start", (F.col("start") + window).alias("stop"))
-    spans = found.unionByName(again).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    # overlapping and touching ranges become one
-    merged = F.aggregate("s", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)),
-                         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["stop"])))).otherwise(F.concat(acc, F.array(x["start"], x["stop"]))))
-    return cut(spans.select("doc_id", merged.alias("spans"))), texts
+    again = hot.join(first, ["anchor", "second"]).where("lo < doc_id").select("doc_id", "digest", "start", (F.col("start") + window).alias("stop"))
+    spans = found.unionByName(again).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    return cut(spans.select("doc_id", "digest", merged_spans("s.start", "s.stop").alias("spans"))), texts
 
 
 @F.pandas_udf(T.StringType())
@@ -192,10 +208,10 @@ def kept_sha256(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def _copies(seen: DataFrame, window: int) -> DataFrame:
-    """doc_id of documents of at least a window whose whole text a smaller doc_id has."""
+    """doc_id, digest of documents of at least a window whose whole text a smaller doc_id has."""
     known = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).select("doc_id", "digest")
     first = known.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("digest", "lo").repartition("lo")
-    return known.join(first, "digest").where("lo < doc_id").select("doc_id").distinct()
+    return known.join(first, "digest").where("lo < doc_id").select("doc_id", "digest").distinct()
 
 
 def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -203,8 +219,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are maximal runs of anything but space and U+0009 to U+000D. A word is removed if it lies in a window of ``window`` words whose
     words, in order, also start in a document with a smaller doc_id. Null texts have no words. A row without doc_id loses nothing and takes
-    nothing from others. Rows that repeat a doc_id should have one text: with several, each is judged, and removed words follow the first
-    that Spark meets. Windows inside one document do not count against each other.
+    nothing from others. Rows that repeat a doc_id with differing texts are judged each, and take from documents of larger ids each. Windows inside one document do not count against each other.
 
     1. Each text is read once for its anchors: of the hashes of its 26-word runs, the least in each window, about one in 13 words.
     2. Anchors that lie in different texts are kept (hash collisions only add work); only the passages around those go on.
@@ -213,10 +228,10 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     seen = cut(survey(docs, window))
     spans, texts = repeated_spans(docs, seen, window)
-    done = spans.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "spans", kept_sha256("text", "spans").alias("cut_sha256"))
+    done = spans.join(texts.select("doc_id", "digest", "text"), ["doc_id", "digest"]).select("doc_id", "digest", "spans", kept_sha256("text", "spans").alias("cut_sha256"))
     n = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     gone = _copies(seen, window).withColumn("copy", F.lit(True))
-    out = seen.select("doc_id", "n_words", "whole_sha256").join(gone, "doc_id", "left").join(done.select("doc_id", n.alias("n"), "cut_sha256"), "doc_id", "left")
+    out = seen.select("doc_id", "digest", "n_words", "whole_sha256").join(gone, ["doc_id", "digest"], "left").join(done.select("doc_id", "digest", n.alias("n"), "cut_sha256"), ["doc_id", "digest"], "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("n_removed"),
@@ -246,9 +261,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     empty text; untouched documents keep their text as it is."""
     seen = cut(survey(docs, window))
     spans, _ = repeated_spans(docs, seen, window)
-    todo = spans.withColumn("copy", F.lit(False)).unionByName(_copies(seen, window).select("doc_id", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
-    todo = todo.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copy").alias("_copy"), F.first("spans", ignorenulls=True).alias("_spans"))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("_id")).join(todo, "_id", "left")
+    todo = spans.withColumn("copy", F.lit(False)).unionByName(_copies(seen, window).select("doc_id", "digest", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
+    todo = todo.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copy").alias("_copy"), F.first("spans", ignorenulls=True).alias("_spans"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    d = docs.select(whole, F.col("doc_id").cast("bigint").alias("_id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_digest")).join(todo, ["_id", "_digest"], "left")
     old = F.col("doc.text")
     touched = F.col("_copy").isNotNull() & old.isNotNull()
     text = F.when(~touched, old).when(F.col("_copy"), F.lit("")).otherwise(without_words("doc.text", "_spans"))

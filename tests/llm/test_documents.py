@@ -282,6 +282,17 @@ def test_substring_dedup_of_awkward_rows(make_docs):
     assert B.dedup_report(make_docs([])).count() == 0
 
 
+def test_substring_dedup_of_ids_with_several_texts(make_docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    rows = [(1, a), (1, b), (2, "x " + a), (3, "y " + b), (3, a + " z"), (1, a)]
+    for _ in range(2):
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in B.dedup_report(make_docs(rows)).collect())
+        assert got == [(1, 120, 0), (1, 120, 0), (1, 120, 0), (2, 121, 120), (3, 121, 120), (3, 121, 120)]
+        rows = rows[::-1]
+    left = sorted((r.doc_id, r.text) for r in B.remove_repeats(make_docs(rows)).collect())
+    assert left == sorted([(1, a), (1, b), (1, a), (2, "x"), (3, "y"), (3, "z")])
+
+
 def test_repeats_are_cut_from_the_text(make_docs):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = make_docs([(1, f"one {passage} two"), (2, f"three\n{passage}\nfour five"), (3, passage), (4, passage)])
@@ -356,6 +367,14 @@ def test_licences(make_docs):
     assert all(n in SENTENCES for _, names, _ in RULES for n in names)
 
 
+def test_licences_in_a_text_of_very_many_known_sentences(make_docs):
+    mit = [SENTENCES[k] + ". " for k in ("mit_grant", "mit_notice", "as_is_software")]
+    many = "All rights reserved.\n" * 20_000
+    texts = [mit[0] + "\n" + many, mit[0] + "\n" + many + mit[1] + "\n" + many + mit[2], mit[2] + "\n" + many + mit[1] + mit[0]]
+    got = {r.doc_id: r for r in scan(make_docs(list(enumerate(texts)))).collect()}
+    assert [got[i].licenses for i in range(3)] == ["Proprietary", "MIT", "Proprietary"] and got[1].n_known == 40_003
+
+
 def test_wrapped_licences(make_docs):
     """The standard texts as they are published, wrapped under a title, a copyright line or a colon."""
     grant = """Permission is hereby granted, free of charge, to any person obtaining a copy
