@@ -19,6 +19,8 @@ WINDOW, ANCHOR = 50, 26
 #: Words of an index (more only where one anchor needs them); windows of one anchor beyond which they are compared by digest instead.
 #: A window under its anchor is about five words of passages, so one anchor adds 300,000 words at most: an index of some 100 MB.
 SHARD_WORDS, HOT_WINDOWS = 200_000, 60_000
+#: Windows of one frequent anchor that a task compares by digest; more are dealt by their digests.
+HOT_PART = 500_000
 _SECOND = Powers(0xA0761D6478BD642F)
 
 
@@ -65,14 +67,15 @@ def _survey(window: int, anchor: int):
 
 
 def _segments(window: int, anchor: int):
-    """The passages of each text around its repeated anchors: words for an index, or window digests where the anchor is very frequent."""
+    """The passages of each text around its repeated anchors, a row each: words for an index, or where the anchor is very frequent the digests of
+    the passage's windows, by the part that each belongs to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             data, starts, ends, counts, words, at, owner, pos, grams = _filed(texts, window, anchor)
             if not at.size:
                 continue
             repeated = part.column(part.schema.get_field_index("anchors"))
-            hot = part.column(part.schema.get_field_index("hot"))
+            hot = part.column(part.schema.get_field_index("parts"))
             first = np.cumsum(counts) - counts
             keys = grams[pos].view(np.int64)
             new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
@@ -81,20 +84,98 @@ def _segments(window: int, anchor: int):
             rows: list[tuple] = []
             known = [dict(zip(a.as_py(), h.as_py())) for a, h in zip(repeated, hot)]
             for key, a, b, o in zip(keys[new].tolist(), at[new].tolist(), at[stop].tolist(), owner[new].tolist()):
-                is_hot = known[o].get(key)
-                if is_hot is None:
+                parts = known[o].get(key)
+                if parts is None:
                     continue
-                if is_hot:
-                    if digest is None:
-                        digest = hash_grams(words, window), _second(words, window)
-                    rows += [(int(x), int(y), o, a + i - int(first[o]), None) for i, (x, y) in enumerate(zip(digest[0][a:b + 1].view(np.int64), digest[1][a:b + 1].view(np.int64)))]
-                else:
-                    rows.append((key, 0, o, a - int(first[o]), data[starts[a]:ends[b + window - 1]].tobytes()))
+                if not parts:
+                    rows.append((key, 0, o, a - int(first[o]), data[starts[a]:ends[b + window - 1]].tobytes(), None, None, None))
+                    continue
+                if digest is None:
+                    digest = hash_grams(words, window), _second(words, window)
+                x, y = digest[0][a:b + 1], digest[1][a:b + 1]
+                which = (y % np.uint64(parts)).astype(np.int64)
+                for k in np.unique(which).tolist():
+                    own = np.flatnonzero(which == k)
+                    rows.append((key, k, o, a - int(first[o]), None, own.astype(np.int32), x[own].view(np.int64), y[own].view(np.int64)))
             if rows:
                 c = list(zip(*rows))
                 at_row, col = pa.array(c[2], pa.int64()), lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), col("doc_id").take(at_row), col("digest").take(at_row), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())],
-                                                 names=["anchor", "second", "doc_id", "digest", "start", "words"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), col("doc_id").take(at_row), col("digest").take(at_row), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()),
+                    pa.array(c[5], pa.list_(pa.int32())), pa.array(c[6], pa.list_(pa.int64())), pa.array(c[7], pa.list_(pa.int64())),
+                ], names=["anchor", "part", "doc_id", "digest", "start", "words", "offsets", "first", "second"])
+    return run
+
+
+def _known(table: dict, x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+    for k, a, b in zip(zip(x, y), lo, hi):
+        old = table.get(k)
+        table[k] = (a, b) if old is None else (min(a, old[0]), max(b, old[1]))
+
+
+def _window_rows(tables: dict) -> pa.RecordBatch:
+    out = []
+    for (anchor, part), t in tables.items():
+        x, y = zip(*t)
+        lo, hi = zip(*t.values())
+        out.append((anchor, part, x, y, lo, hi))
+    long = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), long, long, long, long])], names=["anchor", "part", "first", "second", "lo", "hi"])
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a task, the least and greatest document of each window digest, before the shuffle."""
+    tables: dict = {}
+    size = 0
+    for b in batches:
+        for anchor, part, doc, x, y in zip(*(b.column(c).to_pylist() for c in ("anchor", "part", "doc_id", "first", "second"))):
+            t = tables.setdefault((anchor, part), {})
+            size -= len(t)
+            _known(t, x, y, [doc] * len(x), [doc] * len(x))
+            size += len(t)
+        if size > 400_000:
+            yield _window_rows(tables)
+            tables, size = {}, 0
+    if tables:
+        yield _window_rows(tables)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by anchor and part: the windows that several documents have, with the least of these."""
+    at, table = None, {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        twice = {k: v for k, v in table.items() if v[0] < v[1]}
+        if twice:
+            yield _window_rows({at: twice}).select(["anchor", "part", "first", "second", "lo"])
+
+    for b in batches:
+        for anchor, part, *window in zip(*(b.column(c).to_pylist() for c in ("anchor", "part", "first", "second", "lo", "hi"))):
+            if (anchor, part) != at:
+                yield from flush()
+                at, table = (anchor, part), {}
+            _known(table, *window)
+    yield from flush()
+
+
+def _marked(window: int):
+    """Rows come ordered by anchor, part and salt, the part's repeated windows before its passages: the words that windows of a smaller document
+    cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, least = None, {}
+        for b in batches:
+            out = []
+            for *key, lo, doc, text, start, offs, x, y in zip(*(b.column(c).to_pylist() for c in ("anchor", "part", "salt", "lo", "doc_id", "digest", "start", "offsets", "first", "second"))):
+                if lo is not None:
+                    at, least = key, dict(zip(zip(x, y), lo))
+                elif key == at:
+                    found = np.array([o for o, k in zip(offs, zip(x, y)) if least.get(k, doc) < doc], np.int64)
+                    if found.size:
+                        cuts = np.flatnonzero(np.diff(found) > 1)
+                        out += [(doc, text, start + int(found[i]), start + int(found[j]) + window) for i, j in zip(np.append(0, cuts + 1), np.append(cuts, found.size - 1))]
+            if out:
+                c = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 1 else pa.int64()) for k, x in enumerate(c)], names=["doc_id", "digest", "start", "stop"])
     return run
 
 
@@ -180,17 +261,25 @@ def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, ancho
     reps = seen.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     own = seen.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "digest", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", "digest", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
     often = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n")).where("lo <> hi")
-    often = often.select("anchor", (F.col("n") > hot_windows).alias("hot")).repartition("hot", "anchor")  # kept apart from `own`, whose hot anchors may be split
-    marks = own.join(often, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
+    dealt = F.when(F.col("n") > hot_windows, F.ceil(F.col("n") / HOT_PART)).otherwise(F.lit(0)).cast("bigint")
+    often = often.select("anchor", dealt.alias("parts")).repartition("parts", "anchor")  # kept apart from `own`, whose hot anchors may be split
+    marks = own.join(often, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("parts").alias("parts"))
     base = _with_digest(docs.where(F.col("text").isNotNull()))
     texts = cut(base.join(marks, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
-    parts = cut(texts.mapInArrow(_segments(window, anchor), "anchor bigint, second bigint, doc_id bigint, digest binary, start bigint, words binary"))
+    parts = cut(texts.mapInArrow(_segments(window, anchor), "anchor bigint, part bigint, doc_id bigint, digest binary, start bigint, words binary, offsets array<int>, first array<bigint>, second array<bigint>"))
 
     cold = parts.where(F.col("words").isNotNull()).repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "start")
     found = cold.select("anchor", "doc_id", "digest", "start", "words").mapInArrow(_shards(window, SHARD_WORDS), "doc_id bigint, digest binary, start bigint, stop bigint")
-    hot = parts.where(F.col("words").isNull()).select("anchor", "second", "doc_id", "digest", "start")
-    first = hot.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo")).repartition("lo")
-    again = hot.join(first, ["anchor", "second"]).where("lo < doc_id").select("doc_id", "digest", "start", (F.col("start") + window).alias("stop"))
+    hot = parts.where(F.col("words").isNull()).drop("words")
+    windows = "anchor bigint, part bigint, first array<bigint>, second array<bigint>, lo array<bigint>"
+    seen_first = hot.select("anchor", "part", "doc_id", "first", "second").mapInArrow(_first_seen, windows + ", hi array<bigint>")
+    twice = seen_first.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeated, windows)
+    # a frequent anchor's passages are dealt to as many salts as it has parts, and so is what they look up
+    salts = often.where("parts > 0")
+    held = twice.join(salts, "anchor").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    seeking = hot.join(salts, "anchor").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    both = held.unionByName(seeking, allowMissingColumns=True).repartition("anchor", "part", "salt").sortWithinPartitions("anchor", "part", "salt", F.col("lo").isNull())
+    again = both.mapInArrow(_marked(window), "doc_id bigint, digest binary, start bigint, stop bigint")
     spans = found.unionByName(again).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
     return cut(spans.select("doc_id", "digest", merged_spans("s.start", "s.stop").alias("spans"))), texts
 
@@ -224,7 +313,8 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     1. Each text is read once for its anchors: of the hashes of its 26-word runs, the least in each window, about one in 13 words.
     2. Anchors that lie in different texts are kept (hash collisions only add work); only the passages around those go on.
     3. Passages are filed under their anchor. Shards of whole anchors build an FM-index of words over their passages and stream each passage
-       through it. An anchor of more than HOT_WINDOWS windows is split by the 128-bit digest of each window instead, summed before the shuffle.
+       through it. The windows of an anchor with more than HOT_WINDOWS are compared by 128-bit digests instead, a row for each passage and part:
+       tasks combine them before the shuffle, and the windows that several documents have go back to the passages.
     """
     seen = cut(survey(docs, window))
     spans, texts = repeated_spans(docs, seen, window)

@@ -270,6 +270,7 @@ def repeats(seed, n):
 def test_substring_dedup_matches_brute_force(make_docs, monkeypatch, hot):
     monkeypatch.setattr(B, "SHARD_WORDS", 500)
     monkeypatch.setattr(B.repeated_spans, "__defaults__", (B.WINDOW, B.ANCHOR, hot))
+    monkeypatch.setattr(B, "HOT_PART", 20)
     rows = repeats(3, 40)
     assert sorted(rows_of(B.dedup_report(make_docs(rows)))) == brute_substrings(rows, 50)
 
