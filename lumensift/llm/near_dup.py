@@ -203,22 +203,21 @@ def cell_links(members: list[tuple], threshold: float, one_block: bool = True) -
 
 
 def _compare(threshold: float):
-    """Rows come ordered by cell."""
+    """Rows come ordered by cell; links are between components."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, nodes = None, [], []
+        cell, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             found = cell_links(held, threshold, cell[1] == cell[2]) if len({h[0] for h in held}) > 1 else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([held[x[k]][0] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for *key, node, comp, own, x, w in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "node", "comp", "own", "shingles", "counts"))):
+            for *key, comp, own, x, w in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "comp", "own", "shingles", "counts"))):
                 if key != cell:
                     if held:
                         yield from flush()
-                    cell, held, nodes = key, [], []
-                nodes.append(node)
+                    cell, held = key, []
                 held.append((comp, own, np.frombuffer(x, np.uint64), np.frombuffer(w, "<u4").astype(float)))
         if held:
             yield from flush()
@@ -233,15 +232,15 @@ def _cells(open_: DataFrame) -> DataFrame:
     fewer pairs is taken: the square of the group's size, or the sum of the squares of its buckets' sizes. Both find the same links.
     """
     bucket = open_.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    edges = open_.join(bucket.select("key", "first"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    edges = open_.join(bucket.select("key", "first").hint("merge"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
     group = cut(components(edges).select("node", F.col("comp").alias("group")))
-    of_bucket = bucket.join(group.withColumnRenamed("node", "first"), "first")
+    of_bucket = bucket.join(group.withColumnRenamed("node", "first").hint("merge"), "first")
     cost = of_bucket.groupBy("group").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
     size = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    plan = cut(size.join(cost, "group").select("group", (F.col("n").cast("double") * F.col("n") <= F.col("apart")).alias("whole")))
-    whole = group.join(plan.where("whole").select("group"), "group").select(F.col("group").alias("cell"), "node")
-    apart = of_bucket.join(plan.where("NOT whole").select("group"), "group").select("key")
-    return whole.unionByName(open_.join(apart, "key").select(F.col("key").cast("string").cast("binary").alias("cell"), "node"))
+    plan = cut(size.join(cost.hint("merge"), "group").select("group", (F.col("n").cast("double") * F.col("n") <= F.col("apart")).alias("whole")))
+    whole = group.join(plan.where("whole").select("group").hint("merge"), "group").select(F.col("group").alias("cell"), "node")
+    apart = of_bucket.join(plan.where("NOT whole").select("group").hint("merge"), "group").select("key")
+    return whole.unionByName(open_.join(apart.hint("merge"), "key").select(F.col("key").cast("string").cast("binary").alias("cell"), "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,26 +277,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = cut(_verified(best, sets, threshold).select("a", "b"))
     comp = components(links)
 
-    placed = met.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = met.join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n").repartition("n", "key")
     open_ = cut(placed.join(mixed, "key").select("key", "node", "comp"))
     cells = cut(_cells(open_.select("key", "node")))
     weight = cells.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     by_count = F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(F.lit(1))
     blocks = weight.select("cell", F.greatest(by_count, F.when(F.col("bytes") > CELL_BYTES, F.ceil(2 * F.col("bytes") / CELL_BYTES)).otherwise(F.lit(1))).cast("int").alias("blocks")).repartition("blocks", "cell")
-    rows = cells.join(blocks, "cell").join(open_.select("node", "comp").distinct(), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = cells.join(blocks.hint("merge"), "cell").join(open_.select("node", "comp").distinct().hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cell", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
     ordered = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    more = ordered.select("cell", "i", "j", "node", "comp", "own", "shingles", "counts").mapInArrow(_compare(threshold), "a binary, b binary")
-    links = links.unionByName(cut(more)).unionByName(_one_id(named))
+    more = ordered.select("cell", "i", "j", "comp", "own", "shingles", "counts").mapInArrow(_compare(threshold), "a binary, b binary")
+    one_id = _one_id(named)
+    for side in "ab":
+        one_id = one_id.join(comp.select(F.col("node").alias(side), F.col("comp").alias("_c")).hint("merge"), side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+    wider = components(cut(more).unionByName(one_id))
+    root = wider.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    comp = comp.join(root.hint("merge"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(wider.join(comp.select("node").hint("merge"), "node", "left_anti"))
 
     # the class is named after the smallest id of its texts
-    comp = components(links).join(reps.withColumnRenamed("digest", "node"), "node")
+    comp = comp.join(reps.withColumnRenamed("digest", "node").hint("merge"), "node")
     least = comp.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    of_text = comp.join(least, "comp").select(F.col("node").alias("digest"), "class_id")
-    of_text = reps.join(of_text, "digest", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
-    out = signed.select("doc_id", "digest").join(of_text, "digest", "left")
+    of_text = comp.join(least.hint("merge"), "comp").select(F.col("node").alias("digest"), "class_id")
+    of_text = reps.join(of_text.hint("merge"), "digest", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
+    out = signed.select("doc_id", "digest").join(of_text.hint("merge"), "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
