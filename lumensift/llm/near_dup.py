@@ -224,23 +224,28 @@ def _compare(threshold: float):
     return run
 
 
-def _cells(open_: DataFrame) -> DataFrame:
+def _cells(open_: DataFrame, rounds: int = 2) -> DataFrame:
     """cell, node: what to compare so that all members of each open bucket (key, node) meet.
 
-    Buckets that share members form a group. The bands of one set of near copies give many large buckets of nearly the same members, and one cell
-    of the whole group replaces them all; where buckets merely touch, the group is larger than they are and each stays a cell. The plan with
-    fewer pairs is taken: the square of the group's size, or the sum of the squares of its buckets' sizes. Both find the same links.
+    The bands of one set of near copies give many large buckets of nearly the same members; one cell of them all replaces these. So nodes take
+    the least label of their buckets' members a few times, and a bucket whose members end with one label belongs to that group; the others,
+    which merely touch, are cells of their own. A group stays in one cell where that makes fewer pairs than its buckets, by the squares of
+    the sizes. Any labels give the same links.
     """
-    bucket = open_.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    edges = open_.join(bucket.select("key", "first").hint("merge"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    group = cut(components(edges).select("node", F.col("comp").alias("group")))
-    of_bucket = bucket.join(group.withColumnRenamed("node", "first").hint("merge"), "first")
-    cost = of_bucket.groupBy("group").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
-    size = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    plan = cut(size.join(cost.hint("merge"), "group").select("group", (F.col("n").cast("double") * F.col("n") <= F.col("apart")).alias("whole")))
-    whole = group.join(plan.where("whole").select("group").hint("merge"), "group").select(F.col("group").alias("cell"), "node")
-    apart = of_bucket.join(plan.where("NOT whole").select("group").hint("merge"), "group").select("key")
-    return whole.unionByName(open_.join(apart.hint("merge"), "key").select(F.col("key").cast("string").cast("binary").alias("cell"), "node"))
+    label = open_.select("node", F.col("node").alias("label")).distinct()
+    for k in range(rounds):
+        here = open_.join(label.hint("merge"), "node") if k else open_.withColumn("label", F.col("node"))
+        least = here.groupBy("key").agg(F.min("label").alias("label"))
+        label = open_.join(least.hint("merge"), "key").groupBy("node").agg(F.min("label").alias("label"))
+    label = cut(label)
+    bucket = open_.join(label.hint("merge"), "node").groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    bucket = bucket.withColumn("one", F.col("label") == F.col("_hi")).withColumn("square", F.col("n").cast("double") * F.col("n"))
+    cost = bucket.where("one").groupBy("label").agg(F.sum("square").alias("apart"))
+    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    whole = cut(size.join(cost.hint("merge"), "label").where(F.col("n").cast("double") * F.col("n") <= F.col("apart")).select("label"))
+    apart = bucket.join(whole.withColumn("_w", F.lit(True)).hint("merge"), "label", "left").where(~F.col("one") | F.col("_w").isNull()).select("key")
+    grouped = label.join(whole.hint("merge"), "label").select(F.col("label").alias("cell"), "node")
+    return grouped.unionByName(open_.join(apart.hint("merge"), "key").select(F.col("key").cast("string").cast("binary").alias("cell"), "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
