@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lumensift.operators.ordering import with_global_row_number
+
 #: Time chunk of the hot plan, in days (about a thousand 20-second cadences).
 CHUNK_D = 0.25
 
@@ -133,3 +135,30 @@ def with_running_median(df: DataFrame, keys: Sequence[str], order: Sequence[str]
         lambda b: b.isNotNull() & (b >= 0))
     d = d.withColumn("_block", F.explode(copies)).withColumn(out, framed([*keys, "_block"]))
     return d.where(F.col("_block") == F.col("_home")).drop("_mv", "_ri", "_home", "_block")
+
+
+def with_adaptive_median(df: DataFrame, x: str, y: str, tie: str, low: tuple[float, int], high: tuple[float, int], out: str = "smooth",
+                         limit: int | None = None, block: int = 4096) -> DataFrame:
+    """Running median of ``y`` over all rows in the order of (``x``, ``tie``), with a frame that changes along ``x``.
+
+    The frame's size is interpolated between two (x, size) points and held beyond them; it reaches half of it, at least one row,
+    to both sides and is cut at the ends. Rows without finite ``x`` or ``y`` are left out. Positions come from a distributed
+    global order; blocks of positions take along the rows of the widest frame at their edges, so no task holds the whole order.
+    """
+    (x0, n0), (x1, n1) = low, high
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    v = F.col(x).cast("double")
+    size = F.when(v <= x0, float(n0)).when(v >= x1, float(n1)).otherwise(n0 + (v - x0) * ((n1 - n0) / (x1 - x0)))
+    half = F.greatest(F.floor(F.greatest(F.rint(size), F.lit(1.0)) / 2), F.lit(1)).cast("int")
+    widest = max(1, max(round(n0), round(n1)) // 2)
+    block = max(block, 2 * widest)
+    d = with_global_row_number(df.where(finite(x) & finite(y)), [F.col(x), F.col(tie)], "_p", limit).withColumns({"_half": half, "_home": F.floor((F.col("_p") - 1) / block)})
+    inside = (F.col("_p") - 1) - F.col("_home") * block
+    copies = F.filter(F.array(F.col("_home"), F.when(inside < widest, F.col("_home") - 1), F.when(inside >= block - widest, F.col("_home") + 1)),
+                      lambda b: b.isNotNull() & (b >= 0))
+    d = d.withColumn("_block", F.explode(copies))
+    order = W.partitionBy("_block").orderBy("_p")
+    d = d.withColumns({"_all": F.collect_list(F.col(y).cast("double")).over(order.rowsBetween(-widest, widest)), "_at": F.least(F.row_number().over(order), F.lit(widest + 1))})
+    first = F.greatest(F.col("_at") - F.col("_half"), F.lit(1))
+    frame = F.slice("_all", first, F.col("_at") + F.col("_half") - first + 1)
+    return d.where(F.col("_block") == F.col("_home")).withColumn(out, _median_of(F.array_sort(frame))).drop("_p", "_half", "_home", "_block", "_all", "_at")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
+from lumensift.operators import ordered
 from lumensift.operators.skew import with_row
 
 
@@ -74,10 +75,31 @@ def event_view(joined: DataFrame, n: int = 32, window_durations: float = 4.0, ma
     return dense(event_bins(joined, n, window_durations, max_events, min_points), ["review_id", "aperture", "slot"], n)
 
 
+def ragged_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], size: int = 4096,
+                  hot: bool = False, chunk_d: float = ordered.CHUNK_D) -> DataFrame:
+    """All values of each key in order, as rows (key, chunk, start, n_real, mask, one array of ``size`` floats per value).
+
+    Only the last chunk of a key is padded (0, mask 0); a missing value is 0 with its mask in ``mask_<value>`` 0. A long curve is many
+    rows, never one array, and other curves do not grow with it. ``hot`` numbers the rows of a curve in chunks of time.
+    """
+    d = ordered.with_row_index(df, keys, order, "_i", hot, chunk_d)
+    d = d.withColumns({"chunk": F.floor(F.col("_i") / size), "_slot": (F.col("_i") % size).cast("int")})
+    g = d.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("_slot", *[F.col(v).cast("float").alias(v) for v in values]))).alias("_a"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+    fill = zeros((F.lit(size) - F.size("_a")).cast("int"))
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    filled = lambda v: lambda s: F.when(known(s[v]), s[v]).otherwise(F.lit(0.0).cast("float"))
+    masked = lambda v: lambda s: known(s[v]).cast("float")
+    cols = [F.concat(F.transform("_a", filled(v)), fill).alias(v) for v in values]
+    masks = [F.concat(F.transform("_a", masked(v)), fill).alias(f"mask_{v}") for v in values]
+    return g.select(*keys, "chunk", (F.col("chunk") * size).alias("start"), F.size("_a").alias("n_real"),
+                    F.concat(F.array_repeat(F.lit(1.0).cast("float"), F.size("_a")), fill).alias("mask"), *cols, *masks)
+
+
 def padded(df: DataFrame, keys: Sequence[str], order: Column, value: Column) -> DataFrame:
     """All values of each key in order, zero-padded to the longest key's length, with a mask; no sample is dropped.
 
-    One array row holds one model input, so a key's length is bounded by what a model takes; longer curves are thinned before.
+    For batches of bounded curves only: one array row holds one model input. Whole tables go through ``ragged_chunks``.
     """
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.struct(value.cast("float").alias("v")).alias("_v")))).alias("s"))
     g = g.withColumn("a", F.transform("s", lambda s: s["_v"]["v"])).drop("s")
@@ -88,6 +110,54 @@ def padded(df: DataFrame, keys: Sequence[str], order: Column, value: Column) ->
     return g.select(*keys, F.concat("a", pad).alias("value"), mask.alias("mask"))
 
 
+def ragged_lengths(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Real length and number of chunks of each key, beside the longest length (what a batch pads to)."""
+    g = chunks.groupBy(*keys).agg(F.sum("n_real").cast("bigint").alias("n_real"), F.count(F.lit(1)).alias("n_chunks"))
+    return with_row(g, g.agg(F.max("n_real").alias("longest")))
+
+
+def ragged_contract(chunks: DataFrame, keys: Sequence[str], values: Sequence[str], size: int) -> DataFrame:
+    """Faults of a ragged table, one row: wrong array lengths, gaps in the chunk numbers, padding before the last chunk, masks that miscount."""
+    each = [*values, "mask", *[f"mask_{v}" for v in values]]
+    wrong = F.lit(False)
+    for c in each:
+        wrong = wrong | (F.size(c) != size)
+    bad_mask = F.aggregate("mask", F.lit(0.0), lambda s, x: s + x) != F.col("n_real")
+    rows = chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(wrong).alias("n_wrong_length"), F.count_if(bad_mask).alias("n_wrong_mask"))
+    per = chunks.groupBy(*keys).agg(F.max("chunk").alias("_hi"), F.min("chunk").alias("_lo"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col("n_real") < size).alias("_short"),
+                                    F.max_by("n_real", "chunk").alias("_tail"))
+    gaps = (F.col("_lo") != 0) | (F.col("_hi") != F.col("_n") - 1)
+    early = F.col("_short") > (F.col("_tail") < size).cast("int")
+    faults = per.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(gaps).alias("n_with_gaps"), F.count_if(early).alias("n_padded_early"))
+    out = rows.transform(with_row, faults)
+    bad = ["n_wrong_length", "n_wrong_mask", "n_with_gaps", "n_padded_early"]
+    return out.withColumn("passed", (F.col("n_keys") > 0) & (sum(F.col(b) for b in bad) == 0))
+
+
+def thinned_fold(joined: DataFrame, n_points: int, window_durations: float, apertures: Sequence[str] = ("SML", "PRI"), hot: bool = False) -> DataFrame:
+    """Unbinned folds: points in the order of phase, evenly thinned by rank to ``n_points``, with both apertures and their difference.
+
+    One row per kept point: ``slot`` (0-based), ``n_all`` (points before thinning), ``x`` as a fraction of the window, and
+    ``value_<aperture>`` relative to the level outside 1.5 durations (all points where none lie there), NULL where the flux is missing.
+    """
+    d = joined.withColumn("v", F.explode(E.derived_ephemerides("period_d", "t0_bjd")))
+    key = ["review_id", "view"]
+    d = d.groupBy("review_id", F.col("v.view").alias("view"), "time", "cadenceno").agg(
+        F.first("v.period_d").alias("_p"), F.first("v.t0_bjd").alias("_t"), F.first("duration_min").alias("_d"),
+        *[F.max(F.when((F.col("aperture") == a) & ~F.isnan(F.col("flux").cast("double")), F.col("flux"))).alias(f"_f{i}") for i, a in enumerate(apertures)])
+    d = d.withColumn("_x", E.phase_minutes("time", "_p", "_t") / F.nullif("_d", F.lit(0.0))).where(F.abs("_x") <= window_durations)
+    level = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), *[F.coalesce(F.median(F.when(F.abs("_x") > 1.5, F.col(f"_f{i}"))), F.median(f"_f{i}")).alias(f"_b{i}") for i in range(len(apertures))])
+    d = ordered.with_row_index(d, key, ["_x", "time", "cadenceno"], "_r", hot, window_durations / 64).join(level, key)
+    step = (F.col("n_all") - 1) / F.lit(float(n_points - 1))
+    near = F.rint(F.col("_r") / step).cast("bigint")
+    hits = lambda k: (k >= 0) & (k < n_points) & (F.when(k == n_points - 1, F.col("n_all") - 1).otherwise(F.rint(k * step).cast("bigint")) == F.col("_r"))
+    slot = F.filter(F.array(near - 1, near, near + 1), hits)
+    d = d.withColumn("slot", F.when(F.col("n_all") <= n_points, F.col("_r")).otherwise(F.try_element_at(slot, F.lit(1)))).where("slot IS NOT NULL")
+    vals = [(F.col(f"_f{i}") / F.nullif(f"_b{i}", F.lit(0.0)) - 1).alias(f"value_{a.lower()}") for i, a in enumerate(apertures)]
+    out = d.select(*key, "slot", "n_all", (F.col("_x") / window_durations).alias("x"), *vals)
+    return out if len(apertures) < 2 else out.withColumn("value_difference", F.col(f"value_{apertures[1].lower()}") - F.col(f"value_{apertures[0].lower()}"))
+
+
 def harmonic_windows(joined: DataFrame, factors: Sequence[float], cadence_min: float = 3.34) -> DataFrame:
     """Rows inside the local primary and secondary windows of each harmonic fold."""
     d = joined.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))

@@ -147,10 +147,51 @@ def event_view_bins(spark, d):
 , k AS (SELECT *, row_number() OVER (PARTITION BY tic, aperture ORDER BY time, cadenceno) AS rn FROM cadences WHERE quality = 0)
 SELECT tic, aperture, CAST((SELECT max(rn) FROM k) AS INTEGER) AS n_value, CAST(count(*) AS DOUBLE) AS n_real, round(sum(CAST(flux AS FLOAT)::DOUBLE), 5) AS flux_sum FROM k GROUP BY ALL""")
 def padded_curves(spark, d):
-    c = B.cadences(spark, d).where("quality = 0")
-    p = V.padded(c, CURVE, F.struct("time", "cadenceno"), F.col("flux"))
+    c, hot = curves(spark, d)
+    p = V.ragged_chunks(c.where("quality = 0"), CURVE, ["time", "cadenceno"], ["flux"], CHUNK, hot)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return p.select("tic", "aperture", F.size("value").alias("n_value"), total("mask").alias("n_real"), r(total("value"), 5).alias("flux_sum"))
+    sums = p.groupBy("tic", "aperture").agg(F.sum(total("mask")).alias("n_real"), F.sum(total("flux")).alias("flux_sum"))
+    n = V.ragged_lengths(p, CURVE).select("tic", "aperture", F.col("longest").cast("int").alias("n_value"))
+    return n.join(sums, CURVE).select("tic", "aperture", "n_value", "n_real", r("flux_sum", 5).alias("flux_sum"))
+
+
+#: Values of one chunk in the registered queries; a curve of the small tables spans several.
+CHUNK = 16
+
+
+@query("ragged_chunks", CADENCES, sql=f"""
+, k AS (SELECT *, row_number() OVER (PARTITION BY tic, aperture ORDER BY time, cadenceno) - 1 AS rn FROM cadences WHERE quality = 0)
+SELECT tic, aperture, rn // {CHUNK} AS chunk, rn // {CHUNK} * {CHUNK} AS start, CAST(count(*) AS INTEGER) AS n_real, {CHUNK} AS n_flux, round(sum(CAST(flux AS FLOAT)::DOUBLE * (rn % {CHUNK} + 1)), 4) AS weighted FROM k GROUP BY ALL""")
+def ragged_chunks(spark, d):
+    """Each curve as chunks of fixed length; the weighted sum depends on every value's place."""
+    c, hot = curves(spark, d)
+    p = V.ragged_chunks(c.where("quality = 0"), CURVE, ["time", "cadenceno"], ["flux"], CHUNK, hot)
+    placed = F.aggregate(F.transform("flux", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return p.select("tic", "aperture", "chunk", "start", "n_real", F.size("flux").alias("n_flux"), r(placed, 4).alias("weighted"))
+
+
+@query("ragged_contract", CADENCES, sql=f"""
+, k AS (SELECT tic, aperture, count(*) AS n FROM cadences WHERE quality = 0 GROUP BY ALL)
+SELECT CAST(sum(ceil(n / {CHUNK})) AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_wrong_length, CAST(0 AS BIGINT) AS n_wrong_mask, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_with_gaps, CAST(0 AS BIGINT) AS n_padded_early, true AS passed FROM k""")
+def ragged_contract(spark, d):
+    c, hot = curves(spark, d)
+    return V.ragged_contract(V.ragged_chunks(c.where("quality = 0"), CURVE, ["time", "cadenceno"], ["flux"], CHUNK, hot), CURVE, ["flux"], CHUNK)
+
+
+POINTS = 6
+
+
+@query("thinned_folds", CADENCES, QUEUE, CANDS, sql=f"""
+, v AS (SELECT jc.*, vw AS view, period_d * f AS p, t0_bjd + CASE WHEN vw = 'secondary' THEN period_d / 2 ELSE 0 END AS t FROM jc, (VALUES ('model', 1.0::DOUBLE), ('search', 1.0::DOUBLE), ('half', 0.5::DOUBLE), ('double', 2.0::DOUBLE), ('secondary', 1.0::DOUBLE)) x(vw, f)),
+x AS (SELECT *, {PH('time', 'p', 't')} * 1440 / duration_min AS x FROM v),
+w AS (SELECT review_id, view, time, cadenceno, any_value(x) AS x, max(flux) FILTER (aperture = 'SML') AS fs, max(flux) FILTER (aperture = 'PRI') AS fp FROM x WHERE abs(x) <= 4 GROUP BY review_id, view, time, cadenceno),
+b AS (SELECT review_id, view, count(*) AS n_all, coalesce(median(fs) FILTER (abs(x) > 1.5), median(fs)) AS bs, coalesce(median(fp) FILTER (abs(x) > 1.5), median(fp)) AS bp FROM w GROUP BY ALL),
+n AS (SELECT w.*, n_all, bs, bp, row_number() OVER (PARTITION BY w.review_id, w.view ORDER BY x, time, cadenceno) - 1 AS rk FROM w JOIN b ON b.review_id = w.review_id AND b.view = w.view),
+k AS (SELECT *, CASE WHEN n_all <= {POINTS} THEN rk ELSE list_filter(range(0, {POINTS}), lambda k: CASE WHEN k = {POINTS - 1} THEN n_all - 1 ELSE CAST(round_even(k * ((n_all - 1) / {POINTS - 1}.0::DOUBLE), 0) AS BIGINT) END = rk)[1] END AS slot FROM n)
+SELECT review_id, view, slot, n_all, round(x / 4.0::DOUBLE, 6) AS x, round(fs / bs - 1, 7) AS value_sml, round(fp / bp - 1, 7) AS value_pri, round((fp / bp - 1) - (fs / bs - 1), 7) AS value_difference FROM k WHERE slot IS NOT NULL""")
+def thinned_folds(spark, d):
+    f = V.thinned_fold(joined(spark, d), POINTS, 4.0)
+    return f.select("review_id", "view", "slot", "n_all", r("x").alias("x"), *[r(c, 7).alias(c) for c in ("value_sml", "value_pri", "value_difference")])
 
 
 @query("harmonic_window_rows", CADENCES, QUEUE, CANDS, sql=f"""

@@ -241,3 +241,14 @@ def stream_arrivals(spark, d):
     ev = B.table(spark, d, "events").select(F.col("user_id").alias("tic")).distinct().select(u, (u % 5).alias("sector"), (u % 3).alias("orbit"))
     extra = ev.select("sector", "orbit").distinct().select(F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("tic"), "sector", "orbit")
     return T.against_expected(_drain(T.arrival_stream(a), "complete"), ev.unionByName(extra))
+
+
+@query("adaptive_running_median", PEAKS, sql="""
+, w AS (SELECT tic, peak_rank, uid_a, uid_b, tmag, depth_snr, CASE WHEN tmag <= 17.0 THEN 21.0::DOUBLE WHEN tmag >= 20.0 THEN 5.0::DOUBLE ELSE 21 + (tmag - 17.0::DOUBLE) * (-16 / 3.0::DOUBLE) END AS s, row_number() OVER (ORDER BY tmag, tic, peak_rank, uid_a, uid_b, depth_snr) AS rn FROM peaks),
+h AS (SELECT *, greatest(CAST(floor(greatest(round_even(s, 0), 1) / 2) AS BIGINT), 1) AS half FROM w)
+SELECT tic, peak_rank, uid_a, uid_b, round(median(depth_snr) OVER (ORDER BY rn ROWS BETWEEN half PRECEDING AND half FOLLOWING), 7) AS smooth FROM h""")
+def adaptive_running_median(spark, d):
+    """Median of neighbours in magnitude over all peaks at once; bright stars have the wider frame."""
+    key = ["tic", "peak_rank", "uid_a", "uid_b"]
+    p = B.peaks(spark, d).select(*key, F.col("tmag").cast("double").alias("tmag"), "depth_snr", F.struct(*key, "depth_snr").alias("tie"))
+    return ordered.with_adaptive_median(p, "tmag", "depth_snr", "tie", (17.0, 21), (20.0, 5)).select(*key, r("smooth", 7).alias("smooth"))
