@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from functools import reduce
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -102,6 +104,81 @@ def write_versioned(df: DataFrame, path: str, version: str, columns: Sequence[st
         strict_json(m, f"{path}/manifest")
 
 
+class InputChanged(RuntimeError):
+    """An input was altered while a table was made from it."""
+
+
+def input_fingerprint(df: DataFrame) -> DataFrame:
+    """One row that tells two states of an input apart: rows, files, and sums of row hashes that need no order and merge in each task.
+
+    Doubled rows count; column order doesn't. Files are identified by path, size and time where the input is made of files.
+    """
+    cols = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in sorted(df.columns)]
+    big = lambda c: c.cast("decimal(20,0)")
+    f = F.col("_metadata")
+    d = df.select(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7), *cols).alias("b"), F.struct(f["file_path"].alias("p"), f["file_size"].alias("s"), f["file_modification_time"].alias("t")).alias("file"))
+    per = d.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(big(F.col("a"))).alias("a"), F.sum(big(F.col("b"))).alias("b"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.sum("a").cast("string").alias("sum_a"), F.sum("b").cast("string").alias("sum_b"),
+                   F.sum(big(F.xxhash64(F.to_json("file")))).cast("string").alias("files"))
+
+
+def _read_fingerprints(spark: SparkSession, inputs: dict[str, str]) -> dict[str, dict]:
+    # listed anew each time: a cached listing would hide files that came or went
+    out = {}
+    for name, path in inputs.items():
+        spark.catalog.refreshByPath(path)
+        out[name] = input_fingerprint(spark.read.parquet(path)).first().asDict()
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def publish(spark: SparkSession, build: Callable[[dict[str, DataFrame]], DataFrame], inputs: dict[str, str], path: str, version: str, columns: Sequence[str]) -> dict:
+    """Make a table from Parquet inputs and publish it with its manifest, or publish nothing.
+
+    Table and manifest are written to a staging folder beside ``path``; inputs are fingerprinted before and after, and a change is refused
+    (``InputChanged``). One rename of the folder is the commit, so a reader sees all of a version or none, and a job that was lost leaves only a
+    staging folder. Existing versions and outputs inside an input (or around one) are refused.
+    """
+    clean = lambda p: p.rstrip("/") + "/"
+    if any(clean(path).startswith(clean(i)) or clean(i).startswith(clean(path)) for i in inputs.values()):
+        raise ValueError("output path collides with an input")
+    fs, final = _file_system(spark, f"{path.rstrip('/')}/{version}")
+    if fs.exists(final):
+        raise FileExistsError(f"{path} has a version {version}")
+    before = _read_fingerprints(spark, inputs)
+    stage = f"{path.rstrip('/')}/_staging-{version}-{os.urandom(4).hex()}"
+    _, staged = _file_system(spark, stage)
+    try:
+        build({k: spark.read.parquet(p) for k, p in inputs.items()}).write.parquet(f"{stage}/data")
+        h = content_hash(spark.read.parquet(f"{stage}/data"), columns).first()
+        changed = sorted(k for k, v in _read_fingerprints(spark, inputs).items() if v != before[k])
+        if changed:
+            raise InputChanged(f"inputs changed during the run: {changed}")
+        manifest = {"version": version, "n_distinct_rows": h.n_rows or 0, "content_sha256": h.content_sha256, "columns": sorted(columns), "inputs": before, "written_utc": datetime.now(timezone.utc).isoformat()}
+        spark.range(1).select(F.lit(json.dumps(manifest, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{stage}/manifest")
+        if fs.exists(final) or not fs.rename(staged, final):
+            raise FileExistsError(f"{path} has a version {version}")
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    return manifest
+
+
+def read_published(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """A published version, once its content agrees with its manifest."""
+    root = f"{path.rstrip('/')}/{version}"
+    manifest = json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest").collect()))
+    df = spark.read.parquet(f"{root}/data")
+    h = content_hash(df, manifest["columns"]).first()
+    if ((h.n_rows or 0), h.content_sha256) != (manifest["n_distinct_rows"], manifest["content_sha256"]):
+        raise ValueError(f"{root} differs from its manifest")
+    return df
+
+
 def write_shards(df: DataFrame, path: str, n_shards: int, key: str) -> None:
     balanced_shards(df, n_shards, key).write.mode("errorifexists").partitionBy("shard").parquet(path)
 
