@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumensift.llm.common import cut
 from lumensift.operators.skew import with_row
 
 #: Public suffixes of two labels (fixed values; extend by parameter).
@@ -43,14 +44,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.when(F.instr(bare, "/") > 0, F.substring(bare, F.instr(bare, "/"), F.length(bare))), F.lit(""))
 
 
-def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(two_labels)), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
 
 
-def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    """The suffix and one label more."""
-    return F.when(F.substring_index(host, ".", -2).isin(list(two_labels)), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` with suffix and registered domain (the suffix and one label more) of each host's name.
+
+    A name ends in a suffix of two labels if ``suffixes`` (column suffix) or, without that table, ``TWO_LABEL_SUFFIXES`` has it, else in
+    its last label. An address in digits or brackets is its own suffix and domain.
+    """
+    name = name_of(F.col("host"))
+    two = F.substring_index(name, ".", -2)
+    d = hosts.withColumn("_two", two)
+    if suffixes is None:
+        d = d.withColumn("_long", F.col("_two").isin(list(TWO_LABEL_SUFFIXES)))
+    else:
+        d = d.join(suffixes.select(F.lower("suffix").alias("_two"), F.lit(True).alias("_long")).distinct(), "_two", "left").withColumn("_long", F.coalesce("_long", F.lit(False)))
+    address = name.rlike(r"^[0-9.]*[0-9]$|^\[")
+    pick = lambda n: F.when(address, name).when(F.col("_long"), F.substring_index(name, ".", -n - 1)).otherwise(F.substring_index(name, ".", -n))
+    return d.withColumns({"suffix": pick(1), "domain": pick(2)}).drop("_two", "_long")
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -71,7 +85,7 @@ def _shrunk(child: DataFrame, parent: DataFrame, key: str, level: str, floor: fl
     The prior's strength is one number for the level, by moments: with p = k/n and the parent's mean m,
     E[n (p - m)^2] = m (1 - m) (1 + (n - 1) rho); strength = (1 - rho) / rho.
     """
-    j = child.join(parent, key)
+    j = cut(child.join(parent, key))  # its moments and its posteriors read it
     m, n = F.col("prior"), F.col("n")
     have = F.when(n > 0, 1.0).otherwise(0.0)
     dev = F.when(n > 0, n * F.pow(F.col("k") / n - m, F.lit(2.0))).otherwise(0.0)
@@ -82,13 +96,13 @@ def _shrunk(child: DataFrame, parent: DataFrame, key: str, level: str, floor: fl
     return j.withColumn("a", F.col("k") + F.col("strength") * m).withColumn("b", n - F.col("k") + F.col("strength") * (1 - m)).withColumn("level", F.lit(level))
 
 
-def host_reputation(hosts: DataFrame, floor: float = 0.001, ceiling: float = 0.5) -> DataFrame:
+def host_reputation(hosts: DataFrame, floor: float = 0.001, ceiling: float = 0.5, suffixes: DataFrame | None = None) -> DataFrame:
     """host, n, k, a, b: the beta posterior of a bad page for every host in ``hosts`` (host, n labelled, k bad; one row a host).
 
     Means run from the whole table to suffix, registered domain and host; a level without labels has its parent's mean. All work is on
-    one row per host or less.
+    one row per host or less, written once for all levels.
     """
-    h = hosts.select("host", F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k"), suffix_of(F.col("host")).alias("suffix"), domain_of(F.col("host")).alias("domain"))
+    h = cut(with_levels(hosts.select("host", F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k")), suffixes))
     total = h.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2.0)).alias("prior"))  # one row
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
     suffixes = h.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
@@ -98,7 +112,7 @@ def host_reputation(hosts: DataFrame, floor: float = 0.001, ceiling: float = 0.5
     return _shrunk(h.select("host", "domain", "n", "k"), d, "domain", "host", floor, ceiling).select("host", "n", "k", "a", "b")
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), max_bad: float = 0.25, z: float = 1.6448536269514722) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), max_bad: float = 0.25, z: float = 1.6448536269514722, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, url, host, path, rule, verdict for every page.
 
     ``outcomes`` (host, bad 0/1) are labelled pages. A rule decides first. Otherwise a page is blocked when the lower posterior bound of its
@@ -110,7 +124,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (
     counts = p.select("host", F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(
         outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).select("host", F.lit(1).alias("n"), F.col("bad").cast("int").alias("k")))
     hosts = counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    rep = host_reputation(hosts)
+    rep = host_reputation(hosts, suffixes=suffixes)
     a, b = F.col("a"), F.col("b")
     bound = a / (a + b) - F.lit(z) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     rep = rep.select(F.col("host").alias("_host"), F.when(bound > max_bad, "block").otherwise("allow").alias("_method"))

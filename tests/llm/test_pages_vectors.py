@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumensift.llm import html_extract as H, topk as T
-from lumensift.llm.url_filter import Rule, filter_urls, host_reputation
+from lumensift.llm.url_filter import Rule, filter_urls, host_reputation, with_levels
 from lumensift.session import ship_package
 
 DATA = "/root/testdata/sf0.001"
@@ -92,6 +92,17 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_levels_of_ports_addresses_and_suffix_tables(spark):
+    hosts = ["a.b.com:8080", "a.b.co.uk", "10.0.0.1", "10.0.0.1:81", "[::1]:8080", "com", "", "x.y.gov.zz", "1.example.net"]
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.suffix, r.domain) for r in with_levels(d).collect()}
+    assert got == {"a.b.com:8080": ("com", "b.com"), "a.b.co.uk": ("co.uk", "b.co.uk"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:81": ("10.0.0.1",) * 2, "[::1]:8080": ("[::1]",) * 2,
+                   "com": ("com", "com"), "": ("", ""), "x.y.gov.zz": ("zz", "gov.zz"), "1.example.net": ("net", "example.net")}
+    table = spark.createDataFrame([("GOV.zz",), ("gov.zz",), (None,)], "suffix string")
+    own = {r.host: (r.suffix, r.domain) for r in with_levels(d, table).collect()}
+    assert own["x.y.gov.zz"] == ("gov.zz", "y.gov.zz") and own["a.b.co.uk"] == ("uk", "co.uk") and len(own) == len(hosts)
+
+
 # --- html ------------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("html, text", [
