@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lumensift.llm.common import bytes_table, chunks, hash_grams, mix64, split_words
+from lumensift.llm.common import bytes_table, chunks, cut, hash_grams, mix64, split_words
 
 _ALNUM = bytes_table("alnum")
 #: Words of benchmark items that one broadcast set may hold; larger benchmarks are scanned in several sets of items.
@@ -125,7 +125,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "t
 
     Words are maximal runs of digits, ASCII letters (lower-cased) and non-ASCII characters. The set is broadcast; its size is checked: items
     are dealt by id into sets of about ``set_words`` words, one set is in memory at a time, and each set is one narrow pass over the
-    documents that adds to the earlier passes' spans. Nothing is shuffled. A single item is never split over sets.
+    documents that adds to the earlier passes' spans; between two passes the documents are written. Nothing is shuffled. A single item is never split over sets.
     Null and empty texts and items have no words. Repeated items count once per id; a null item id is written as an empty string.
     """
     sc = docs.sparkSession.sparkContext
@@ -135,6 +135,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "t
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     for k in range(n_sets):
+        d = cut(d) if k else d  # maps in one stage would hold their sets at once
         own = b if n_sets == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(n_sets)) == k)
         known = build_windows([(r.item, r.text.encode()) for r in own.toLocalIterator()], n)
         d = d.mapInArrow(_scan(sc.broadcast(known), k > 0), f"{fields}, _n_words bigint, _spans array<bigint>, _items array<string>")
