@@ -21,7 +21,7 @@ CAPACITY, END_ID = 4096, 1
 ISLAND_PIECES, GENERATIONS, COLONY, MIGRATE_EVERY = 2000, 6, 3, 2
 #: Rounds in which the documents of poorly filled sequences move on to other islands; sequences filled at least so far stay.
 EPOCHS, SETTLED = 3, 0.998
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a task remembers.
 WORD_CACHE = 600_000
 
 _LETTER = "a-zªµºß-öø-ÿ"
@@ -77,6 +77,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("doc_id")).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.clear()  # a worker outlives its tasks; later jobs need the memory
     return run
 
 
