@@ -80,6 +80,14 @@ def test_url_parts_and_rules(spark):
         7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("h", "", None, "allow"), 10: ("h", "", None, "allow"), 11: ("y:", "//z/p", None, "allow")}
 
 
+def test_rules_of_the_query_are_the_contract(spark):
+    from lumensift.llm.queries import URL_RULES
+    assert [(r.verdict, r.text) for r in URL_RULES] == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    pages = spark.createDataFrame([(1, "http://net/de/"), (2, "http://a.net/de/8"), (3, "http://example.net/de/8")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, spark.createDataFrame([], "host string, bad int"), URL_RULES).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block")}
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     hosts = [("bad1.spam.com", 50, 48), ("bad2.spam.com", 60, 58), ("new.spam.com", 0, 0), ("good.fine.com", 80, 2), ("new.fine.com", 0, 0), ("one.else.org", 1, 1)]
     got = {r.host: r.a / (r.a + r.b) for r in host_reputation(spark.createDataFrame(hosts, "host string, n long, k long")).collect()}
