@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 import tempfile
 
@@ -37,28 +36,21 @@ def with_global_row_number(df: DataFrame, order: Sequence[Column], out: str = "r
                            n_splits: int = 256) -> DataFrame:
     """1-based position in ascending ``order`` (negate numbers for descending; end with a unique key).
 
-    Small tables use one window. Larger ones are cut at sampled order tuples into ranges; positions come from a
-    window inside each range plus the number of rows in earlier ranges. Any cut points give exact positions.
+    Small tables use one window. Larger ones are dealt over ranges of the order and written once; a row's position is its place in its
+    sorted range plus the number of rows in earlier ranges. Any cut points give exact positions.
     """
     limit = min(hot_rows(df.sparkSession), ONE_WINDOW_ROWS) if limit is None else limit
-    if df.limit(limit + 1).count() <= limit:
+    n = df.count()
+    if n <= limit:
         return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("bigint"))
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    d = df.withColumn("_k", key)
-    n = d.count()
-    every = max(1, n // (n_splits * 40))
-    picked = d.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k").distinct()  # about 40 a range, of whole keys
-    sample = sorted(tuple(r[0]) for r in picked.collect())
-    cuts = sorted({sample[i * len(sample) // n_splits] for i in range(1, n_splits)}) if sample else []
-    fields = d.schema["_k"].dataType.fields
-    lit = lambda t: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, fields)])
-    part = F.size(F.filter(F.array(*[lit(c) for c in cuts]), lambda s: s <= F.col("_k"))) if cuts else F.lit(0)
-    d = d.withColumn("_part", part)
+    ranges = df.repartitionByRange(min(n_splits, -(-4 * n // max(limit, 1))), *order).sortWithinPartitions(*order)
+    d = cut_lineage(ranges.withColumn("_id", F.monotonically_increasing_id()))  # range in the upper bits, place in the lower 33
+    d = d.withColumn("_part", F.shiftright("_id", 33))
     sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offs = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # one row per range
-    d = d.join(F.broadcast(offs), "_part")
-    return d.withColumn(out, F.col("_off") + F.row_number().over(W.partitionBy("_part").orderBy("_k"))).drop("_k", "_part", "_off")
+    d = d.join(F.broadcast(offs), "_part", "left")
+    return d.withColumn(out, F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_off")
 
 
 def rank_bins(df: DataFrame, order: Sequence[Column], n_bins: int, out: str, limit: int | None = None) -> DataFrame:

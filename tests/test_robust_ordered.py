@@ -78,6 +78,12 @@ def test_global_rank_of_large_tables_equals_window(spark):
     assert sorted(r["count"] for r in b) == [1250] * 4
 
 
+def test_global_order_cuts_at_nested_and_missing_keys(spark):
+    d = spark.range(5000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 7919 % 97 / 4.0).alias("x"), F.struct(F.when(F.col("id") % 3 != 0, F.col("id") % 11).alias("a"), F.struct(F.col("id").alias("b")).alias("c")).alias("tie"))
+    o = [F.col("x"), F.col("tie")]
+    same(ordering.with_global_row_number(d, o, "n"), ordering.with_global_row_number(d, o, "n", limit=100, n_splits=60), "n")
+
+
 def test_hot_plans_keep_rows_without_time_or_key(spark):
     rows = [(1, None, 1, 1.0), (1, float("nan"), 2, 2.0), (None, 0.3, 3, 3.0), (None, None, 4, None)] + [(1, i * 0.2, 10 + i, float(i)) for i in range(12)]
     d = spark.createDataFrame(rows, "k int, time double, i int, v double")
