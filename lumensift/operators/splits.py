@@ -223,9 +223,11 @@ def balanced_shards(df: DataFrame, n_shards: int, key: str, seed: int | None = N
     return with_global_row_number(df, order, "_p").withColumn("shard", F.floor((F.col("_p") - 1) / size).cast("int")).drop("_p")
 
 
-def deal_to_cells(hosts: DataFrame, stratum: str, n_cells: int, capacity: int, key: str, seed: int) -> DataFrame:
-    """Hosts dealt to grid cells stratum by stratum in hash order; no cell passes its capacity."""
+def deal_to_cells(hosts: DataFrame, stratum: str, n_cells: int, capacity: int | None, key: str, seed: int) -> DataFrame:
+    """Hosts dealt to grid cells stratum by stratum in hash order; no cell passes its capacity. Without one, cells have the slots that all hosts need."""
     n = hosts.count()
+    if capacity is None:
+        capacity = max(1, -(-n // n_cells))
     if n > n_cells * capacity:
         raise ValueError(f"{n} hosts exceed {n_cells} x {capacity} slots")
     d = with_global_row_number(hosts, [F.col(stratum), digest(F.col(key), seed), F.col(key)], "_p")

@@ -249,7 +249,7 @@ SELECT tic, CAST((p + slot * 7) % 400 AS INTEGER) AS grid_cell_index, CAST(slot
 def hosts_dealt_to_cells(spark, d):
     t = F.min("tmag")
     h = B.injections(spark, d).groupBy("tic").agg(F.when(t < 17, "a").when(t < 19, "b").otherwise("c").alias("s"))
-    return P.deal_to_cells(h, "s", 400, 60, "tic", 111).select("tic", "grid_cell_index", "grid_slot")
+    return P.deal_to_cells(h, "s", 400, None, "tic", 111).select("tic", "grid_cell_index", "grid_slot")
 
 
 @query("latest_label_per_row", LABEL_LOG, sql="SELECT row_id, seq, label FROM label_log QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY updated_utc DESC NULLS LAST, seq DESC) = 1")

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumensift.operators import ordered, ordering, robust, skew
+from lumensift.operators import ordered, ordering, robust, skew, splits
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,14 @@ def test_global_order_cuts_at_nested_and_missing_keys(spark):
     same(ordering.with_global_row_number(d, o, "n"), ordering.with_global_row_number(d, o, "n", limit=100, n_splits=60), "n")
 
 
+def test_cells_without_capacity_take_all_hosts(spark):
+    hosts = spark.range(50).select(F.col("id").alias("tic"), (F.col("id") % 3).alias("s"))
+    got = splits.deal_to_cells(hosts, "s", 4, None, "tic", 1).collect()
+    assert len({(r["grid_cell_index"], r["grid_slot"]) for r in got}) == len({r["injection_index"] for r in got}) == 50 and max(r["grid_slot"] for r in got) == 12
+    with pytest.raises(ValueError):
+        splits.deal_to_cells(hosts, "s", 4, 12, "tic", 1)
+
+
 def test_hot_plans_keep_rows_without_time_or_key(spark):
     rows = [(1, None, 1, 1.0), (1, float("nan"), 2, 2.0), (None, 0.3, 3, 3.0), (None, None, 4, None)] + [(1, i * 0.2, 10 + i, float(i)) for i in range(12)]
     d = spark.createDataFrame(rows, "k int, time double, i int, v double")
