@@ -34,13 +34,14 @@ def matched_peaks(peaks: DataFrame, truth: DataFrame, tol: float = K.PERIOD_TOL)
 
 
 def aperture_recovery(peaks: DataFrame, truth: DataFrame, tol: float = K.PERIOD_TOL) -> DataFrame:
-    """Per injection and aperture: the strongest peak and whether it is exact, the first exact and the first harmonic peak by rank. One aggregate."""
+    """Per injection and aperture: the strongest peak and whether it is exact, the first exact and the first harmonic peak by rank. One aggregate.
+    Strongest: greater sde, then smaller rank, period, epoch, duration, depth and depth_snr; first: smaller rank, then sde and harmonic factor."""
     d = matched_peaks(peaks, truth, tol)
     row = F.struct("sde", "peak_rank", "period_d", "t0_bjd", "duration_min", "depth", "depth_snr", "period_rel_err", "t0_phase_err_min", "exact")
     hit = F.struct("peak_rank", "sde", "period_rel_err", "t0_phase_err_min")
     harm = F.struct("peak_rank", "sde", "harmonic_factor", "harmonic_rel_err", "harmonic_t0_err_min")
     g = d.groupBy("injection_id", "aperture").agg(
-        F.max_by(row, F.struct(F.nanvl("sde", F.lit(float("-inf"))), -F.col("peak_rank"))).alias("best"), F.min_by(F.struct("period_ratio", "harmonic_factor", "harmonic_ephemeris"), "peak_rank").alias("top"),
+        F.max_by(row, F.struct(F.nanvl("sde", F.lit(float("-inf"))), *[-F.col(c) for c in ("peak_rank", "period_d", "t0_bjd", "duration_min", "depth", "depth_snr")])).alias("best"), F.min_by(F.struct("period_ratio", "harmonic_factor", "harmonic_ephemeris"), "peak_rank").alias("top"),
         F.min(F.when(F.col("exact"), hit)).alias("exact_peak"), F.min(F.when(F.col("harmonic"), harm)).alias("harmonic_peak"), F.count(F.lit(1)).alias("n_peaks"))
     return g.withColumns({"recovered": F.col("best.exact"), "topn_recovered": F.col("exact_peak").isNotNull(), "harmonic_matched": F.col("harmonic_peak").isNotNull()})
 

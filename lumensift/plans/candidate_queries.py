@@ -88,7 +88,7 @@ MATCHES = f"""
 mk AS (SELECT *, abs(period_d - tp) / tp AS rel, {PH('t0_bjd', 'tp', 'tt')} * 1440 AS perr, {PH('t0_bjd', 'least(period_d, tp)', 'tt')} * 1440 AS herr,
   (SELECT min({{'e': abs(period_d / tp - factor) / factor, 'pos': pos, 'f': factor}}) FROM {FACTORS}) AS h FROM mj),
 mx AS (SELECT *, rel <= 0.02 AND abs(perr) <= lim AS ex, h.e <= 0.02 AND abs(herr) <= lim AND abs(h.f - 1) >= 1e-8 AS hm FROM mk),
-ma AS (SELECT injection_id, aperture, arg_max({{'sde': sde, 'rk': peak_rank, 'p': period_d, 't': t0_bjd, 'rel': rel, 'perr': perr, 'ex': ex}}, {{'sde': sde, 'r': -peak_rank}}) AS b, min(peak_rank) FILTER (ex) AS er, min(peak_rank) FILTER (hm) AS hr, arg_min(h.f, peak_rank) FILTER (hm) AS hf FROM mx GROUP BY ALL),
+ma AS (SELECT injection_id, aperture, arg_max({{'sde': sde, 'rk': peak_rank, 'p': period_d, 't': t0_bjd, 'rel': rel, 'perr': perr, 'ex': ex}}, {{'sde': sde, 'r': -peak_rank, 'p': -period_d, 't': -t0_bjd}}) AS b, min(peak_rank) FILTER (ex) AS er, min(peak_rank) FILTER (hm) AS hr, arg_min(h.f, {{'r': peak_rank, 'sde': sde, 'f': h.f}}) FILTER (hm) AS hf FROM mx GROUP BY ALL),
 mi AS (SELECT injection_id, arg_max({{'a': aperture, 'b': b}}, {{'x': b.ex, 'sde': b.sde, 'o': CASE aperture WHEN 'SML' THEN -1 ELSE -2 END}}) AS c,
   coalesce(string_agg(aperture, ',' ORDER BY aperture DESC) FILTER (b.ex), '') AS apertures_agree, coalesce(string_agg(aperture, ',' ORDER BY aperture DESC) FILTER (er IS NOT NULL), '') AS topn_apertures_agree, coalesce(string_agg(aperture, ',' ORDER BY aperture DESC) FILTER (hr IS NOT NULL), '') AS harmonic_apertures_agree,
   count(*) FILTER (b.ex) AS n_apertures_agree, count(*) FILTER (er IS NOT NULL) AS n_topn_apertures_agree, count(*) FILTER (hr IS NOT NULL) AS n_harmonic_apertures_agree,

@@ -129,3 +129,26 @@ def test_second_search_only_does_what_changed(spark, planted, tmp_path):
     spark.read.parquet(f"{path}/peaks").where("tic = 1").drop("batch").write.parquet(f"{path}/peaks/batch=stopped")
     assert len(R.current_peaks(after, cfg, path).toPandas()) == len(again)
     assert R.incremental_search(after, S.SearchConfig(**{**cfg.__dict__, "n_peaks": 1}), path, 3) > 0  # other settings are other work
+
+
+def test_tied_ranks_have_one_rule_in_query_and_sql(spark, tmp_path):
+    import duckdb
+    import __spark_entry__ as entry
+    li = pd.DataFrame([(469360, 74179, 3922, 3, 10.0, 60966.11, "O"), (469360, 65986, 3738, 3, 13.0, 54938.03, "O"), (469360, 70879, 3752, 2, 33.0, 6858.48, "F"),
+                       (7, 12, 1, 1, 3.0, 500.0, "F"), (7, 13, 2, 1, 4.0, 500.0, "F"), (7, 13, 2, 1, 5.0, 500.0, "F")],
+                      columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_linestatus"]).assign(l_discount=0.05).astype({"l_linenumber": "int32"})
+    orders = pd.DataFrame({"o_orderkey": [469360, 7], "o_custkey": [1, 2], "o_totalprice": [10.0, 20.0], "o_orderpriority": "x"})
+    want = None
+    for k, rows in enumerate((li, li[::-1])):
+        d = tmp_path / str(k)
+        d.mkdir()
+        rows.to_parquet(d / "lineitem.parquet", index=False)
+        orders.to_parquet(d / "orders.parquet", index=False)
+        con = duckdb.connect()
+        for t in ("lineitem", "orders"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+        cur = con.execute(entry.oracle_sql()["injection_search"])
+        cols = [c[0] for c in cur.description]
+        sql = sorted(map(str, cur.fetchall()))
+        assert sql == sorted(map(str, map(tuple, entry.queries()["injection_search"](spark, str(d)).select(*cols).collect()))) and sql == (want or sql)
+        want = sql
