@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import cadence, robust, skew
-from lumensift.session import hot_rows
+from lumensift.session import hot_rows, task_count
 
 CURVE = cadence.CURVE
 UNIT = 1e9
@@ -90,12 +90,20 @@ def _best_box(n_in: Column, s_in: Column) -> tuple[Column, Column, Column]:
     return depth, power, snr
 
 
-def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Per-period maxima by exploded grid, map-side bin sums and one sorted window per (curve, period)."""
+def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig, hot: bool = True, task_rows: int = 2_000_000) -> DataFrame:
+    """Per-period maxima by exploded grid, bin sums and one sorted window per (curve, period).
+
+    With ``hot`` bins are summed before a shuffle, which helps where curves have many rows a bin. Without, curves are dealt over tasks of about
+    ``task_rows`` rows of the grid and exploded there, so that the grid is never shuffled.
+    """
     w, boxes = cfg.widths()
     n = max(cfg.n_periods, 100)
     ok = stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d")
-    d = q.join(ok, CURVE).withColumn("period_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    d = q.join(ok, CURVE)
+    if not hot:
+        # never the number of shuffle partitions: Spark would drop an exchange that equals the join's and merge its small partitions again
+        d = d.repartition(1 + max(task_count(q.sparkSession), -(-q.count() * n // task_rows)), *CURVE)
+    d = d.withColumn("period_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     d = d.withColumn("period_d", grid_period(F.col("period_idx"), F.col("p_max_d"), cfg))
     d = d.withColumn("bin", F.floor(F.pmod(F.col("time") - F.col("t_min"), F.col("period_d")) / F.lit(w)))
     key = [*CURVE, "period_idx"]

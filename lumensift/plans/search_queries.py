@@ -93,8 +93,8 @@ def box_spectrum(spark, d):
 
 @query("box_spectrum_binned", CADENCES, BINS, sql=SPEC_SQL + " FROM sp")
 def box_spectrum_binned(spark, d):
-    _, q, st, _ = prepared(spark, d)
-    return spec_cols(S.spectrum_binned(q, st, CFG))
+    _, q, st, hot = prepared(spark, d)
+    return spec_cols(S.spectrum_binned(q, st, CFG, hot))
 
 
 @query("spectrum_sde", CADENCES, SDE, sql="SELECT tic, aperture, period_idx, round(sde, 6) AS sde FROM ss")

@@ -29,6 +29,15 @@ def test_plans_agree_and_find_the_planted_period(spark, planted, prepared):
     assert abs((best["t0"] - 0.2 + 0.75) % 1.5 - 0.75) < 20 / 1440
 
 
+def test_binned_spectra_in_tasks_equal_the_shuffled_grid(spark, planted):
+    short = planted.assign(tic=8)[planted.time < 6]
+    q = S.with_integer_flux(C.clean(spark.createDataFrame(pd.concat([planted, short])), CFG.min_cadences, 0.0, CFG.sigma_clip))
+    st = S.curve_stats(q, CFG)
+    d = S.spectrum_binned(q, st, CFG, hot=False, task_rows=50_000)
+    assert "period_idx" not in "".join(x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+    assert sorted(map(tuple, d.collect())) == sorted(map(tuple, S.spectrum_binned(q, st, CFG).select(d.columns).collect()))
+
+
 def test_small_chunks_change_nothing(prepared):
     q, st = prepared
     f = lambda c: sorted(map(tuple, S.spectrum_packed(q, st, c).collect()))
