@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumensift.operators import ordered, ordering, robust, skew, splits
+from lumensift.operators import inject, ordered, ordering, robust, skew, splits
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +92,16 @@ def test_cells_without_capacity_take_all_hosts(spark):
         splits.deal_to_cells(hosts, "s", 4, 12, "tic", 1)
 
 
+@pytest.mark.parametrize("n_cells", [3, 10])
+def test_host_schedule_takes_bright_hosts_first_without_a_gathered_limit(spark, n_cells):
+    from lumensift.functions.hashing import digest
+    hosts = spark.range(40).select(F.col("id").alias("tic"), F.when(F.col("id") % 4 == 0, 17.0).otherwise(20.0).alias("tmag"), (F.col("id") != 5).alias("host_ok"))
+    d = inject.host_schedule(hosts, spark.createDataFrame([(6,)], "tic long"), n_cells, 4, 2, 9)
+    assert "GlobalLimit" not in d._jdf.queryExecution().optimizedPlan().toString()
+    order = hosts.where("tic NOT IN (5, 6)").orderBy(F.col("tmag") >= 19, digest(F.col("tic"), 9), "tic").select("tic").collect()
+    assert {r["tic"] for r in d.collect()} == {r["tic"] for r in order[:n_cells * 4]} and d.count() == min(38, n_cells * 4)
+
+
 def test_hot_plans_keep_rows_without_time_or_key(spark):
     rows = [(1, None, 1, 1.0), (1, float("nan"), 2, 2.0), (None, 0.3, 3, 3.0), (None, None, 4, None)] + [(1, i * 0.2, 10 + i, float(i)) for i in range(12)]
     d = spark.createDataFrame(rows, "k int, time double, i int, v double")
