@@ -96,7 +96,11 @@ def test_cells_without_capacity_take_all_hosts(spark):
 def test_host_schedule_takes_bright_hosts_first_without_a_gathered_limit(spark, n_cells):
     from lumensift.functions.hashing import digest
     hosts = spark.range(40).select(F.col("id").alias("tic"), F.when(F.col("id") % 4 == 0, 17.0).otherwise(20.0).alias("tmag"), (F.col("id") != 5).alias("host_ok"))
-    d = inject.host_schedule(hosts, spark.createDataFrame([(6,)], "tic long"), n_cells, 4, 2, 9)
+    spark.conf.set("lumensift.hotGroupRows", "10")  # tables beyond one window
+    try:
+        d = inject.host_schedule(hosts, spark.createDataFrame([(6,)], "tic long"), n_cells, 4, 2, 9)
+    finally:
+        spark.conf.unset("lumensift.hotGroupRows")
     assert "GlobalLimit" not in d._jdf.queryExecution().optimizedPlan().toString()
     order = hosts.where("tic NOT IN (5, 6)").orderBy(F.col("tmag") >= 19, digest(F.col("tic"), 9), "tic").select("tic").collect()
     assert {r["tic"] for r in d.collect()} == {r["tic"] for r in order[:n_cells * 4]} and d.count() == min(38, n_cells * 4)
