@@ -203,7 +203,8 @@ def _drain(stream, mode: str):
 
 
 def _stream(spark, d, name: str):
-    return spark.readStream.schema(B.table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream. A stream wants a folder or a pattern: the pattern finds a table that is one file, and all files of one that is a folder."""
+    return spark.readStream.schema(B.table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 @query("stream_latest_labels", LABEL_LOG, sql="SELECT row_id, seq, label FROM label_log QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY updated_utc DESC NULLS LAST, seq DESC) = 1")

@@ -217,3 +217,11 @@ def test_repeat_agreement(spark):
     d = spark.createDataFrame([(1, "original", "a", "1"), (1, "blind_repeat", "a", "1"), (2, "original", "a", "1"), (2, "blind_repeat", "b", "1")], "repeat_group int, occurrence string, label string, factor string")
     k = L.agreement(L.repeat_pairs(d)).first()
     assert k["n_pairs"] == 2 and k["observed"] == 0.5 and np.isclose(k["expected"], 0.5) and np.isclose(k["kappa"], 0.0)
+
+
+def test_table_streams_read_files_and_folders(spark, tmp_path):
+    from lumensift.plans.scalar_queries import stream_latest_labels
+    src = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{src}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    one, many = (sorted(stream_latest_labels(spark, d).collect()) for d in (src, str(tmp_path)))
+    assert one and one == many
