@@ -160,7 +160,8 @@ def class_weights(df: DataFrame, klass: str, cap: float) -> DataFrame:
     w = n.transform(with_row, top).withColumn("_w", F.least(F.lit(cap), F.sqrt(F.col("_top") / F.col("_n"))))
     mean = w.agg((F.sum(F.col("_w") * F.col("_n")) / F.sum("_n")).alias("_mean"))
     w = w.transform(with_row, mean).select(klass, (F.col("_w") / F.col("_mean")).alias("weight"))
-    return df.join(w, klass, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    # a row per class: rows are never dealt by class, whose few values would be few tasks
+    return df.join(F.broadcast(w), klass, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def equalise(df: DataFrame, weight: str, group: Column) -> DataFrame:

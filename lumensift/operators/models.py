@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lumensift.functions import consts as K
-from lumensift.operators import metrics as M, robust
+from lumensift.operators import metrics as M, robust, skew
 from lumensift.operators.ordering import cut_lineage
 
 # fixed deny and allow rules for features
@@ -35,11 +35,11 @@ def shape_columns(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if re.match(r"^shape_[a-z]+_\d+$", c)]
 
 
-def peak_features(df: DataFrame, group: str | None = None) -> DataFrame:
+def peak_features(df: DataFrame, group: str | None = None, hot: bool | None = None) -> DataFrame:
     """Logs, inverse rank, in-group ranks and ratios; absent columns become NULL.
 
-    A minimum-tie rank is one plus the number of better rows. It is counted from the distinct values of a group
-    (pre-aggregated map-side), not by ranking raw rows.
+    A minimum-tie rank is one plus the number of better rows. Groups that fit a task are ranked in windows that share one exchange;
+    with a ``hot`` group (None: rows are counted) ranks come from the distinct values of a group, pre-aggregated map-side.
     """
     for c in ("peak_rank", "period_d", "duration_min", "depth", "depth_snr", "sde", "log_power"):
         if c not in df.columns:
@@ -50,6 +50,14 @@ def peak_features(df: DataFrame, group: str | None = None) -> DataFrame:
     if group is None:
         return d
     d = d.withColumn("abs_depth", F.abs("depth"))
+    if not (skew.has_hot_group(df, [group]) if hot is None else hot):
+        for c in ("sde", "depth_snr", "log_power", "abs_depth"):
+            place = F.rank().over(W.partitionBy(group).orderBy(F.desc_nulls_last(c)))
+            d = d.withColumn(f"{c}_group_rank_inv", F.when(F.col(group).isNotNull() & F.col(c).isNotNull(), 1.0 / place))
+        for c in ("sde", "depth_snr", "abs_depth"):
+            top = F.max(c).over(W.partitionBy(group))
+            d = d.withColumn(f"{c}_over_group_max", F.when(F.col(group).isNotNull() & (top > 0), F.col(c) / F.nullif(top, F.lit(0.0))))
+        return d.drop("abs_depth")
     for c in ("sde", "depth_snr", "log_power", "abs_depth"):
         v = d.where(F.col(c).isNotNull()).groupBy(group, c).agg(F.count(F.lit(1)).alias("_n"))
         w = W.partitionBy(group).orderBy(F.desc(c)).rowsBetween(W.unboundedPreceding, -1)
@@ -74,17 +82,15 @@ class FeatureSpec:
         return [*self.centres, *[f"{c}={v}" for c, vs in self.levels.items() for v in vs]]
 
 
-def fit_spec(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), max_levels: int = 16, hot: bool = False) -> FeatureSpec:
+def fit_spec(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), max_levels: int = 16) -> FeatureSpec:
     """Median centre; 1.4826 MAD, else std, else 1 as scale; most frequent levels. Fit rows only."""
     assert_no_leakage([*numeric, *categorical])
     num = [robust.finite_or_null(F.col(c).cast("double")).alias(c) for c in numeric]
     base = df.select(*num)
-    row = base.agg(*[F.percentile(c, 0.5).alias(c) for c in numeric]).first() if not hot else {
-        c: robust.grouped_quantiles(base, [], F.col(c), {"q": 0.5}, True).first()["q"] for c in numeric}
+    row = robust.column_quantiles(base, numeric, 0.5)
     centre = {c: float(row[c]) if row[c] is not None else 0.0 for c in numeric}
     dev = base.select(*[F.abs(F.col(c) - centre[c]).alias(c) for c in numeric])
-    mad = dev.agg(*[F.percentile(c, 0.5).alias(c) for c in numeric]).first() if not hot else {
-        c: robust.grouped_quantiles(dev, [], F.col(c), {"q": 0.5}, True).first()["q"] for c in numeric}
+    mad = robust.column_quantiles(dev, numeric, 0.5)
     std = base.agg(*[F.stddev_pop(c).alias(c) for c in numeric]).first()
     scale = {}
     for c in numeric:
@@ -161,15 +167,15 @@ PEAK_NUMERIC = ("rank_inv", "log_period_d", "log_duration_min", "log_abs_depth",
                 "sde_over_group_max", "depth_snr_over_group_max")
 
 
-def train_peak_ranker(labelled: DataFrame, group: str = "injection_id") -> Classifier:
+def train_peak_ranker(labelled: DataFrame, group: str = "injection_id", hot: bool | None = None) -> Classifier:
     """Signal against noise peaks from engineered features; rows carry group-disjoint splits beforehand."""
-    f = peak_features(labelled, group).withColumn("signal", F.when(F.col("is_signal"), "signal").otherwise("noise"))
+    f = peak_features(labelled, group, hot).withColumn("signal", F.when(F.col("is_signal"), "signal").otherwise("noise"))
     # several passes follow (levels, scales, iterations), so the features are written once
     return train(cut_lineage(f.select("signal", *PEAK_NUMERIC)), "signal", PEAK_NUMERIC)
 
 
-def rank_with(model: Classifier, peaks: DataFrame, group: str = "injection_id") -> DataFrame:
-    return model.score(peak_features(peaks, group), "p_")
+def rank_with(model: Classifier, peaks: DataFrame, group: str = "injection_id", hot: bool | None = None) -> DataFrame:
+    return model.score(peak_features(peaks, group, hot), "p_")
 
 
 def teacher_student(df: DataFrame, label: str, numeric: Sequence[str], pseudo_weight: float = 0.25, **pseudo) -> tuple[Classifier, Classifier, DataFrame]:

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions.consts import MAD_SIGMA
-from lumensift.operators.ordering import cut_lineage
+from lumensift.operators.ordering import ONE_WINDOW_ROWS, cut_lineage
 from lumensift.operators.skew import with_row
+from lumensift.session import hot_rows
 
 
 def finite(c: Column) -> Column:
@@ -98,6 +99,38 @@ def grouped_quantiles(
     return base.select(*([] if whole else keys), *out)
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], p: float, limit: int | None = None, width: float = 0.001) -> dict[str, float | None]:
+    """The exact linearly interpolated quantile ``p`` of every column over the whole table; missing values skipped.
+
+    Small tables use one aggregate. In larger ones a sketch brackets each quantile, rows below the bracket are counted and only the
+    values inside of it are ordered, by distinct value; a bracket that the counts don't confirm becomes the column's whole range.
+    """
+    limit = min(hot_rows(df.sparkSession), ONE_WINDOW_ROWS) if limit is None else limit
+    names = [f"c{i}" for i in range(len(columns))]
+    d = df.select(*[finite_or_null(F.col(c).cast("double")).alias(n) for c, n in zip(columns, names)])
+    if d.count() <= limit:
+        return dict(zip(columns, d.agg(*[F.percentile(n, float(p)) for n in names]).first()))
+    near = dict(zip(names, d.approxQuantile(names, [max(0.0, p - 2 * width), min(1.0, p + 2 * width)], width)))
+    span = {n: (b[0], b[1]) if b else (0.0, 0.0) for n, b in near.items()}
+    one = d.agg(*[x for n, (lo, hi) in span.items() for x in (F.count(n).alias(f"m_{n}"), F.count_if(F.col(n) < lo).alias(f"b_{n}"), F.count_if(F.col(n) <= hi).alias(f"u_{n}"))]).first()
+    pos = {n: p * (one[f"m_{n}"] - 1) for n in names}
+    sure = {n: one[f"b_{n}"] <= int(pos[n]) and one[f"u_{n}"] > min(int(pos[n]) + 1, one[f"m_{n}"] - 1) for n in names}
+    inside = F.array(*[F.when(F.col(n).between(*span[n]) if sure[n] else F.col(n).isNotNull(), F.struct(F.lit(n).alias("name"), (F.col(n) + 0.0).alias("v"))) for n in names])
+    seen = d.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    start = {n: one[f"b_{n}"] if sure[n] else 0 for n in names}
+    state = df.sparkSession.createDataFrame([(n, start[n], k) for n in names for k in {int(pos[n]), min(int(pos[n]) + 1, one[f"m_{n}"] - 1)} if one[f"m_{n}"]], "name string, below bigint, rank bigint")
+    upto = F.col("below") + F.sum("n").over(W.partitionBy("name").orderBy("v"))
+    at = seen.join(F.broadcast(state.select("name", "below").distinct()), "name").withColumn("upto", upto).join(F.broadcast(state.select("name", "rank")), "name").where(
+        (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    found = {(r["name"], r["rank"]): r["v"] for r in at.select("name", "rank", "v").collect()}  # two a column at most
+    out: dict[str, float | None] = {}
+    for c, n in zip(columns, names):
+        k = int(pos[n]) if one[f"m_{n}"] else 0
+        low, high = found.get((n, k)), found.get((n, min(k + 1, one[f"m_{n}"] - 1)))
+        out[c] = None if low is None else (k + 1 - pos[n]) * low + (pos[n] - k) * high if pos[n] > k else low
+    return out
+
+
 def with_median(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot: bool = False) -> DataFrame:
     """Attach the group median of ``value`` as column ``out``."""
     if not hot:

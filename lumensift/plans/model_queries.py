@@ -11,7 +11,7 @@ from lumensift.plans.recovery_queries import labelled
 from lumensift.plans.registry import query, r
 from lumensift.plans.views import HUMAN_LABELS, INJECTIONS, PEAKS, QUEUE, SCORES
 from lumensift.sources import binding as B
-from lumensift.operators.skew import with_row
+from lumensift.operators.skew import has_hot_group, with_row
 
 PROBS = {"planet": "p_planet", "eb": "p_eb", "variable": "p_variable", "other": "p_other"}
 NAMES = list(PROBS)
@@ -205,9 +205,10 @@ def false_negative_audit(spark, d):
 @query("peak_ranker_recall")
 def peak_ranker_recall(spark, d):
     """Train on the hash-train injections, rank the held-out ones, compare recall with the raw rank."""
+    hot = has_hot_group(B.peaks(spark, d), ["injection_id"])
     l = labelled(spark, d).withColumn("split", split_of(F.col("injection_id")))
-    m = D.train_peak_ranker(l.where("split = 'train'"))
-    held = cut_lineage(D.rank_with(m, l.where("split <> 'train'")))
+    m = D.train_peak_ranker(l.where("split = 'train'"), hot=hot)
+    held = cut_lineage(D.rank_with(m, l.where("split <> 'train'"), hot=hot).select("injection_id", "is_signal", "peak_rank", "uid_a", "uid_b", "p_signal"))
     raw = R.recall_at_k(held, (1, 3, 5), ["peak_rank", "uid_a", "uid_b"]).withColumn("order", F.lit("rank"))
     new = R.recall_at_k(held, (1, 3, 5), [-F.col("p_signal"), F.col("peak_rank"), F.col("uid_a"), F.col("uid_b")]).withColumn("order", F.lit("ranker"))
     return raw.unionByName(new)

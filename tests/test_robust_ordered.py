@@ -114,3 +114,10 @@ def test_hot_plans_keep_rows_without_time_or_key(spark):
                  lambda h: ordered.with_neighbours(d, ["k"], ["time", "i"], F.col("v"), "b", "a", hot=h), lambda h: ordered.with_row_index(d, ["k"], ["time", "i"], hot=h),
                  lambda h: ordered.with_gap_segments(d, ["k"], "time", "i", 0.15, hot=h)):
         assert f(step(False)) == f(step(True))
+
+
+def test_column_quantiles_of_large_tables_are_exact(spark):
+    d = spark.range(30000).select((F.rand(3) * 10).alias("a"), F.when(F.col("id") % 7 == 0, F.floor(F.rand(4) * 5)).cast("double").alias("ties"), F.lit(None).cast("double").alias("none"),
+                                  F.when(F.col("id") < 29999, F.lit(1.0)).otherwise(F.lit(float("nan"))).alias("flat"), F.when(F.col("id") == 5, 7.5).alias("one")).localCheckpoint()
+    for p in (0.0, 0.5, 0.9, 1.0):
+        assert robust.column_quantiles(d, d.columns, p, limit=10) == robust.column_quantiles(d, d.columns, p)
