@@ -225,3 +225,14 @@ def test_table_streams_read_files_and_folders(spark, tmp_path):
     spark.read.parquet(f"{src}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     one, many = (sorted(stream_latest_labels(spark, d).collect()) for d in (src, str(tmp_path)))
     assert one and one == many
+
+
+def test_peak_features_share_one_exchange(spark):
+    x = F.col("id")
+    p = spark.range(4000).select((x % 700).alias("g"), (x % 7).alias("peak_rank"), (x % 13 / 10.0).alias("depth"), F.when(x % 9 != 0, x % 17 / 2.0).alias("sde"), (x % 19 / 3.0).alias("depth_snr"),
+                                 (x % 23 / 5.0).alias("log_power"), F.lit(1.5).alias("period_d"), F.lit(20.0).alias("duration_min"))
+    windows = D.peak_features(p, "g")
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    counted = D.peak_features(p, "g", hot=True).select(*windows.columns)
+    assert windows.exceptAll(counted).isEmpty() and counted.exceptAll(windows).isEmpty()
