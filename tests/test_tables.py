@@ -236,3 +236,10 @@ def test_peak_features_share_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     counted = D.peak_features(p, "g", hot=True).select(*windows.columns)
     assert windows.exceptAll(counted).isEmpty() and counted.exceptAll(windows).isEmpty()
+
+
+def test_selection_score_joins_truth_once(spark):
+    from lumensift.plans.gate_queries import model_selection_score
+    s = model_selection_score(spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in s._jdf.queryExecution().executedPlan().toString()
+    assert {x["profile"] for x in s.collect() if x["selection_score"] > 0} == {"sde", "depth_snr"}
