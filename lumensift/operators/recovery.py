@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
+from lumensift.operators import robust
+from lumensift.operators.ordering import cut_lineage
 from lumensift.operators.skew import with_row
 
 TRUTH_COLS = ("truth_period_d", "truth_tmag", "grid_period_bin", "grid_radius_bin", "n_good_in_transit", "model_depth")
@@ -237,10 +239,13 @@ def preset_confusion(df: DataFrame, presets: dict[str, Column], label: str, curr
 
 def best_of_group(df: DataFrame, keys: Sequence[str], aperture: str, snr: str, recoverable: float) -> DataFrame:
     """Per aperture: rows, share above the S/N limit, median and p90; best-of-group appended as '*'."""
-    stat = lambda d: d.groupBy("_ap").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(snr) >= recoverable).alias("n_recoverable"),
-                                          F.percentile(snr, 0.5).alias("median_snr"), F.percentile(snr, 0.9).alias("p90_snr"))
     best = df.groupBy(*keys).agg(F.max(snr).alias(snr)).withColumn("_ap", F.lit("*"))
-    return stat(df.withColumn("_ap", F.col(aperture))).unionByName(stat(best)).withColumnRenamed("_ap", "aperture")
+    stat = lambda d: d.groupBy("_ap").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(snr) >= recoverable).alias("n_recoverable"))
+    own = df.select(snr, F.col(aperture).alias("_ap"))
+    # apertures are few, so their quantiles come from counts of distinct values that tasks share, never from one task's values
+    levels = cut_lineage(own.unionByName(best.select(snr, "_ap")).where(robust.finite(F.col(snr).cast("double"))).groupBy("_ap", F.col(snr).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    q = robust.level_quantiles(levels, "_ap", "_v", "_n", {"median_snr": 0.5, "p90_snr": 0.9})
+    return stat(own).unionByName(stat(best)).join(F.broadcast(q), F.col("_ap").eqNullSafe(F.col("_key")), "left").drop("_key").withColumnRenamed("_ap", "aperture")
 
 
 def current_vs_best(df: DataFrame, keys: Sequence[str], aperture: str, current: str, snr: str, recoverable: float) -> DataFrame:

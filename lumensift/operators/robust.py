@@ -99,6 +99,26 @@ def grouped_quantiles(
     return base.select(*([] if whole else keys), *out)
 
 
+def level_quantiles(levels: DataFrame, key: str, value: str, count: str, probs: dict[str, float], n_splits: int = 64) -> DataFrame:
+    """``_key`` and exact linearly interpolated quantiles of few, large groups, from their distinct values with counts.
+
+    Levels are dealt over ranges of (key, value); a range's running count starts at the total of the ranges before it, so neither a
+    group nor its levels meet in one task.
+    """
+    d = cut_lineage(levels.select(F.col(key).alias("_key"), F.col(value).alias("v"), F.col(count).alias("n")).repartitionByRange(n_splits, "_key", "v").withColumn("_part", F.spark_partition_id()))
+    size = d.groupBy("_key", "_part").agg(F.sum("n").alias("_s"))  # few rows: groups and ranges
+    size = size.select("_key", "_part", F.coalesce(F.sum("_s").over(W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_s").over(W.partitionBy("_key")).alias("m"))
+    j = d.join(F.broadcast(size.withColumnsRenamed({"_key": "_k", "_part": "_p"})), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    upto = F.col("_off") + F.sum("n").over(W.partitionBy("_key", "_part").orderBy("v"))
+    j = j.withColumn("upto", upto)
+    pos = lambda p: F.lit(float(p)) * (F.col("m") - 1)
+    at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
+    aggs = [a for name, p in probs.items() for a in (at(F.floor(pos(p))).alias(f"_lo_{name}"), at(F.ceil(pos(p))).alias(f"_hi_{name}"))]
+    g = j.groupBy("_key").agg(F.first("m").alias("m"), *aggs)
+    share = lambda p: pos(p) - F.floor(pos(p))
+    return g.select("_key", *[((1 - share(p)) * F.col(f"_lo_{n}") + share(p) * F.col(f"_hi_{n}")).alias(n) for n, p in probs.items()])
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], p: float, limit: int | None = None, width: float = 0.001) -> dict[str, float | None]:
     """The exact linearly interpolated quantile ``p`` of every column over the whole table; missing values skipped.
 

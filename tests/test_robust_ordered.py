@@ -121,3 +121,18 @@ def test_column_quantiles_of_large_tables_are_exact(spark):
                                   F.when(F.col("id") < 29999, F.lit(1.0)).otherwise(F.lit(float("nan"))).alias("flat"), F.when(F.col("id") == 5, 7.5).alias("one")).localCheckpoint()
     for p in (0.0, 0.5, 0.9, 1.0):
         assert robust.column_quantiles(d, d.columns, p, limit=10) == robust.column_quantiles(d, d.columns, p)
+
+
+def test_level_quantiles_equal_percentiles(spark):
+    d = spark.range(20000).select(F.when(F.col("id") % 3 != 0, F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("k"), F.floor(F.rand(5) * 400).cast("double").alias("v"))
+    got = {x["_key"]: (x["a"], x["b"]) for x in robust.level_quantiles(d.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), "k", "v", "n", {"a": 0.5, "b": 0.9}, 7).collect()}
+    want = {x["k"]: (x["a"], x["b"]) for x in d.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.9).alias("b")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+
+
+def test_aperture_quantiles_hold_no_group_in_one_task(spark):
+    from lumensift.operators import recovery
+    d = spark.range(500).select((F.col("id") % 90).alias("tic"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("ap"), (F.col("id") * 37 % 101 / 7).alias("snr"))
+    s = recovery.best_of_group(d, ["tic"], "ap", "snr", 7.0)
+    assert "percentile" not in s._jdf.queryExecution().optimizedPlan().toString()
+    assert {x["aperture"]: x["n"] for x in s.collect()} == {"a": 250, "b": 250, "*": 90}
