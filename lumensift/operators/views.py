@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
-from lumensift.operators import ordered
+from lumensift.operators import ordered, robust
 from lumensift.operators.skew import with_row
 
 
@@ -32,7 +32,8 @@ def dense(binned: DataFrame, keys: Sequence[str], n: int, value: str = "value",
 
 def folded_bins(joined: DataFrame, n: int, window_durations: float) -> DataFrame:
     """Median flux per phase bin in duration units, relative to the level outside 1.5 durations, for five folds."""
-    d = joined.withColumn("v", F.explode(E.derived_ephemerides("period_d", "t0_bjd"))).select(
+    # dealt by candidate before the rows become five folds, so all medians share one exchange of the rows as they came
+    d = joined.select("review_id", "aperture", "time", "flux", "duration_min", "period_d", "t0_bjd").repartition("review_id").withColumn("v", F.explode(E.derived_ephemerides("period_d", "t0_bjd"))).select(
         "review_id", "aperture", "time", "flux", "duration_min", F.col("v.view").alias("view"), F.col("v.period_d").alias("p"), F.col("v.t0_bjd").alias("t"))
     x = E.phase_minutes("time", "p", "t") / F.col("duration_min")
     d = d.withColumn("x", x).where(F.abs("x") < window_durations)
@@ -140,14 +141,17 @@ def thinned_fold(joined: DataFrame, n_points: int, window_durations: float, aper
     One row per kept point: ``slot`` (0-based), ``n_all`` (points before thinning), ``x`` as a fraction of the window, and
     ``value_<aperture>`` relative to the level outside 1.5 durations (all points where none lie there), NULL where the flux is missing.
     """
-    d = joined.withColumn("v", F.explode(E.derived_ephemerides("period_d", "t0_bjd")))
     key = ["review_id", "view"]
-    d = d.groupBy("review_id", F.col("v.view").alias("view"), "time", "cadenceno").agg(
-        F.first("v.period_d").alias("_p"), F.first("v.t0_bjd").alias("_t"), F.first("duration_min").alias("_d"),
+    # dealt by candidate once: apertures are paired before the rows become five folds, and no later step moves them
+    d = joined.select("review_id", "aperture", "time", "cadenceno", "flux", "duration_min", "period_d", "t0_bjd").repartition("review_id").groupBy("review_id", "time", "cadenceno").agg(
+        F.first("period_d").alias("period_d"), F.first("t0_bjd").alias("t0_bjd"), F.first("duration_min").alias("_d"),
         *[F.max(F.when((F.col("aperture") == a) & ~F.isnan(F.col("flux").cast("double")), F.col("flux"))).alias(f"_f{i}") for i, a in enumerate(apertures)])
+    d = d.withColumn("v", F.explode(E.derived_ephemerides("period_d", "t0_bjd"))).select("*", F.col("v.view").alias("view"), F.col("v.period_d").alias("_p"), F.col("v.t0_bjd").alias("_t")).drop("v", "period_d", "t0_bjd")
     d = d.withColumn("_x", E.phase_minutes("time", "_p", "_t") / F.nullif("_d", F.lit(0.0))).where(F.abs("_x") <= window_durations)
-    level = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), *[F.coalesce(F.median(F.when(F.abs("_x") > 1.5, F.col(f"_f{i}"))), F.median(f"_f{i}")).alias(f"_b{i}") for i in range(len(apertures))])
-    d = ordered.with_row_index(d, key, ["_x", "time", "cadenceno"], "_r", hot, window_durations / 64).join(level, key)
+    outer = [F.when(F.abs("_x") > 1.5, F.col(f"_f{i}")) for i in range(len(apertures))]
+    level = {"n_all": F.count(F.lit(1)), **{f"_o{i}": F.median(o) for i, o in enumerate(outer)}, **{f"_a{i}": F.median(f"_f{i}") for i in range(len(apertures))}}
+    d = robust.with_agg(ordered.with_row_index(d, key, ["_x", "time", "cadenceno"], "_r", hot, window_durations / 64), key, hot, **level)
+    d = d.withColumns({f"_b{i}": F.coalesce(f"_o{i}", f"_a{i}") for i in range(len(apertures))})
     step = (F.col("n_all") - 1) / F.lit(float(n_points - 1))
     near = F.rint(F.col("_r") / step).cast("bigint")
     hits = lambda k: (k >= 0) & (k < n_points) & (F.when(k == n_points - 1, F.col("n_all") - 1).otherwise(F.rint(k * step).cast("bigint")) == F.col("_r"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumensift.operators import inject, ordered, ordering, robust, skew, splits
+from lumensift.operators import inject, ordered, ordering, robust, skew, splits, views
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +136,52 @@ def test_aperture_quantiles_hold_no_group_in_one_task(spark):
     s = recovery.best_of_group(d, ["tic"], "ap", "snr", 7.0)
     assert "percentile" not in s._jdf.queryExecution().optimizedPlan().toString()
     assert {x["aperture"]: x["n"] for x in s.collect()} == {"a": 250, "b": 250, "*": 90}
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_folds_are_dealt_by_candidate_once(spark):
+    j = spark.range(600).select((F.col("id") % 3).alias("review_id"), F.when(F.col("id") % 2 == 0, "SML").otherwise("PRI").alias("aperture"), (F.floor(F.col("id") / 6) / 10).alias("time"), F.floor(F.col("id") / 6).alias("cadenceno"),
+                                (1 + F.col("id") % 11 / 100).alias("flux"), F.lit(2.0).alias("period_d"), F.lit(1.0).alias("t0_bjd"), F.lit(300.0).alias("duration_min"))
+    t = views.thinned_fold(j, 6, 4.0)
+    assert exchanges(t) == 1
+    assert t.groupBy("review_id", "view").agg(F.count(F.lit(1)).alias("n"), F.max("n_all").alias("a")).where("n <> least(a, 6)").isEmpty()
+    plan = views.folded_bins(j, 16, 4.0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(review_id" in plan
+    assert not any("flux" in line for line in plan.splitlines() if "hashpartitioning(review_id" in line and "aperture" in line.split("hashpartitioning")[1])
+
+
+def test_attempts_are_a_bounded_top_k(spark):
+    from lumensift.operators import select
+    hosts = spark.range(500).select(F.col("id").alias("tic"))
+    c = select.host_cycles(hosts, 30, 7)
+    assert "TakeOrderedAndProject" in c._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x["attempt"] for x in c.collect()) == list(range(1, 31))
+    assert select.host_cycles(hosts, 1200, 7).groupBy("tic").count().agg(F.min("count"), F.max("count")).first() == (2, 3)
+
+
+def test_coverage_counts_distinct_values_without_copies(spark):
+    from lumensift.operators import catalog
+    o = spark.createDataFrame([(1, 5, 9), (1, 5, 10), (1, None, 10), (2, None, None)], "catalog_row int, sector int, orbit int").select(
+        "*", F.lit(1).alias("camera"), F.lit(1).alias("ccd"), F.lit(1.5).alias("colpix"), F.lit(2.5).alias("rowpix"), F.lit(False).alias("edge_warn"))
+    p = catalog.coverage_payload(o)
+    assert "Expand" not in p._jdf.queryExecution().executedPlan().toString()
+    assert {x["catalog_row"]: (x["n_observations"], x["n_sectors"], x["n_orbits"]) for x in p.collect()} == {1: (3, 1, 2), 2: (1, 0, 0)}
+
+
+def test_inputs_of_global_order_are_written_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(x):
+        made.add(1)
+        return x
+
+    ids = spark.range(300).select(seen("id").alias("k"))
+    assert splits.disjoint_splits(ids.distinct(), "k", 0.2, 0.2, 3).count() == 300
+    assert made.value <= 900  # the ids once; the rows, and the filter of their join, once more for their splits
+    made.value = 0
+    assert ordering.rank_bins(ids, [F.col("k")], 4, "b", limit=10).count() == 300
+    assert made.value == 300
