@@ -53,7 +53,7 @@ def rank_in_cell_roles(schedule: DataFrame, cell: str, key: str, seed: int, n_ho
 
 def disjoint_splits(df: DataFrame, key: str, validation: float, test: float, seed: int) -> DataFrame:
     """Whole ids to train, validation and test: hash order over distinct ids, rounded cut points with minimums."""
-    ids = df.select(key).distinct()
+    ids = cut_lineage(df.select(key).distinct())  # counted, cut into ranges and ordered: three reads
     n = ids.count()
     n_test = n_val = 0
     if n >= 3:
