@@ -55,6 +55,7 @@ def with_global_row_number(df: DataFrame, order: Sequence[Column], out: str = "r
 
 def rank_bins(df: DataFrame, order: Sequence[Column], n_bins: int, out: str, limit: int | None = None) -> DataFrame:
     """Equal-population bins by global rank: floor(n_bins * (rank - 1) / n)."""
+    df = cut_lineage(df)  # counted twice, cut into ranges and ordered
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     d = with_global_row_number(df, order, "_rn", limit).transform(with_row, total)
     return d.withColumn(out, F.floor(F.lit(n_bins) * (F.col("_rn") - 1) / F.col("_total")).cast("int")).drop("_rn", "_total")
