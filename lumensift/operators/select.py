@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import exprs as E
 from lumensift.functions.hashing import digest
-from lumensift.operators.ordering import cut_lineage, rank_bins, with_global_row_number
+from lumensift.operators.ordering import ONE_WINDOW_ROWS, cut_lineage, rank_bins, with_global_row_number
 from lumensift.operators.vet import desc_last, first_by
 from lumensift.operators.skew import with_row
 
@@ -291,8 +291,12 @@ def place_repeats(unique: DataFrame, repeats: DataFrame, seed: int, key: str, ed
 
 def host_cycles(hosts: DataFrame, n_attempts: int, seed: int, key: str = "tic") -> DataFrame:
     """Attempt sequence that uses every host once before any repeats: hash order per cycle."""
-    n = hosts.select(key).distinct().count()
+    one = cut_lineage(hosts.select(key).distinct())
+    n = one.count()
     cycles = -(-n_attempts // max(1, n))
-    d = hosts.select(key).distinct().withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
+    d = one.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
     d = d.withColumn("_h", digest(F.concat_ws("|", F.col("cycle").cast("string"), F.col(key).cast("string")), seed))
-    return with_global_row_number(d, [F.col("cycle"), F.col("_h"), F.col(key)], "attempt").where(F.col("attempt") <= n_attempts).drop("_h")
+    order = [F.col("cycle"), F.col("_h"), F.col(key)]
+    if n_attempts <= ONE_WINDOW_ROWS:  # a bounded top-k: the hosts beyond it need no order
+        d = d.orderBy(*order).limit(n_attempts)
+    return with_global_row_number(d, order, "attempt").where(F.col("attempt") <= n_attempts).drop("_h")
