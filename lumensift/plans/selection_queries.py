@@ -240,7 +240,7 @@ def host_disjoint_holdout(spark, d):
 
 @query("balanced_shards", INJECTIONS, sql=f"SELECT injection_id, CAST(floor((row_number() OVER (ORDER BY {dg(101, 'injection_id')}, injection_id) - 1) / ceil(count(*) OVER () / 16)) AS INTEGER) AS shard FROM injections")
 def balanced_shards(spark, d):
-    return P.balanced_shards(B.injections(spark, d), 16, "injection_id", 101).select("injection_id", "shard")
+    return P.balanced_shards(B.injections(spark, d).select("injection_id"), 16, "injection_id", 101).select("injection_id", "shard")
 
 
 @query("hosts_dealt_to_cells", INJECTIONS, sql=f"""
