@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import metrics as M
+from lumensift.operators.ordering import cut_lineage
 from lumensift.operators.skew import assert_unique, with_row
 
 #: labels that supervise nothing, and labels of a periodic signal
@@ -119,14 +120,15 @@ def injection_rows(candidates: DataFrame, roles: DataFrame, split_columns: Seque
     Needs review_id, injection_id, is_match and harmonic_factor; ``roles`` holds the split of every injection. A match whose
     factor no target supports, a candidate outside the schedule or a repeated review id is an error.
     """
+    candidates = cut_lineage(candidates)  # checks and joins read them again
     assert_unique(candidates, ["review_id"], "candidates")
     assert_unique(roles, ["injection_id"], "roles")
     d = candidates.withColumn("_m", E.text_bool("is_match"))
     found = d.where("_m").select("injection_id").distinct()
     d = d.join(found, "injection_id", "left_semi").join(roles.select("injection_id", *split_columns, F.lit(1).alias("_role")), "injection_id", "left")
-    _refuse(d.where("_role IS NULL").select("review_id", "injection_id"), "candidates outside the schedule")
     target = E.harmonic_name(E.nearest_supported_factor("harmonic_factor", tol))
-    d = d.withColumn("_h", F.when(F.col("_m"), F.coalesce(target, F.lit(""))).otherwise(""))
+    d = cut_lineage(d.withColumn("_h", F.when(F.col("_m"), F.coalesce(target, F.lit(""))).otherwise("")))
+    _refuse(d.where("_role IS NULL").select("review_id", "injection_id"), "candidates outside the schedule")
     _refuse(d.where("_m AND _h = ''").select("review_id", "harmonic_factor"), "matches with an unsupported factor")
     variant = lambda name: F.struct(F.lit(name).alias("v"))
     d = d.withColumn("_v", F.explode(F.when(F.col("_m"), F.array(variant("injected"), variant("paired_original"))).otherwise(F.array(variant("injected")))))

@@ -183,3 +183,17 @@ def test_contract_names_and_missing_columns(spark):
     assert {r.review_id: (r.exclusion_reason, r.small_period_d) for r in out.collect()} == {"a": ("missing_small_anchor", 2.0), "": ("missing_small_anchor", None)}
     with pytest.raises(ValueError):
         C.contract_problems(df, pair)
+
+
+def test_injection_rows_read_their_candidates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(x):
+        made.add(1)
+        return x
+
+    c = spark.range(40).select(seen("id").alias("review_id"), F.floor(F.col("id") / 4).alias("injection_id"), (F.col("id") % 4 == 1).alias("is_match"), F.lit(1.0).alias("harmonic_factor"))
+    roles = spark.range(10).select(F.col("id").alias("injection_id"), F.lit("test").alias("fixed_split"), F.lit(1).alias("cv_fold"))
+    assert T.injection_rows(c, roles).count() == 50
+    assert made.value == 40
