@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumensift.llm.common import Powers, bytes_table, chunks, cut, hash_grams, hash_words, mix64, shuffle_partitions, split_words
 from lumensift.llm.fm_index import FMIndex
@@ -21,6 +21,8 @@ WINDOW, ANCHOR = 50, 26
 SHARD_WORDS, HOT_WINDOWS = 200_000, 60_000
 #: Windows of one frequent anchor that a task compares by digest; more are dealt by their digests.
 HOT_PART = 500_000
+#: Bits for each text that is looked at in the filter before their shuffle, and at most (32 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 28
 _SECOND = Powers(0xA0761D6478BD642F)
 
 
@@ -246,6 +248,34 @@ def merged_spans(starts: pd.Series, stops: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def key_bits(keys: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits (a multiple of 32,768), one set at the hash of each (doc_id, digest); tasks combine theirs before the shuffle."""
+    place = keys.select(_place(size).alias("p"))
+    parts = place.groupBy(F.shiftright("p", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts.collect():
+        bits[r["at"] * 4096:(r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def _place(size: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "digest"), F.lit(size).cast("bigint"))
+
+
+def _likely(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """``base`` without most of the rows that have none of ``keys``, so their texts aren't shuffled. About 6 % of those pass (more beyond
+    MOST_BITS); the join that follows decides."""
+    size = min(MOST_BITS, -(-max(1, FILTER_BITS * keys.count()) // 32768) * 32768)
+    bits = base.sparkSession.sparkContext.broadcast(key_bits(keys, size))
+
+    @F.pandas_udf(T.BooleanType())
+    def may(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64)
+        return pd.Series((bits.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
+    return base.where(may(_place(size)))
+
+
 def survey(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, digest, whole_sha256, anchors and the number of windows filed under each, of every document."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_survey(window, anchor), "doc_id bigint, n_words bigint, digest binary, whole_sha256 string, anchors array<bigint>, windows array<int>")
@@ -265,7 +295,8 @@ def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, ancho
     often = often.select("anchor", dealt.alias("parts")).repartition("parts", "anchor")  # kept apart from `own`, whose hot anchors may be split
     marks = own.join(often, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("parts").alias("parts"))
     base = _with_digest(docs.where(F.col("text").isNotNull()))
-    texts = cut(base.join(marks, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
+    marks = cut(marks)  # read for the filter and the join
+    texts = cut(_likely(base, marks).join(marks, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
     parts = cut(texts.mapInArrow(_segments(window, anchor), "anchor bigint, part bigint, doc_id bigint, digest binary, start bigint, words binary, offsets array<int>, first array<bigint>, second array<bigint>"))
 
     cold = parts.where(F.col("words").isNotNull()).repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "doc_id", "start")

@@ -493,3 +493,15 @@ def test_language_of_mixtures_and_awkward_rows(make_docs):
     assert sorted(r.doc_id or 0 for r in L.keep_identified(make_docs(AWKWARD), model).collect()) == [0, 4, 4, 6, 7, 8]
     none = L.train(make_docs([]))
     assert {r.lang_pred for r in L.identify(make_docs(AWKWARD), none).collect()} == {"und"}
+
+
+def test_texts_without_repeated_anchors_stay_out_of_the_shuffle(spark, make_docs):
+    """The filter loses no text that is looked at, and lets few others pass."""
+    docs = B._with_digest(make_docs([(i, f"text number {i}") for i in range(3000)]))
+    some = docs.where("doc_id % 3 = 0").select("doc_id", "digest")
+    passed = {r.doc_id for r in B._likely(docs, some).select("doc_id").collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < 1250
+    assert B._likely(docs, some.limit(0)).count() == 0
+    size = 65536
+    places = {r.p for r in some.select(B._place(size).alias("p")).collect()}
+    assert set(np.flatnonzero(np.unpackbits(B.key_bits(some, size), bitorder="little")).tolist()) == places
