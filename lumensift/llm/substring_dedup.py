@@ -262,18 +262,31 @@ def _place(size: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "digest"), F.lit(size).cast("bigint"))
 
 
-def _likely(base: DataFrame, keys: DataFrame) -> DataFrame:
-    """``base`` without most of the rows that have none of ``keys``, so their texts aren't shuffled. About 6 % of those pass (more beyond
-    MOST_BITS); the join that follows decides."""
+def may_be_among(keys: DataFrame) -> Column:
+    """Whether a row may have one of ``keys``; rows that can't need no shuffle. True for about 6 % of those that haven't (more beyond
+    MOST_BITS), so a join has to decide."""
     size = min(MOST_BITS, -(-max(1, FILTER_BITS * keys.count()) // 32768) * 32768)
-    bits = base.sparkSession.sparkContext.broadcast(key_bits(keys, size))
+    bits = keys.sparkSession.sparkContext.broadcast(key_bits(keys, size))
 
     @F.pandas_udf(T.BooleanType())
     def may(place: pd.Series) -> pd.Series:
         p = place.to_numpy(np.int64)
         return pd.Series((bits.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
 
-    return base.where(may(_place(size)))
+    return may(_place(size))
+
+
+def _likely(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """``base`` without most of the rows that have none of ``keys``, so their texts aren't shuffled."""
+    return base.where(may_be_among(keys))
+
+
+def originals(seen: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``seen`` that have windows and aren't ``gone`` (keys of whole copies). Only rows that may be copies are shuffled, not the
+    anchors of all texts; rows that repeat an id and its text all stay."""
+    d = seen.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0))
+    may = may_be_among(gone)
+    return d.where(~may).unionByName(d.where(may).join(gone, ["doc_id", "digest"], "left_anti").select(*d.columns))
 
 
 def survey(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -281,19 +294,20 @@ def survey(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_survey(window, anchor), "doc_id bigint, n_words bigint, digest binary, whole_sha256 string, anchors array<bigint>, windows array<int>")
 
 
-def repeated_spans(docs: DataFrame, seen: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, seen: DataFrame, gone: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): doc_id, digest, spans (removed words as alternating starts and ends) and the texts that were looked at.
 
-    Only the first document of equal texts is looked at; the others are removed whole. A document is an id with one text: an id with several
-    texts is that many documents.
+    Only the first document of equal texts is looked at; the others, ``gone``, are removed whole. A document is an id with one text: an id
+    with several texts is that many documents.
     """
     spark = docs.sparkSession
-    reps = seen.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    own = seen.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "digest", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", "digest", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
+    own = originals(seen, gone).select("doc_id", "digest", F.explode(F.arrays_zip("anchors", "windows")).alias("x")).select("doc_id", "digest", F.col("x.anchors").alias("anchor"), F.col("x.windows").alias("windows"))
     often = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("windows").alias("n")).where("lo <> hi")
     dealt = F.when(F.col("n") > hot_windows, F.ceil(F.col("n") / HOT_PART)).otherwise(F.lit(0)).cast("bigint")
-    often = often.select("anchor", dealt.alias("parts")).repartition("parts", "anchor")  # kept apart from `own`, whose hot anchors may be split
-    marks = own.join(often, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("parts").alias("parts"))
+    often = cut(often.select("anchor", dealt.alias("parts")))  # read for the marks and the salts
+    # dealt by both, kept apart from `own`, whose hot anchors may be split
+    marks = own.join(often.repartition("parts", "anchor"), "anchor").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("anchor", "parts")).alias("x"))
+    marks = marks.select("doc_id", "digest", F.col("x.anchor").alias("anchors"), F.col("x.parts").alias("parts"))
     base = _with_digest(docs.where(F.col("text").isNotNull()))
     marks = cut(marks)  # read for the filter and the join
     texts = cut(_likely(base, marks).join(marks, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]))
@@ -348,10 +362,11 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
        tasks combine them before the shuffle, and the windows that several documents have go back to the passages.
     """
     seen = cut(survey(docs, window))
-    spans, texts = repeated_spans(docs, seen, window)
+    copies = cut(_copies(seen, window))
+    spans, texts = repeated_spans(docs, seen, copies, window)
     done = spans.join(texts.select("doc_id", "digest", "text"), ["doc_id", "digest"]).select("doc_id", "digest", "spans", kept_sha256("text", "spans").alias("cut_sha256"))
     n = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    gone = _copies(seen, window).withColumn("copy", F.lit(True))
+    gone = copies.withColumn("copy", F.lit(True))
     out = seen.select("doc_id", "digest", "n_words", "whole_sha256").join(gone, ["doc_id", "digest"], "left").join(done.select("doc_id", "digest", n.alias("n"), "cut_sha256"), ["doc_id", "digest"], "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -381,8 +396,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words cut from ``text`` (and ``n_chars``, if there, counted anew). A whole copy keeps its row with an
     empty text; untouched documents keep their text as it is."""
     seen = cut(survey(docs, window))
-    spans, _ = repeated_spans(docs, seen, window)
-    todo = spans.withColumn("copy", F.lit(False)).unionByName(_copies(seen, window).select("doc_id", "digest", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
+    copies = cut(_copies(seen, window))
+    spans, _ = repeated_spans(docs, seen, copies, window)
+    todo = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "digest", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("copy")))
     todo = todo.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copy").alias("_copy"), F.first("spans", ignorenulls=True).alias("_spans"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     d = docs.select(whole, F.col("doc_id").cast("bigint").alias("_id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_digest")).join(todo, ["_id", "_digest"], "left")

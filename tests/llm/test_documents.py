@@ -505,3 +505,16 @@ def test_texts_without_repeated_anchors_stay_out_of_the_shuffle(spark, make_docs
     size = 65536
     places = {r.p for r in some.select(B._place(size).alias("p")).collect()}
     assert set(np.flatnonzero(np.unpackbits(B.key_bits(some, size), bitorder="little")).tolist()) == places
+
+
+def test_copies_leave_without_a_shuffle_of_all_anchors(make_docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    seen = B.cut(B.survey(make_docs([(1, a), (1, a), (2, a), (3, b), (4, "short"), (2, b), (None, a)]), B.WINDOW))
+    left = B.originals(seen, B.cut(B._copies(seen, B.WINDOW)))
+    digest = {r.doc_id: bytes(r.digest) for r in seen.where("doc_id in (1, 3)").collect()}
+    assert sorted((r.doc_id, bytes(r.digest)) for r in left.collect()) == [(1, digest[1]), (1, digest[1]), (2, digest[3])]
+    rest = [(i, " ".join(f"{i}w{j}" for j in range(60))) for i in range(10, 210)]
+    seen = B.cut(B.survey(make_docs([*rest, (1, a), (2, a)]), B.WINDOW))
+    gone = B.cut(B._copies(seen, B.WINDOW))
+    assert [r.doc_id for r in gone.collect()] == [2]
+    assert seen.where(B.may_be_among(gone)).count() < 40  # what the join with the copies shuffles
