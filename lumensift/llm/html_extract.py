@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 import re
 
@@ -76,30 +76,48 @@ def closed_end(names: list[str], name: str) -> int:
     return len(names)
 
 
+#: Where a block lies; a block of links is one that has over half of its characters in links that are no headings.
+OUTSIDE, INSIDE, LINKS = 0, 1, 2
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def parse(html: str) -> tuple[list[str], list[str]]:
     """(blocks of the article or main element, blocks outside of them), in page order, without what elements and names mark as dropped."""
-    inside: list[str] = []
-    outside: list[str] = []
+    lines, zones = blocks(html)
+    return [s for s, z in zip(lines, zones) if z], [s for s, z in zip(lines, zones) if not z]
+
+
+def blocks(html: str) -> tuple[list[str], list[int]]:
+    """All blocks in page order without what elements and names mark as dropped; and of each whether it lies OUTSIDE the article or main
+    element, INSIDE, or inside and is one of LINKS."""
+    lines: list[str] = []
+    zones: list[int] = []
     run: list[str] = []
+    in_links = 0  # characters of the block in links
     zone = 0  # depth of article and main elements
     open_: list[str] = []  # names of the open elements
     many: Counter[str] = Counter()  # how many of each name are open; only what is open is looked for
     skip = 0  # the dropped element is the one of this depth, if any
-    held: list[tuple[int, int | None, int, int, int]] = []  # blocks in doubt: depth, blocks inside and outside, characters and those in links before
+    held: list[tuple[int, bool, int, int, int]] = []  # blocks in doubt: depth, whether inside, blocks before, characters and those in links before
     chars = linked = 0
     at = 0
 
     def end() -> None:
+        nonlocal in_links
         if run:
             line = " ".join("".join(run).split())
             run.clear()
             if line:
-                (inside if zone else outside).append(line)
+                lines.append(line)
+                zones.append(OUTSIDE if not zone else LINKS if 2 * in_links > len(line) - line.count(" ") else INSIDE)
+        in_links = 0
 
     def text(s: str) -> None:
-        nonlocal chars, linked
+        nonlocal chars, linked, in_links
         if s and not skip:
             run.append(unescape(s) if "&" in s else s)
+            if zone and many["a"] and not any(many[h] for h in _HEADINGS):
+                in_links += len("".join(run[-1].split()))
             if held:
                 n = len("".join(s.split()))
                 chars += n
@@ -114,9 +132,10 @@ def parse(html: str) -> tuple[list[str], list[str]]:
             skip = 0
         while held and keep < held[-1][0]:
             end()
-            _, i, o, c, a = held.pop()
+            _, within, n, c, a = held.pop()
             if chars - c <= SHORT and 2 * (linked - a) > chars - c:
-                del outside[o:], inside[len(inside) if i is None else i:]  # never an article inside of it
+                keep_ = [(s, z) for s, z in zip(lines[n:], zones[n:]) if z and not within]  # never an article inside of it
+                lines[n:], zones[n:] = [s for s, _ in keep_], [z for _, z in keep_]
                 chars, linked = c, a
 
     pos = 0
@@ -171,11 +190,11 @@ def parse(html: str) -> tuple[list[str], list[str]]:
             end()
             skip = len(open_)
         elif part and name in BLOCKS:
-            held.append((len(open_), len(inside) if zone else None, len(outside), chars, linked))
+            held.append((len(open_), zone > 0, len(lines), chars, linked))
     text(html[at:])
     leave(0)
     end()
-    return inside, outside
+    return lines, zones
 
 
 def common_lines(a: list[str], b: list[str]) -> list[bool]:
@@ -211,28 +230,33 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def left_over(lines: list[str], other: list[str], same_page: float = 0.8) -> list[str] | None:
-    """``lines`` without those shared with ``other``; None if ``other`` is the same article again: nothing is left over, or over
+def shared_lines(lines: list[str], other: list[str], same_page: float = 0.8) -> list[bool] | None:
+    """Which of ``lines`` are shared with ``other``; None if ``other`` is the same article again: nothing is left over, or over
     ``same_page`` of the lines are shared and what is left (a date, a counter) is on average less than half as long as what is shared."""
     shared = common_lines(lines, other)
     left = [s for s, x in zip(lines, shared) if not x]
     n, size = len(left), sum(map(len, left))
     if not n or len(lines) - n > same_page * len(lines) and 2 * size / n < (sum(map(len, lines)) - size) / (len(lines) - n):
         return None
-    return left
+    return shared
+
+
+def main_text(lines: Sequence[str], zones: Sequence[int], shared: Sequence[bool]) -> str:
+    """What differencing leaves: of a page with an article, its blocks but shared ones of links; of another page, the blocks not shared."""
+    if any(zones):
+        kept = [s for s, z, x in zip(lines, zones, shared) if z and not (z == LINKS and x)]
+    else:
+        kept = [s for s, x in zip(lines, shared) if not x]
+    return "\n\n".join(kept)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            texts, lines = [], []
-            for h in part.column(part.schema.get_field_index("html")).to_pylist():
-                inside, outside = parse(h or "")
-                texts.append("\n\n".join(inside) if inside else None)
-                lines.append(outside)
+            found = [blocks(h or "") for h in part.column(part.schema.get_field_index("html")).to_pylist()]
             names = [n for n in part.schema.names if n != "html"]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=[*names, "text", "lines"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))], names=[*names, "lines", "zones"])
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,46 +268,45 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before: list[str] | None = None  # lines of the page before
     last: list[str] | None = None  # lines of the last page with any
     other: list[str] | None = None  # lines of the last page of different content
-    waiting: dict[tuple[str, ...], list[dict]] = {}  # pages of the run without such a page, by their lines
+    waiting: dict[tuple[tuple[str, ...], tuple[int, ...]], list[dict]] = {}  # pages of the run without such a page, by their lines
 
     for batch in batches:
         rows, texts = [], []
 
-        def settle(own: list[dict], lines: list[str] | tuple[str, ...]) -> None:
-            rows.extend(own), texts.extend(["\n\n".join(lines)] * len(own))  # noqa: B023
+        def settle(own: list[dict], lines: Sequence[str], zones: Sequence[int], shared: Sequence[bool] | None = None) -> None:
+            rows.extend(own), texts.extend([main_text(lines, zones, shared or [False] * len(lines))] * len(own))  # noqa: B023
 
         for row in batch.to_pylist():
             lines = row["lines"]
             fresh = at != (row["_part"], row["host"])
             if lines and not fresh:
                 for was in list(waiting):
-                    if (left := left_over(list(was), lines)) is not None:
-                        settle(waiting.pop(was), left)
+                    if (shared := shared_lines(list(was[0]), lines)) is not None:
+                        settle(waiting.pop(was), *was, shared)
             if fresh or row["opens"]:
                 for was, own in waiting.items():
-                    settle(own, was)
+                    settle(own, *was)
                 waiting, other, last = {}, None, before or None
             if fresh:
                 at, last = (row["_part"], row["host"]), None
             before = lines
-            left = None
+            shared = None
             if lines:
-                if last is not None and lines != last and left_over(lines, last) is not None:
+                if last is not None and lines != last and (shared := shared_lines(lines, last)) is not None:
                     other = last
-                left = left_over(lines, other) if other is not None else None
+                elif other is not None:
+                    shared = shared_lines(lines, other)
                 last = lines
             if row["context"]:
                 continue
-            if row["text"] is not None:
-                rows.append(row), texts.append(row["text"])
-            elif not lines or left is not None:
-                settle([row], left or [])
+            if not lines or shared is not None:
+                settle([row], lines, row["zones"], shared)
             else:
-                waiting.setdefault(tuple(lines), []).append({"page_id": row["page_id"], "url": row["url"]})
+                waiting.setdefault((tuple(lines), tuple(row["zones"])), []).append({"page_id": row["page_id"], "url": row["url"]})
         if rows:
             yield _rows(batch.schema, rows, texts)
     if waiting:
-        yield _rows(batch.schema, [r for own in waiting.values() for r in own], ["\n\n".join(was) for was, own in waiting.items() for _ in own])
+        yield _rows(batch.schema, [r for own in waiting.values() for r in own], [main_text(*was, [False] * len(was[0])) for was, own in waiting.items() for _ in own])
 
 
 def _rows(schema: pa.Schema, rows: list[dict], texts: list[str]) -> pa.RecordBatch:
@@ -312,10 +335,10 @@ def url_ranges(keys: DataFrame, opens: Column, order: list[str], n: int) -> list
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: each page's main text, blocks joined by an empty line.
 
-    If the page has an article or main element, its text is that element's blocks without menus, forms, notices, adverts, comments and the
-    like (by element and by class, id and role names). Otherwise its blocks are aligned with those of the last page of different content (in
-    order of path inside the host; else the next one) by a longest common subsequence, and shared lines go. Copies of the same article
-    (``left_over``) and pages without such blocks are passed over. Lines inside an article are kept even if a neighbour has them too.
+    The blocks of every page, without menus, forms, notices, adverts, comments and the like (by element and by class, id and role names), are
+    aligned with those of the last page of different content (in order of path inside the host; else the next one) by a longest common
+    subsequence. Copies of the same article (``shared_lines``) and pages without such blocks are passed over. Shared blocks go; of a page with
+    an article or main element, which is its text, shared blocks of links go, while other lines are kept even if a neighbour has them too.
     Null and empty html give an empty text; pages of null urls form one host; repeated rows are judged each; extra columns are ignored.
 
     Pages are dealt by ranges of (host, path, page_id), so a large host spreads over many tasks. Runs of pages start at rows picked by
@@ -329,7 +352,7 @@ def extract(pages: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     cuts = url_ranges(d.select(*order), opens, order, n)
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = d.withColumn("opens", opens).mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, opens boolean, text string, lines array<string>")
+    parsed = d.withColumn("opens", opens).mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, opens boolean, lines array<string>, zones array<tinyint>")
     key = F.struct(*[F.coalesce(F.col(c), F.lit("" if c != "page_id" else -1).cast(dict(d.dtypes)[c])).alias(c) for c in order])
     lit = lambda t: F.struct(*[F.lit(v).cast(dict(d.dtypes)[c]).alias(c) for c, v in zip(order, t)])
     part = F.size(F.filter(F.array(*[lit(c) for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
@@ -345,5 +368,5 @@ def extract(pages: DataFrame) -> DataFrame:
         shown = F.array_compact(F.array(F.col("_part"), after, first))
     parsed = parsed.withColumn("_own", F.col("_part")).withColumn("_part", F.explode(shown)).withColumn("context", F.col("_part") != F.col("_own"))
     near = parsed.repartition(max(n, len(cuts) + 1), "_part").sortWithinPartitions("_part", "host", "path", "page_id", "url")
-    out = near.select("_part", "page_id", "url", "host", "opens", "context", "text", "lines").mapInArrow(_differenced, f"page_id {kind}, url string, text string")
+    out = near.select("_part", "page_id", "url", "host", "opens", "context", "lines", "zones").mapInArrow(_differenced, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -190,6 +190,17 @@ def test_heavy_templates_copies_and_run_starts_are_differenced(spark, monkeypatc
     assert all(got[2000 + i] == [*long, f"views {i}"] for i in range(4)) and got[2004] == ["another story"]
 
 
+def test_pages_with_an_article_are_differenced(spark):
+    ship_package(spark)
+    menu = "<ul><li><a href='/'>Front page</a></li><li><a href='/w'>Weather</a> today</li></ul>"
+    body = lambda i: f"<div>Site</div><article>{menu}<h1><a href='.'>Weekly story</a></h1><p>story {i} alone</p><p>The same licence line.</p><p><a href='/{i}'>only story {i} links this</a></p></article>"
+    rows = [(i, f"http://h.org/{i:05d}", body(i)) for i in range(300)] + [(1000, "http://alone.org/x", body(0))]
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: ["Weekly story", f"story {i} alone", "The same licence line.", f"only story {i} links this"]
+    assert sum(got[i] == own(i) for i in range(300)) >= 298  # a page that is a run by itself has no neighbour
+    assert got[1000] == ["Front page", "Weather today", *own(0)]
+
+
 def test_articles_of_the_driver_pages_are_whole(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in entry.queries()["op10_article_text"](spark, DATA).collect():
