@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import consts as K, exprs as E
 from lumensift.operators import cadence, robust, skew
+from lumensift.operators.ordering import cut_lineage
 from lumensift.session import hot_rows, task_count
 
 CURVE = cadence.CURVE
@@ -31,6 +32,9 @@ UNIT = 1e9
 SPECTRUM = ("tic bigint, aperture string, period_idx bigint, period_d double, power double, depth double, "
             "depth_snr double, duration_min double, t0 double, n_in bigint")
 
+#: Rows of a curve times trial periods in one fold: bounds its work arrays, which hold each box.
+FOLD_ELEMENTS = 100_000
+
 
 @dataclass(frozen=True)
 class SearchConfig:
@@ -68,11 +72,24 @@ def curve_stats(q: DataFrame, cfg: SearchConfig) -> DataFrame:
     s = q.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("n_all"), F.sum("yq").alias("s_all"),
                               F.min("time").alias("t_min"), (F.max("time") - F.min("time")).alias("baseline_d"),
                               F.countDistinct("orbitid").alias("n_orbits"))
+    return _with_status(s, cfg)
+
+
+def _with_status(s: DataFrame, cfg: SearchConfig) -> DataFrame:
     p_max = F.least(F.lit(cfg.max_period_fraction) * F.col("baseline_d"), F.lit(cfg.p_max_cap_d))
     status = F.when(F.col("n_all") < cfg.min_cadences, "too_few_cadences").when(p_max <= cfg.p_min_d, "degenerate_grid").otherwise("ok")
     return s.withColumns({"p_max_d": p_max, "status": status})
 
 
+def packed_curves(q: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``curve_stats`` with each curve's rows as one array ``c``, by a single aggregate; for curves below the hot limit. It is written once,
+    so that searches, statuses and refinements don't clean the curves anew."""
+    s = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"), F.count(F.lit(1)).alias("n_all"), F.sum("yq").alias("s_all"),
+                              F.min("time").alias("t_min"), (F.max("time") - F.min("time")).alias("baseline_d"),
+                              F.size(F.collect_set("orbitid")).cast("bigint").alias("n_orbits"))
+    return cut_lineage(_with_status(s, cfg))
+
+
 def grid_period(idx: Column, p_max: Column, cfg: SearchConfig) -> Column:
     """idx-th trial period: uniform in frequency, index 0 the shortest period."""
     n = max(cfg.n_periods, 100)
@@ -131,13 +148,33 @@ def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig, hot: bool
     return g.where("m IS NOT NULL").select(*key, "period_d", "m.power", "m.depth", "m.depth_snr", "m.duration_min", "m.t0", "m.n_in")
 
 
-def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, boxes, n_all: int, s_all: int):
-    """Best box per period for one curve; rows of the work arrays are periods."""
-    bins = np.floor(np.mod(t[None, :], periods[:, None]) / w).astype(np.int64)
+def _bin_sums(bins: np.ndarray, y: np.ndarray, n_bins: np.ndarray, boxes):
+    """Occupied bins of each period (rows, bins) and a function from box width to the rows and sums in the box that starts at each of them,
+    by counts and sums of every bin. For curves with few bins for their rows; sums must fit a double's 53 bits."""
+    k_max, p = boxes[-1][0], bins.shape[0]
+    width = int(n_bins.max()) + k_max + 1
+    flat = (bins + np.arange(p, dtype=np.int64)[:, None] * width).ravel()
+    n = np.bincount(flat, minlength=p * width).reshape(p, width)
+    s = np.bincount(flat, np.broadcast_to(y.astype(np.float64), bins.shape).ravel(), p * width).reshape(p, width).astype(np.int64)
+    rows, start = np.nonzero(n)
+    # the first bins appear again one cycle later
+    turn = np.arange(p)[:, None], n_bins + np.arange(k_max - 1)
+    first_n, first_s = n[:, :k_max - 1].copy(), s[:, :k_max - 1].copy()
+    n[turn] += first_n
+    s[turn] += first_s
+    zero = np.zeros((p, 1), np.int64)
+    n, s = (np.concatenate([zero, np.cumsum(x, axis=1)], axis=1).ravel() for x in (n, s))
+    at = rows * (width + 1) + start
+    n0, s0 = n[at], s[at]
+    reach = lambda k: np.minimum(start + k, width) - start
+    return rows, start, lambda k: (n[at + reach(k)] - n0, s[at + reach(k)] - s0)
+
+
+def _sorted_sums(bins: np.ndarray, y: np.ndarray, n_bins: np.ndarray, boxes):
+    """The same as ``_bin_sums`` by order of bins, for curves of any size and number of bins."""
     order = np.argsort(bins, axis=1, kind="stable")
     bins = np.take_along_axis(bins, order, axis=1)
     ys = y[order]
-    n_bins = np.ceil(periods / w).astype(np.int64)[:, None]
     k_max = boxes[-1][0]
     p, n = bins.shape
     # rows of the first bins appear again one cycle later
@@ -149,52 +186,63 @@ def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, box
     first = np.ones_like(bins, dtype=bool)
     first[:, 1:] = bins[:, 1:] != bins[:, :-1]
     rows, cols = np.nonzero(first)
-    # rows ascend and every period has an occupied bin, so each period is one run
-    seg = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     start_bin = bins[rows, cols]
     base = csum[rows, cols]
-    best_power = np.full(p, -1.0)
-    out = {k: np.zeros(p) for k in ("depth", "snr", "dur", "t0")}
-    best_n = np.zeros(p, np.int64)
-    for k, dur in boxes:
+
+    def box(k: int):
         ends = np.searchsorted(flat, rows * stride + start_bin + k, side="left") - rows * (2 * n)
-        n_in = ends - cols
-        s_in = csum[rows, ends] - base
-        valid = n_in < n_all
-        n_out = np.where(valid, n_all - n_in, 1)
-        depth = ((s_all - s_in) / n_out - s_in / n_in) / UNIT
-        power = np.where(valid & (depth > 0), 0.5 * n_in * depth * depth, -1.0)
-        top = np.maximum.reduceat(power, seg)
-        better = (top > best_power) & (top > 0)
-        at = np.flatnonzero(better[rows] & (power == top[rows]))
-        # first matching start per period: bins ascend inside a row
-        src = at[np.concatenate([[True], rows[at][1:] != rows[at][:-1]])] if at.size else at
-        hr = rows[src]
-        best_power[hr] = top[hr]
-        best_n[hr] = n_in[src]
-        out["depth"][hr] = depth[src]
-        out["snr"][hr] = depth[src] / np.sqrt(1.0 / n_in[src] + 1.0 / n_out[src])
-        out["dur"][hr] = dur
-        out["t0"][hr] = (start_bin[src] + k / 2.0) * w
+        return ends - cols, csum[rows, ends] - base
+    return rows, start_bin, box
+
+
+def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, boxes, n_all: int, s_all: int):
+    """Best box per period for one curve; rows of the work arrays are periods."""
+    bins = np.floor(np.mod(t[None, :], periods[:, None]) / w).astype(np.int64)
+    n_bins = np.ceil(periods / w).astype(np.int64)[:, None]
+    p = periods.size
+    few = n_bins.max() + boxes[-1][0] <= 4 * t.size and np.abs(y).astype(np.float64).sum() < 2.0 ** 52
+    rows, start_bin, box = (_bin_sums if few else _sorted_sums)(bins, y, n_bins, boxes)
+    # boxes x starts: every start has each box
+    in_box = [box(k) for k, _ in boxes]
+    n_in, s_in = np.stack([x for x, _ in in_box]), np.stack([x for _, x in in_box])
+    valid = n_in < n_all
+    n_out = np.where(valid, n_all - n_in, 1)
+    depth = ((s_all - s_in) / n_out - s_in / n_in) / UNIT
+    power = np.where(valid & (depth > 0), 0.5 * n_in * depth * depth, -1.0)
+    # rows ascend and every period has an occupied bin, so each period is one run
+    seg = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    top = np.maximum.reduceat(power.max(axis=0), seg)
+    # the strongest of each period, of equals the narrowest box, then the first bin
+    which, src = np.nonzero(power == np.where(top > 0, top, np.nan)[rows])
+    hr, first = np.unique(rows[src], return_index=True)
+    which, src = which[first], src[first]
+    best_power, best_n = np.full(p, -1.0), np.zeros(p, np.int64)
+    out = {k: np.zeros(p) for k in ("depth", "snr", "dur", "t0")}
+    best_power[hr], best_n[hr] = top[hr], n_in[which, src]
+    out["depth"][hr] = depth[which, src]
+    out["snr"][hr] = depth[which, src] / np.sqrt(1.0 / n_in[which, src] + 1.0 / n_out[which, src])
+    out["dur"][hr] = np.array([d for _, d in boxes])[which]
+    out["t0"][hr] = (start_bin[src] + np.array([k for k, _ in boxes])[which] / 2.0) * w
     return best_power, best_n, out
 
 
 def spectrum_packed(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Per-period maxima in bulk: one packed curve row per chunk of trial periods."""
+    packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"))
+    return fold_packed(packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", "status"), CURVE), cfg)
+
+
+def fold_packed(packed: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``spectrum_packed`` of ``packed_curves``."""
     w, boxes = cfg.widths()
     n = max(cfg.n_periods, 100)
     f_max, step = 1.0 / cfg.p_min_d, cfg.chunk_periods
-    packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"))
-    chunks = packed.join(stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d"), CURVE)
-    chunks = chunks.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"),
+    chunks = packed.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"),
                            F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))).alias("lo"))
     # folding is heavy for its bytes: an explicit partition count keeps adaptive coalescing from merging tasks
-    spark = q.sparkSession
+    spark = packed.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     chunks = chunks.repartition(tasks, *CURVE, "lo")
-    # elements of one work array: bounds the memory of a fold
-    budget = 400_000
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
@@ -202,19 +250,18 @@ def spectrum_packed(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFr
                 t = np.asarray(row.ts, dtype=np.float64) - row.t_min
                 y = np.asarray(row.ys, dtype=np.int64)
                 f_min = 1.0 / row.p_max_d
-                sub = max(1, budget // max(1, t.size))
+                sub = max(1, FOLD_ELEMENTS // max(1, t.size))
                 hi = min(n, row.lo + step)
                 for a in range(row.lo, hi, sub):
                     idx = np.arange(a, min(hi, a + sub), dtype=np.int64)
                     periods = 1.0 / (f_max - idx * ((f_max - f_min) / float(n - 1)))
                     power, n_in, o = _fold_chunk(t, y, periods, w, boxes, int(row.n_all), int(row.s_all))
                     ok = power > 0
-                    parts.append(pd.DataFrame({
-                        "tic": row.tic, "aperture": row.aperture, "period_idx": idx[ok], "period_d": periods[ok], "power": power[ok],
-                        "depth": o["depth"][ok], "depth_snr": o["snr"][ok], "duration_min": o["dur"][ok],
-                        "t0": row.t_min + o["t0"][ok], "n_in": n_in[ok]}))
+                    n_ok = int(ok.sum())
+                    parts.append((np.full(n_ok, row.tic), np.full(n_ok, row.aperture, object), idx[ok], periods[ok], power[ok], o["depth"][ok], o["snr"][ok],
+                                  o["dur"][ok], row.t_min + o["t0"][ok], n_in[ok]))
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                yield pd.DataFrame({c.split()[0]: np.concatenate(x) for c, x in zip(SPECTRUM.split(", "), zip(*parts))})
 
     return chunks.mapInPandas(run, SPECTRUM)
 
@@ -319,8 +366,12 @@ def search(cadences: DataFrame, cfg: SearchConfig, hot: bool = False, keep_spect
     """Clean, search, score and rank; returns peaks with status rows (and the spectrum on request)."""
     clean = cadence.clean(cadences, cfg.min_cadences, cfg.edge_trim_d, cfg.sigma_clip, hot)
     q = with_integer_flux(clean)
-    stats = curve_stats(q, cfg)
-    spec = with_sde(spectrum(q, stats, cfg, hot))
+    if hot:
+        stats = curve_stats(q, cfg)
+        spec = with_sde(spectrum(q, stats, cfg, hot))
+    else:
+        packed = packed_curves(q, cfg)
+        stats, spec = packed.drop("c"), with_sde(fold_packed(packed, cfg))
     rows = complete_status(cadences, stats, pick_peaks(spec, cfg))
     return (rows, spec) if keep_spectrum else rows
 
@@ -420,10 +471,17 @@ def refine(q: DataFrame, stats: DataFrame, centres: DataFrame, half_width: float
 
     ``centres`` has one period per curve; the fold kernel is the bulk search's.
     """
-    w, boxes = cfg.widths()
     packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"))
-    rows = packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all"), CURVE).join(centres.select(*CURVE, F.col("period_d").alias("p0")), CURVE)
+    return refine_packed(packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all"), CURVE), centres, half_width, n_periods, cfg, min_snr)
+
+
+def refine_packed(packed: DataFrame, centres: DataFrame, half_width: float, n_periods: int, cfg: SearchConfig, min_snr: float = 0.0) -> DataFrame:
+    """``refine`` of ``packed_curves``; tasks are as many as cores at least, since folding is heavy for its bytes."""
+    w, boxes = cfg.widths()
+    rows = packed.join(centres.select(*CURVE, F.col("period_d").alias("p0")), CURVE)
     rows = rows.select(*CURVE, "t_min", "n_all", "s_all", "p0", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"))
+    spark = packed.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(*CURVE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -431,7 +489,7 @@ def refine(q: DataFrame, stats: DataFrame, centres: DataFrame, half_width: float
             for row in pdf.itertuples(index=False):
                 t, y = np.asarray(row.ts, dtype=np.float64) - row.t_min, np.asarray(row.ys, dtype=np.int64)
                 p = row.p0 * np.linspace(1 - half_width, 1 + half_width, n_periods)
-                sub, best = max(1, 400_000 // max(1, t.size)), None
+                sub, best = max(1, FOLD_ELEMENTS // max(1, t.size)), None
                 for a in range(0, n_periods, sub):
                     power, n_in, o = _fold_chunk(t, y, p[a:a + sub], w, boxes, int(row.n_all), int(row.s_all))
                     i = int(power.argmax())

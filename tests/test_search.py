@@ -138,3 +138,35 @@ def test_vet_classes(spark):
     # a period below the alias wall whose duration also breaks the envelope counts as a duration violator
     assert got[3] == "duration_violator"
     assert got[2] in ("alias_artifact", "duration_violator")
+
+
+def test_folds_by_bin_sums_equal_folds_by_order(monkeypatch):
+    rng = np.random.default_rng(7)
+    boxes = [(1, 120.0), (2, 240.0), (3, 360.0), (5, 600.0)]
+    used = []
+    by_bin, by_order = S._bin_sums, S._sorted_sums
+    monkeypatch.setattr(S, "_bin_sums", lambda *a: used.append(1) or by_bin(*a))
+    for i in range(60):
+        n = int(rng.integers(1, 300))
+        t = np.sort(rng.integers(0, 2000, n) / 48.0) - 0.0
+        t -= t[0]
+        y = rng.integers(-10**8, 10**8, n)
+        periods = rng.uniform(0.1, 12, 40) if i % 2 else np.arange(1, 41) / 12.0
+        args = (t, y, periods, 120.0 / 1440.0, boxes, n, int(y.sum()))
+        got = S._fold_chunk(*args)
+        with monkeypatch.context() as m:
+            m.setattr(S, "_bin_sums", by_order)
+            want = S._fold_chunk(*args)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and all((got[2][k] == want[2][k]).all() for k in want[2])
+    assert 20 < len(used) < 60
+
+
+def test_curves_are_packed_once_for_search_and_refinement(spark, prepared, monkeypatch):
+    q, st = prepared
+    packed = S.packed_curves(q, CFG)
+    assert not packed._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")  # written, not cleaned again by what follows
+    key = lambda d: sorted(map(str, map(tuple, d.collect())))
+    assert key(packed.drop("c").select(*st.columns)) == key(st)
+    assert key(S.fold_packed(packed, CFG)) == key(S.spectrum_packed(q, st, CFG))
+    top = S.pick_peaks(S.with_sde(S.fold_packed(packed, CFG)), replace(CFG, n_peaks=1))
+    assert key(S.refine_packed(packed, top, 0.01, 51, CFG)) == key(S.refine(q, st, top, 0.01, 51, CFG))
