@@ -160,8 +160,11 @@ def magnitude_running_median(spark, d):
 def refined_ephemerides(spark, d):
     """Narrow linear grid around each curve's best period."""
     _, q, st, hot = prepared(spark, d)
-    top = S.pick_peaks(S.with_sde(S.spectrum(q, st, CFG, hot)), replace(CFG, n_peaks=1))
-    return S.refine(q, st, top, 0.01, 101, CFG)
+    one = replace(CFG, n_peaks=1)
+    if not hot:
+        curves = S.packed_curves(q, CFG)
+        return S.refine_packed(curves, S.pick_peaks(S.with_sde(S.fold_packed(curves, CFG)), one), 0.01, 101, CFG)
+    return S.refine(q, st, S.pick_peaks(S.with_sde(S.spectrum(q, st, CFG, hot)), one), 0.01, 101, CFG)
 
 
 @query("search_parameter_sweep")
