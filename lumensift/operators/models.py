@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from lumensift.functions import consts as K
 from lumensift.operators import metrics as M, robust, skew
 from lumensift.operators.ordering import cut_lineage
+from lumensift.session import hot_rows, task_count
 
 # fixed deny and allow rules for features
 DENY_EXACT = ("label", "target", "split", "review_id", "injection_id", "match_kind", "is_signal")
@@ -35,29 +36,40 @@ def shape_columns(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if re.match(r"^shape_[a-z]+_\d+$", c)]
 
 
+#: Rows that a task ranks, where rows are counted.
+TASK_ROWS = 500_000
+
+
 def peak_features(df: DataFrame, group: str | None = None, hot: bool | None = None) -> DataFrame:
     """Logs, inverse rank, in-group ranks and ratios; absent columns become NULL.
 
     A minimum-tie rank is one plus the number of better rows. Groups that fit a task are ranked in windows that share one exchange;
-    with a ``hot`` group (None: rows are counted) ranks come from the distinct values of a group, pre-aggregated map-side.
+    with a ``hot`` group (None: rows are counted) ranks come from the distinct values of a group, pre-aggregated map-side. Counted rows are
+    dealt over tasks of about TASK_ROWS, whose sorts stay in memory whatever the size of the table; logs are taken after the exchange.
     """
     for c in ("peak_rank", "period_d", "duration_min", "depth", "depth_snr", "sde", "log_power"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
     log = lambda c: F.when(c > 0, F.log10(F.when(c > 0, c)))
-    d = df.withColumns({"rank_inv": F.when(F.col("peak_rank") > 0, 1.0 / F.nullif("peak_rank", F.lit(0))), "log_period_d": log(F.col("period_d")),
-                        "log_duration_min": log(F.col("duration_min")), "log_abs_depth": log(F.abs("depth")), "log_depth_snr": log(F.col("depth_snr")), "log_sde": log(F.col("sde"))})
+    logs = {"rank_inv": F.when(F.col("peak_rank") > 0, 1.0 / F.nullif("peak_rank", F.lit(0))), "log_period_d": log(F.col("period_d")),
+                        "log_duration_min": log(F.col("duration_min")), "log_abs_depth": log(F.abs("depth")), "log_depth_snr": log(F.col("depth_snr")), "log_sde": log(F.col("sde"))}
     if group is None:
-        return d
-    d = d.withColumn("abs_depth", F.abs("depth"))
-    if not (skew.has_hot_group(df, [group]) if hot is None else hot):
+        return df.withColumns(logs)
+    d, tasks = df.withColumn("abs_depth", F.abs("depth")), None
+    if hot is None:
+        most, n = skew.group_sizes(df, [group]).agg(F.max("group_rows"), F.sum("group_rows")).first()
+        hot, tasks = (most or 0) > hot_rows(df.sparkSession), -(-(n or 0) // TASK_ROWS)
+    if not hot:
+        if tasks is not None:
+            d = d.repartition(max(task_count(df.sparkSession), tasks), group)
         for c in ("sde", "depth_snr", "log_power", "abs_depth"):
             place = F.rank().over(W.partitionBy(group).orderBy(F.desc_nulls_last(c)))
             d = d.withColumn(f"{c}_group_rank_inv", F.when(F.col(group).isNotNull() & F.col(c).isNotNull(), 1.0 / place))
         for c in ("sde", "depth_snr", "abs_depth"):
             top = F.max(c).over(W.partitionBy(group))
             d = d.withColumn(f"{c}_over_group_max", F.when(F.col(group).isNotNull() & (top > 0), F.col(c) / F.nullif(top, F.lit(0.0))))
-        return d.drop("abs_depth")
+        return d.drop("abs_depth").withColumns(logs)
+    d = d.withColumns(logs)
     for c in ("sde", "depth_snr", "log_power", "abs_depth"):
         v = d.where(F.col(c).isNotNull()).groupBy(group, c).agg(F.count(F.lit(1)).alias("_n"))
         w = W.partitionBy(group).orderBy(F.desc(c)).rowsBetween(W.unboundedPreceding, -1)

@@ -243,3 +243,15 @@ def test_selection_score_joins_truth_once(spark):
     s = model_selection_score(spark, "/root/testdata/sf0.001")
     assert "FileScan" not in s._jdf.queryExecution().executedPlan().toString()
     assert {x["profile"] for x in s.collect() if x["selection_score"] > 0} == {"sde", "depth_snr"}
+
+
+def test_group_ranks_are_dealt_by_counted_rows(spark, monkeypatch):
+    p = spark.range(900).selectExpr("id % 300 AS g", "double(id % 7 + 1) AS sde", "double(id % 5) - 2 AS depth", "1.5D AS period_d")
+    want = sorted(map(str, D.peak_features(p, "g", hot=False).collect()))
+    monkeypatch.setattr(D, "TASK_ROWS", 30)
+    d = D.peak_features(p, "g")
+    assert d.rdd.getNumPartitions() == 30
+    assert sorted(map(str, d.collect())) == want
+    exchange = next(s for s in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in s)
+    below = d._jdf.queryExecution().optimizedPlan().toString().split(exchange)[1]
+    assert "log10" not in below.lower()  # narrow rows are shuffled
