@@ -6,8 +6,8 @@ period the rows are folded into bins one minimum duration wide; boxes of each du
 occupied bin and may wrap once around the cycle; the box with the largest likelihood gain wins,
 shorter and earlier boxes first among equals.
 
-* ``spectrum_binned`` explodes the grid and pre-aggregates (curve, period, bin) sums map-side. It is
-  safe for curves of any size and serves as the proof.
+* ``spectrum_binned`` sums (curve, period, bin). With hot curves it explodes the grid and pre-aggregates map-side, which is safe
+  for curves of any size and serves as the proof; otherwise tasks sum the bins of whole chunks of periods.
 * ``spectrum_packed`` ships each bounded curve as two arrays, once per chunk of trial periods, and
   folds whole chunks with numpy. This is the bulk plan; curves above the hot limit go to the other.
 """
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumensift.functions import consts as K, exprs as E
@@ -34,13 +35,20 @@ SPECTRUM = ("tic bigint, aperture string, period_idx bigint, period_d double, po
 
 #: Rows of a curve times trial periods in one fold: bounds its work arrays, which hold each box.
 FOLD_ELEMENTS = 100_000
+#: The same for folds into bins; small work arrays stay in a core's cache.
+BIN_ELEMENTS = 16_000
 
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Search settings; the defaults are the survey's."""
+    """Search settings; the defaults are the survey's.
+
+    With ``max_drift``, a curve has as many trial periods as its own length asks for (``n_periods`` or 100 at least): an event at one period
+    drifts by at most so many bins over the whole curve until the next period, so no dip lies between two of them.
+    """
 
     n_periods: int = 200_000
+    max_drift: float | None = None
     p_min_d: float = K.P_MIN_D
     p_max_cap_d: float = K.P_MAX_CAP_D
     max_period_fraction: float = K.MAX_PERIOD_FRACTION
@@ -90,12 +98,21 @@ def packed_curves(q: DataFrame, cfg: SearchConfig) -> DataFrame:
     return cut_lineage(_with_status(s, cfg))
 
 
-def grid_period(idx: Column, p_max: Column, cfg: SearchConfig) -> Column:
-    """idx-th trial period: uniform in frequency, index 0 the shortest period."""
-    n = max(cfg.n_periods, 100)
+def grid_size(cfg: SearchConfig) -> Column:
+    """Number of a curve's trial periods, from its ``p_max_d`` and ``baseline_d``; the drift is largest at the longest period."""
+    n = F.lit(max(cfg.n_periods, 100)).cast("bigint")
+    if cfg.max_drift is None:
+        return n
+    span = F.lit(1.0 / cfg.p_min_d) - F.lit(1.0) / F.col("p_max_d")
+    return F.greatest(n, F.ceil(span * F.col("baseline_d") * F.col("p_max_d") / F.lit(cfg.max_drift * cfg.widths()[0])) + 1)
+
+
+def grid_period(idx: Column, p_max: Column, cfg: SearchConfig, n: Column | None = None) -> Column:
+    """idx-th trial period of ``n``: uniform in frequency, index 0 the shortest period."""
+    steps = F.lit(float(max(cfg.n_periods, 100) - 1)) if n is None else (n - 1).cast("double")
     f_max = F.lit(1.0 / cfg.p_min_d)
     f_min = F.lit(1.0) / p_max
-    return F.lit(1.0) / (f_max - idx * ((f_max - f_min) / F.lit(float(n - 1))))
+    return F.lit(1.0) / (f_max - idx * ((f_max - f_min) / steps))
 
 
 def _best_box(n_in: Column, s_in: Column) -> tuple[Column, Column, Column]:
@@ -107,21 +124,20 @@ def _best_box(n_in: Column, s_in: Column) -> tuple[Column, Column, Column]:
     return depth, power, snr
 
 
-def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig, hot: bool = True, task_rows: int = 2_000_000) -> DataFrame:
-    """Per-period maxima by exploded grid, bin sums and one sorted window per (curve, period).
+def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig, hot: bool = True, task_rows: int = 50_000_000) -> DataFrame:
+    """Per-period maxima by bin sums of every trial period.
 
-    With ``hot`` bins are summed before a shuffle, which helps where curves have many rows a bin. Without, curves are dealt over tasks of about
-    ``task_rows`` rows of the grid and exploded there, so that the grid is never shuffled.
+    With ``hot`` the grid is exploded, bins are summed before a shuffle and each (curve, period) is one sorted window, for curves of any size.
+    Without, no row of the grid is made: curves are cut into chunks of periods, dealt over tasks of about ``task_rows`` rows of the grid, and
+    bins are summed there.
     """
     w, boxes = cfg.widths()
-    n = max(cfg.n_periods, 100)
-    ok = stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d")
-    d = q.join(ok, CURVE)
+    ok = stats.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", grid_size(cfg).alias("n_grid"))
     if not hot:
-        # never the number of shuffle partitions: Spark would drop an exchange that equals the join's and merge its small partitions again
-        d = d.repartition(1 + max(task_count(q.sparkSession), -(-q.count() * n // task_rows)), *CURVE)
-    d = d.withColumn("period_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    d = d.withColumn("period_d", grid_period(F.col("period_idx"), F.col("p_max_d"), cfg))
+        return _spectrum_in_tasks(q, ok, cfg, task_rows)
+    d = q.join(ok, CURVE)
+    d = d.withColumn("period_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_grid") - 1)))
+    d = d.withColumn("period_d", grid_period(F.col("period_idx"), F.col("p_max_d"), cfg, F.col("n_grid")))
     d = d.withColumn("bin", F.floor(F.pmod(F.col("time") - F.col("t_min"), F.col("period_d")) / F.lit(w)))
     key = [*CURVE, "period_idx"]
     b = d.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("yq").alias("s"), F.first("period_d").alias("period_d"),
@@ -148,6 +164,112 @@ def spectrum_binned(q: DataFrame, stats: DataFrame, cfg: SearchConfig, hot: bool
     return g.where("m IS NOT NULL").select(*key, "period_d", "m.power", "m.depth", "m.depth_snr", "m.duration_min", "m.t0", "m.n_in")
 
 
+def _spectrum_in_tasks(q: DataFrame, ok: DataFrame, cfg: SearchConfig, task_rows: int) -> DataFrame:
+    w, boxes = cfg.widths()
+    ok = cut_lineage(ok)  # a row per curve: counted here, joined below
+    rows = ok.agg(F.sum(F.col("n_all") * F.col("n_grid"))).first()[0] or 0
+    packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c")).join(ok, CURVE)
+    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(task_rows) / F.col("n_all")))
+    chunks = packed.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", "n_grid", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"), step.alias("step"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_grid") - 1, step)).alias("lo"))
+    # folding is heavy for its bytes: an explicit partition count keeps adaptive coalescing from merging tasks
+    chunks = chunks.repartition(1 + max(task_count(q.sparkSession), -(-rows // task_rows)), *CURVE, "lo")
+    f_max = 1.0 / cfg.p_min_d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts, ys = batch.column("ts"), batch.column("ys")
+            for i, row in enumerate(batch.drop_columns(["ts", "ys"]).to_pylist()):
+                t, y = ts[i].values.to_numpy() - row["t_min"], ys[i].values.to_numpy()
+                f_min, last = 1.0 / row["p_max_d"], min(row["n_grid"], row["lo"] + row["step"])
+                sub = max(1, BIN_ELEMENTS // max(1, t.size))
+                parts = []
+                for a in range(row["lo"], last, sub):
+                    idx = np.arange(a, min(last, a + sub), dtype=np.int64)
+                    periods = 1.0 / (f_max - idx * ((f_max - f_min) / float(row["n_grid"] - 1)))
+                    power, n_in, o = _fold_bins(t, y, periods, w, boxes, row["n_all"], row["s_all"])
+                    ok = power > 0
+                    parts.append((idx[ok], periods[ok], power[ok], o["depth"][ok], o["snr"][ok], o["dur"][ok], row["t_min"] + o["t0"][ok], n_in[ok]))
+                cols = [np.concatenate(x) for x in zip(*parts)]
+                curve = [pa.repeat(pa.scalar(row["tic"], pa.int64()), cols[0].size), pa.repeat(pa.scalar(row["aperture"], pa.string()), cols[0].size)]
+                yield pa.RecordBatch.from_arrays([*curve, *map(pa.array, cols)], names=[c.split()[0] for c in SPECTRUM.split(", ")])
+
+    return chunks.mapInArrow(run, SPECTRUM)
+
+
+def _phase_bins(t: np.ndarray, periods: np.ndarray, w: float) -> np.ndarray:
+    """``floor(fmod(t, period) / w)``; the slow exact remainder is taken for the few times alone that lie next to an edge of a bin or cycle."""
+    x = (t + 1e-11) * (1.0 / periods)[:, None]  # a time right before the end of a cycle counts as next to its start
+    x -= np.floor(x)
+    x *= (periods / w)[:, None]
+    bins = x.astype(np.int64)
+    x -= bins
+    close = x < 1e-9
+    close |= x > 1 - 1e-9
+    close = np.flatnonzero(close)
+    bins.ravel()[close] = np.floor(np.fmod(t[close % t.size], periods[close // t.size]) / w)
+    return bins
+
+
+def _fold_bins(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, boxes, n_all: int, s_all: int):
+    """``_fold_chunk`` for curves with few bins for their rows: counts and sums of every bin, boxes grown bin by bin.
+
+    Flux is centred and scaled by the number of rows, so that sums stay whole numbers; the root of a box's power is then its sum times a
+    factor of its count. Boxes within rounding of the best are judged by the exact power, as ties are: the narrowest box, then the first bin.
+    """
+    k_max, p = boxes[-1][0], periods.size
+    n_bins = np.ceil(periods / w).astype(np.int64)
+    b = int(n_bins.max())
+    z = y.astype(np.float64) * n_all - s_all
+    if b + k_max > 4 * t.size or not np.abs(z).sum() < 2.0 ** 52 or not t.max() / periods.min() < 1000 or n_all > 2 ** 20:
+        return _fold_chunk(t, y, periods, w, boxes, n_all, s_all)
+    width, row = b + k_max, np.arange(p)
+    at = (_phase_bins(t, periods, w) + (row * width)[:, None]).ravel()
+    n = np.bincount(at, minlength=p * width).reshape(p, width)
+    s = np.bincount(at, np.broadcast_to(z, (p, t.size)).ravel(), p * width).reshape(p, width)
+    occupied = n[:, :b] > 0
+    # the first bins appear again one cycle later
+    turn = row[:, None], n_bins[:, None] + np.arange(k_max - 1)
+    first_n, first_s = n[:, :k_max - 1].copy(), s[:, :k_max - 1].copy()
+    n[turn] += first_n
+    s[turn] += first_s
+    share = np.arange(1, n_all)
+    factor = np.concatenate([[0.0], 1.0 / np.sqrt(share) / (1.0 - share / n_all), np.zeros(n_all + 1)])
+    n_in, s_in, gain, x = np.zeros((p, b), np.int64), np.zeros((p, b)), np.zeros((p, b)), np.empty((p, b))
+    for k in range(1, k_max + 1):
+        n_in += n[:, k - 1:b + k - 1]
+        s_in += s[:, k - 1:b + k - 1]
+        if any(k == size for size, _ in boxes):
+            factor.take(n_in, out=x, mode="clip")
+            x *= s_in
+            np.minimum(gain, x, out=gain)
+    gain *= occupied
+    top = gain.min(axis=1)
+    hr, start = np.divmod(np.flatnonzero(gain <= np.where(top < 0, top * (1 - 1e-12), -np.inf)[:, None]), b)
+    # counts and sums of the boxes at each best start
+    sums = n[hr[:, None], start[:, None] + np.arange(k_max)].cumsum(axis=1), s[hr[:, None], start[:, None] + np.arange(k_max)].cumsum(axis=1)
+    ks = np.array([k for k, _ in boxes])
+    n_in, s_in = (x[:, ks - 1] for x in sums)
+    s_in = (np.rint(s_in).astype(np.int64) + n_in * s_all) // n_all
+    n_out = np.where(n_in < n_all, n_all - n_in, 1)
+    depth = ((s_all - s_in) / n_out - s_in / n_in) / UNIT
+    power = np.where((n_in < n_all) & (depth > 0), 0.5 * n_in * depth * depth, -1.0)
+    j = power.argmax(axis=1)  # the narrowest of a start's equals
+    top = power[np.arange(j.size), j]
+    i = np.lexsort((start, ks[j], -top, hr))
+    i = i[np.diff(hr[i], prepend=-1) > 0]
+    i = i[top[i] > 0]
+    hr, j = hr[i], j[i]
+    best_power, best_n = np.full(p, -1.0), np.zeros(p, np.int64)
+    out = {c: np.zeros(p) for c in ("depth", "snr", "dur", "t0")}
+    best_power[hr], best_n[hr] = power[i, j], n_in[i, j]
+    out["depth"][hr] = depth[i, j]
+    out["snr"][hr] = depth[i, j] / np.sqrt(1.0 / n_in[i, j] + 1.0 / n_out[i, j])
+    out["dur"][hr] = np.array([d for _, d in boxes])[j]
+    out["t0"][hr] = (start[i] + ks[j] / 2.0) * w
+    return best_power, best_n, out
+
+
 def _bin_sums(bins: np.ndarray, y: np.ndarray, n_bins: np.ndarray, boxes):
     """Occupied bins of each period (rows, bins) and a function from box width to the rows and sums in the box that starts at each of them,
     by counts and sums of every bin. For curves with few bins for their rows; sums must fit a double's 53 bits."""
@@ -229,16 +351,15 @@ def _fold_chunk(t: np.ndarray, y: np.ndarray, periods: np.ndarray, w: float, box
 def spectrum_packed(q: DataFrame, stats: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Per-period maxima in bulk: one packed curve row per chunk of trial periods."""
     packed = q.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("time", "yq"))).alias("c"))
-    return fold_packed(packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", "status"), CURVE), cfg)
+    return fold_packed(packed.join(stats.select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", "baseline_d", "status"), CURVE), cfg)
 
 
 def fold_packed(packed: DataFrame, cfg: SearchConfig) -> DataFrame:
     """``spectrum_packed`` of ``packed_curves``."""
     w, boxes = cfg.widths()
-    n = max(cfg.n_periods, 100)
     f_max, step = 1.0 / cfg.p_min_d, cfg.chunk_periods
-    chunks = packed.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))).alias("lo"))
+    chunks = packed.where("status = 'ok'").select(*CURVE, "t_min", "n_all", "s_all", "p_max_d", grid_size(cfg).cast("int").alias("n"), F.col("c.time").alias("ts"), F.col("c.yq").alias("ys"),
+                           F.explode(F.sequence(F.lit(0), grid_size(cfg).cast("int") - 1, F.lit(step))).alias("lo"))
     # folding is heavy for its bytes: an explicit partition count keeps adaptive coalescing from merging tasks
     spark = packed.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -249,7 +370,7 @@ def fold_packed(packed: DataFrame, cfg: SearchConfig) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 t = np.asarray(row.ts, dtype=np.float64) - row.t_min
                 y = np.asarray(row.ys, dtype=np.int64)
-                f_min = 1.0 / row.p_max_d
+                n, f_min = row.n, 1.0 / row.p_max_d
                 sub = max(1, FOLD_ELEMENTS // max(1, t.size))
                 hi = min(n, row.lo + step)
                 for a in range(row.lo, hi, sub):

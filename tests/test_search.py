@@ -170,3 +170,19 @@ def test_curves_are_packed_once_for_search_and_refinement(spark, prepared, monke
     assert key(S.fold_packed(packed, CFG)) == key(S.spectrum_packed(q, st, CFG))
     top = S.pick_peaks(S.with_sde(S.fold_packed(packed, CFG)), replace(CFG, n_peaks=1))
     assert key(S.refine_packed(packed, top, 0.01, 51, CFG)) == key(S.refine(q, st, top, 0.01, 51, CFG))
+
+
+def test_folds_into_bins_equal_folds_of_chunks(monkeypatch):
+    rng = np.random.default_rng(3)
+    by_chunk, fell_back = S._fold_chunk, []
+    monkeypatch.setattr(S, "_fold_chunk", lambda *a: fell_back.append(1) or by_chunk(*a))
+    for i in range(400):
+        boxes = [[(1, 120.0), (2, 240.0), (3, 360.0), (5, 600.0)], [(1, 72.0), (3, 216.0)], [(1, 5.0)], [(2, 3.0), (7, 8.0)]][i % 4]
+        n = int(rng.integers(2, 200))
+        t = np.sort(rng.integers(0, 2000, n) / 48.0) if i % 3 else np.sort(rng.uniform(0, 30, n))
+        t -= t[0]
+        y = rng.integers(-3, 4, n) * 10**7 if i % 5 == 0 else np.full(n, 5) if i % 7 == 0 else rng.integers(-10**8, 10**8, n)
+        args = (t, y, np.sort(rng.uniform(0.3, 12, 40)) if i % 2 else np.arange(1, 41) / 12.0, (120.0 / 1440.0, 0.05)[i % 2], boxes, n, int(y.sum()))
+        got, want = S._fold_bins(*args), by_chunk(*args)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and all((got[2][k] == want[2][k]).all() for k in want[2])
+    assert len(fell_back) < 200
