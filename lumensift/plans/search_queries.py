@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lumensift.functions import consts as K, exprs as E
@@ -13,6 +15,8 @@ from lumensift.sources import binding as B
 
 #: Driver curves hold one row per half day, so boxes are hours wide and periods start at a day.
 CFG = S.SearchConfig(n_periods=200, p_min_d=1.0, durations_min=(120.0, 240.0, 360.0, 480.0, 600.0), n_peaks=5, min_cadences=MIN_ROWS)
+#: The whole grid: as many periods as a curve's length asks for, the next one at most the narrowest box away.
+WHOLE = replace(CFG, n_periods=100, max_drift=1.0)
 W_D = "(120.0::DOUBLE / 1440.0)"
 BOXES = (1, 2, 3, 4, 5)
 
@@ -24,7 +28,11 @@ st AS (SELECT *, least(0.45::DOUBLE * baseline_d, 15.0::DOUBLE) AS p_max_d,
 GRID = STATS + """,
 grid AS (SELECT tic, aperture, t_min, n_all, s_all, i AS period_idx, 1.0::DOUBLE / (1.0::DOUBLE - i * ((1.0::DOUBLE - 1.0::DOUBLE / p_max_d) / 199.0::DOUBLE)) AS period_d
   FROM st, range(200) x(i) WHERE status = 'ok')"""
-BINS = GRID + f""",
+WHOLE_GRID = STATS + f""",
+gn AS (SELECT *, greatest(100, CAST(ceil((1.0::DOUBLE - 1.0::DOUBLE / p_max_d) * baseline_d * p_max_d / {W_D}) AS BIGINT) + 1) AS n_grid FROM st WHERE status = 'ok'),
+grid AS (SELECT tic, aperture, t_min, n_all, s_all, i AS period_idx, 1.0::DOUBLE / (1.0::DOUBLE - i * ((1.0::DOUBLE - 1.0::DOUBLE / p_max_d) / (n_grid - 1))) AS period_d
+  FROM (SELECT *, unnest(range(n_grid)) AS i FROM gn))"""
+FOLDED = f""",
 bn AS (SELECT g.tic, g.aperture, g.period_idx, any_value(g.period_d) AS period_d, any_value(t_min) AS t_min, any_value(n_all) AS n_all, any_value(s_all) AS s_all,
    CAST(floor(((q.time - t_min) % g.period_d) / {W_D}) AS BIGINT) AS bin, count(*) AS n, CAST(sum(yq) AS BIGINT) AS s
    FROM q JOIN grid g ON q.tic = g.tic AND q.aperture = g.aperture GROUP BY g.tic, g.aperture, g.period_idx, CAST(floor(((q.time - t_min) % g.period_d) / {W_D}) AS BIGINT)),
@@ -36,6 +44,8 @@ dp AS (SELECT *, ((s_all - s_in) / (n_all - n_in) - s_in / n_in) / 1e9 AS depth
 pw AS (SELECT *, 0.5::DOUBLE * n_in * depth * depth AS power FROM dp WHERE depth > 0),
 sp AS (SELECT *, depth / sqrt(1.0::DOUBLE / n_in + 1.0::DOUBLE / (n_all - n_in)) AS depth_snr, k * 120.0::DOUBLE AS duration_min, t_min + (bin + k / 2) * {W_D} AS t0 FROM pw
    QUALIFY row_number() OVER (PARTITION BY tic, aperture, period_idx ORDER BY power DESC, k, bin) = 1)"""
+BINS = GRID + FOLDED
+WHOLE_BINS = WHOLE_GRID + FOLDED
 SDE = BINS + """,
 sm AS (SELECT *, median(power) OVER (PARTITION BY tic, aperture) AS m FROM sp),
 sd AS (SELECT *, 1.4826 * median(abs(power - m)) OVER (PARTITION BY tic, aperture) AS dv FROM sm),
@@ -91,10 +101,11 @@ def box_spectrum(spark, d):
     return spec_cols(S.spectrum(q, st, CFG, hot))
 
 
-@query("box_spectrum_binned", CADENCES, BINS, sql=SPEC_SQL + " FROM sp")
+@query("box_spectrum_binned", CADENCES, WHOLE_BINS, sql=SPEC_SQL + " FROM sp")
 def box_spectrum_binned(spark, d):
+    """Every curve over the whole grid."""
     _, q, st, hot = prepared(spark, d)
-    return spec_cols(S.spectrum_binned(q, st, CFG, hot))
+    return spec_cols(S.spectrum_binned(q, st, WHOLE, hot))
 
 
 @query("spectrum_sde", CADENCES, SDE, sql="SELECT tic, aperture, period_idx, round(sde, 6) AS sde FROM ss")
@@ -136,7 +147,6 @@ def search_with_status(spark, d):
 def search_quota_walk(spark, d):
     """Period-bin quotas: at most two peaks from each of three ranges."""
     _, q, st, hot = prepared(spark, d)
-    from dataclasses import replace
     cfg = replace(CFG, period_bin_edges=(1.0, 2.0, 5.0, 14.0), max_peaks_per_bin=2, n_peaks=6)
     return peak_cols(S.pick_peaks(S.with_sde(S.spectrum(q, st, cfg, hot)), cfg))
 

@@ -29,3 +29,15 @@ def test_query_matches_its_sql(spark, name):
     assert sorted(cols) == sorted(df.columns)
     f = lambda rows: sorted(str(tuple(0.0 if v == 0 and isinstance(v, float) else v for v in r)) for r in rows)
     assert f(map(tuple, df.select(*cols).collect())) == f(cur.fetchall())
+
+
+def test_binned_spectrum_covers_the_whole_grid(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    df = entry.queries()["box_spectrum_binned"](spark, DATA)
+    cur = con.execute(entry.oracle_sql()["box_spectrum_binned"])
+    cols = [c[0] for c in cur.description]
+    got = sorted(map(tuple, df.select(*cols).collect()))
+    assert got == sorted(cur.fetchall())
+    i = cols.index("period_idx")
+    assert max(r[i] for r in got) > 4000

@@ -186,3 +186,26 @@ def test_folds_into_bins_equal_folds_of_chunks(monkeypatch):
         got, want = S._fold_bins(*args), by_chunk(*args)
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and all((got[2][k] == want[2][k]).all() for k in want[2])
     assert len(fell_back) < 200
+
+
+def test_whole_grid_leaves_no_dip_between_two_periods(spark):
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(0, 30, 400))
+    coarse = S.SearchConfig(n_periods=100, p_min_d=1.0, durations_min=(120.0, 240.0), min_cadences=20)
+    whole = replace(coarse, max_drift=1.0)
+    f_min = 1 / (0.45 * (t[-1] - t[0]))
+    period = 1 / (1 - 33.5 * (1 - f_min) / 99)  # between two periods of the coarse grid
+    y = 1 + rng.normal(0, 0.01, t.size) - 0.05 * (np.mod(t - 0.3, period) < 0.08)
+    q = S.with_integer_flux(spark.createDataFrame(pd.DataFrame({"tic": 1, "aperture": "SML", "time": t, "orbitid": 0, "y": y})))
+    best = {}
+    for cfg in (coarse, whole):
+        st = S.curve_stats(q, cfg)
+        d = S.spectrum_binned(q, st, cfg, hot=False)
+        assert "Window" not in d._jdf.queryExecution().executedPlan().toString()  # the grid's rows aren't made
+        rows = sorted(map(tuple, d.collect()))
+        assert rows == sorted(map(tuple, S.spectrum_binned(q, st, cfg).select(d.columns).collect())) == sorted(map(tuple, S.spectrum_packed(q, st, cfg).select(d.columns).collect()))
+        p = np.array(sorted(r[3] for r in rows))
+        drift = np.diff(p) / p[:-1] * (t[-1] - t[0]) / (120 / 1440)
+        best[cfg.max_drift] = max(rows, key=lambda r: r[4])[3], drift.max()
+    assert abs(best[1.0][0] / period - 1) < 0.002 and best[1.0][1] <= 1.001
+    assert best[None][1] > 10
